@@ -26,6 +26,15 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def settled(condition: Column) -> Column:
+    """``condition`` as it is, in a form that Catalyst doesn't push below the columns it reads.
+
+    A filter moved below a projection repeats the projection's expressions, inside lambda
+    bodies even once per element. The added term is true for every row.
+    """
+    return condition & (F.monotonically_increasing_id() >= 0)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 

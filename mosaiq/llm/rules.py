@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import load, text_or_empty
+from mosaiq.llm.common import load, settled, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -134,7 +134,9 @@ def ablations(book: DataFrame, version: int = CURRENT, by: tuple[str, ...] = ())
 def keep_good(docs: DataFrame, version: int = CURRENT) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, unchanged, all columns."""
     df = _measured(docs)
-    return df.filter(~F.expr(POLICIES[version].rejects(f"CAST({_bits('__{}')} AS BIGINT)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    df = df.withColumn("__fail_bits", F.expr(_bits("__{}")).cast("long"))
+    df = df.withColumn("__kept", settled(~F.expr(POLICIES[version].rejects("__fail_bits"))))
+    return df.filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import load, text_or_empty
+from mosaiq.llm.common import load, settled, text_or_empty
 
 # Patterns that find secrets. Letters are spelled in both cases, since
 # (?i) would differ between regular-expression engines beyond ASCII.
@@ -19,8 +19,9 @@ ASSIGN = (
     "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
-ACCESS = "AKIA[A-Z0-9]+"
-HEX = "[0-9a-f]+"
+# A shorter run of these two holds no match and hides none, so the least length is in the pattern.
+ACCESS = "AKIA[A-Z0-9]{14,}"
+HEX = "[0-9a-f]{16,}"
 #: Per kind of base span: pattern, group whose length counts, least length.
 BASE = {"assign": (ASSIGN, 1, 12), "access": (ACCESS, 0, 18), "hex": (HEX, 0, 16)}
 
@@ -161,7 +162,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     df = df.withColumn("__from", F.expr("concat(array(0), transform(__cut, x -> x.e))"))
     pieces = f"""concat_ws('', flatten(zip_with(slice(__from, 1, size(__cut)), __cut,
         (o, x) -> array(substr(__t, o + 1, x.s - o), CASE WHEN x.joined THEN '' ELSE '{mark}' END))), substr(__t, element_at(__from, -1) + 1))"""
-    df = df.withColumn("text", F.when(F.size("__cut") > 0, F.expr(pieces)).otherwise(F.col("text")))
+    df = df.withColumn("text", F.when(settled(F.size("__cut") > 0), F.expr(pieces)).otherwise(F.col("text")))
     if "n_chars" in names:
         df = df.withColumn("n_chars", F.when(F.size("__cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return df.select(*[F.col(f"`{c}`") for c in names])
