@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import rules, secrets
+from mosaiq.llm import rules, secrets, simhash
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op3_quality_rules": rules.query,
     "op3_rule_ablations": rules.query_ablations,
+    "op5_simhash_near_dedup": simhash.query,
 }
 ORACLES = {
     "op1_secret_scan": secrets.ORACLE,
