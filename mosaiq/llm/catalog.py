@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import rules, secrets, simhash
+from mosaiq.llm import decontaminate, pieces, rules, secrets, simhash, tokenfiles, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op2_token_files": tokenfiles.query,
     "op3_quality_rules": rules.query,
     "op3_rule_ablations": rules.query_ablations,
     "op5_simhash_near_dedup": simhash.query,
+    "op7_warc_archives": warc.query,
+    "op8_sentencepiece": pieces.query,
+    "op10_benchmark_decontamination": decontaminate.query,
 }
 ORACLES = {
     "op1_secret_scan": secrets.ORACLE,
     "op3_quality_rules": rules.ORACLE,
     "op3_rule_ablations": rules.ORACLE_ABLATIONS,
+    "op7_warc_archives": warc.ORACLE,
+    "op10_benchmark_decontamination": decontaminate.ORACLE,
 }
