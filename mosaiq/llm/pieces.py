@@ -36,8 +36,10 @@ NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 class Pieces:
     """A model's pieces, and the search over them."""
 
-    #: Encodings of words, and outcomes of pairs, that are remembered; both start anew when full.
-    MOST, LONGEST = 300_000, 48
+    #: Encodings of words that are remembered, anew when full; longer words are not.
+    MOST, LONGEST = 400_000, 48
+    #: Of the hash of a piece, a polynomial in its code points modulo 2**64.
+    BASE = 0x5851F42D4C957F2D
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -60,9 +62,15 @@ class Pieces:
         bytes_of = {i: bytes([b]) for b, i in self.byte.items()}
         self.bytes = [bytes_of.get(i, b"" if p.type == 3 else p.piece.replace(SPACE, " ").encode()) for i, p in enumerate(model.pieces)]
         self.bytes[self.unknown] = " ⁇ ".encode()
+        self.names = {i: p for p, i in self.id.items()}
         self.words: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.edges: dict[str, tuple] = {}
         self.whole: dict[str, bool] = {}
+        # A character of no piece is an edge by itself, so it parts words as a space does.
+        inner = "".join(sorted(map(re.escape, {c for p in self.score for c in p} - {SPACE})))
+        self.word = re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|[^{SPACE}{inner}]")
+        if self.kind == BPE:
+            self._tables()
 
     def merge(self, text: str) -> list[str]:
         """A short text's pieces by merging, the best pair first, of equals the first."""
@@ -79,19 +87,154 @@ class Pieces:
         return parts
 
     def _stays(self, piece: str) -> bool:
+        if len(piece) > 1 and piece not in self.score:
+            return False
         known = self.whole.get(piece)
         if known is None:
-            known = self.whole[piece] = len(piece) == 1 or (piece in self.score and self.merge(piece) == [piece])
+            known = self.merge(piece) == [piece]
+            if piece in self.score:
+                self.whole[piece] = known
         return known
 
-    def _fits(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
+    def _edges(self, piece: str) -> tuple[list[tuple[float | None, str]], list[tuple[float | None, str]]]:
+        """A piece's first and its last part before each of its merges, with that merge's score; the whole piece at the end."""
+        known = self.edges.get(piece)
         if known is None:
-            if len(self.pairs) >= self.MOST:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(a + b) == [a, b]
+            parts, first, last = list(piece), [], []
+            while len(parts) > 1:
+                s, at = max((self.score.get(parts[i] + parts[i + 1], -np.inf), -i) for i in range(len(parts) - 1))
+                first.append((s, parts[0]))
+                last.append((s, parts[-1]))
+                parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+            known = [*first, (None, piece)], [*last, (None, piece)]
+            if piece in self.score:
+                self.edges[piece] = known
         return known
 
+    def _fits(self, a: str, b: str) -> bool:
+        """No merge across their boundary comes before the merges that make up the two pieces.
+
+        The merges of both are replayed, the better first, of equals the left one; at each
+        step the parts that touch may not be a better merge than the next on either side.
+        """
+        left, right, i, j = self._edges(a)[1], self._edges(b)[0], 0, 0
+        while True:
+            (sa, x), (sb, y) = left[i], right[j]
+            across = self.score.get(x + y)
+            if across is not None and (sa is None or across > sa) and (sb is None or across >= sb):
+                return False
+            if sa is None and sb is None:
+                return True
+            if sb is None or (sa is not None and sa >= sb):
+                i += 1
+            else:
+                j += 1
+
+    def _tables(self) -> None:
+        """What the search over many words at once looks up: pieces by hash, powers, and a memory of pairs."""
+        self.power = np.array([pow(self.BASE, k, 1 << 64) for k in range(self.width + 1)], np.uint64)
+        self.length = np.array([len(self.names.get(i, "")) for i in range(len(self.bytes))], np.int64)
+        self.keeps = np.full(len(self.bytes), -1, np.int8)
+        left = {}
+        for i, p in self.names.items():
+            h = 0
+            for c in p:
+                h = (h * self.BASE + ord(c)) & 0xFFFFFFFFFFFFFFFF
+            left[h] = i
+        if len(left) != len(self.names):
+            raise ValueError("two pieces have one hash")
+        #: Tables of slots; what finds its slot taken goes to the next table.
+        self.levels = []
+        for shift, factor in ((45, 0x9E3779B97F4A7C15), (50, 0xC2B2AE3D27D4EB4F), (50, 0x165667B19E3779F9), (50, 0x27D4EB2F165667C5)):
+            keys, ids, over = np.zeros(1 << (64 - shift), np.uint64), np.full(1 << (64 - shift), -1, np.int32), {}
+            for h, i in left.items():
+                slot = (h * factor & 0xFFFFFFFFFFFFFFFF) >> shift
+                if ids[slot] >= 0:
+                    over[h] = i
+                else:
+                    keys[slot], ids[slot] = h, i
+            self.levels.append((np.uint64(factor), np.uint64(shift), keys, ids))
+            left = over
+        if left:
+            raise ValueError("the tables of pieces are too small")
+        self.pair_key = np.full(1 << 21, -1, np.int64)
+        self.pair_fits = np.zeros(1 << 21, bool)
+
+    def _lookup(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int32)
+        for factor, shift, keys, ids in self.levels:
+            slot = (h * factor) >> shift
+            hit = (keys[slot] == h) & (ids[slot] >= 0)
+            out[hit] = ids[slot[hit]]
+        return out
+
+    def _kept(self, ids: np.ndarray) -> np.ndarray:
+        for i in np.unique(ids[self.keeps[ids] < 0]).tolist():
+            self.keeps[i] = self._stays(self.names[i])
+        return self.keeps[ids] == 1
+
+    def _fitting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) * len(self.bytes) + b
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+        known = self.pair_key[slot] == key
+        out = self.pair_fits[slot]
+        if not known.all():
+            new, back = np.unique(key[~known], return_inverse=True)
+            n = len(self.bytes)
+            fits = np.array([self._fits(self.names[k // n], self.names[k % n]) for k in new.tolist()], bool)
+            out[~known] = fits[back]
+            at = slot[~known]
+            self.pair_key[at], self.pair_fits[at] = key[~known], fits[back]
+            # Of two new pairs with one slot the last is kept; it must be kept whole.
+            self.pair_fits[at] = np.where(self.pair_key[at] == key[~known], fits[back], self.pair_fits[at])
+        return out
+
+    def search_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of many short words, their lattices searched side by side, node by node."""
+        order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+        size = np.array([len(words[k]) for k in order], np.int64)
+        most, count = int(size[0]), len(words)
+        codes = np.zeros((count, most), np.uint64)
+        codes[np.arange(most) < size[:, None]] = np.frombuffer("".join(words[k] for k in order).encode("utf-32-le", "surrogatepass"), "<u4")
+        prefix = np.zeros((most + 1, count), np.uint64)
+        for i in range(most):
+            prefix[i + 1] = prefix[i] * np.uint64(self.BASE) + codes[:, i]
+        start, none = -2, -1
+        last = np.full((most + 1, count), none, np.int32)
+        last[0] = start
+        for i in range(1, most + 1):
+            open_ = np.arange(np.searchsorted(-size, -i, "right"))
+            for n in range(min(i, self.width), 0, -1):
+                before = last[i - n, open_]
+                ids = self._lookup(prefix[i, open_] - prefix[i - n, open_] * self.power[n])
+                ok = np.flatnonzero((ids >= 0) & (before != none))
+                if len(ok):
+                    ok = ok[self._kept(ids[ok])]
+                    first = before[ok] == start
+                    fits = first.copy()
+                    fits[~first] = self._fitting(before[ok[~first]], ids[ok[~first]])
+                    ok = ok[fits]
+                    last[i, open_[ok]] = ids[ok]
+                    open_ = np.delete(open_, ok)
+                    if not len(open_):
+                        break
+        out: list[list[int]] = [[] for _ in words]
+        at, live, steps = size.copy(), np.arange(count), []
+        while len(live):
+            ids = last[at[live], live]
+            steps.append((live, ids))
+            at[live] -= np.where(ids >= 0, self.length[ids], at[live])
+            live = live[at[live] > 0]
+        for live, ids in steps:
+            for k, i in zip(live.tolist(), ids.tolist()):
+                out[order[k]].append(i)
+        # A word with a character that is no piece, or an accident of hashes, is searched by itself.
+        for k, ids in enumerate(out):
+            ids.reverse()
+            if none in ids or "".join(map(self.names.__getitem__, ids)) != words[k]:
+                out[k] = [i for p in self.search(words[k]) for i in self._ids(p)]
+        return out
+
     def _ids(self, piece: str) -> list[int]:
         i = self.id.get(piece)
         if i is not None:
@@ -148,19 +291,28 @@ class Pieces:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of whole texts; their new words are searched together."""
         if not self.by_word:
-            return [i for p in self.search(self.normal(text)) for i in self._ids(p)]
-        out: list[int] = []
+            return [[i for p in self.search(self.normal(t)) for i in self._ids(p)] for t in texts]
+        parted = [self.word.findall(self.normal(t)) for t in texts]
         words = self.words
-        for w in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", self.normal(text)):
-            ids = words.get(w)
-            if ids is None:
-                ids = [i for p in self.search(w) for i in self._ids(p)]
-                if len(w) <= self.LONGEST:
-                    if len(words) >= self.MOST:
-                        words.clear()
-                    words[w] = ids
-            out += ids
+        new = [w for w in dict.fromkeys(w for ws in parted for w in ws) if w not in words]
+        if len(words) + len(new) > self.MOST:
+            words.clear()
+            new = list(dict.fromkeys(w for ws in parted for w in ws))
+        short = [w for w in new if len(w) <= self.LONGEST] if self.kind == BPE else []
+        if short:
+            words.update(zip(short, self.search_words(short)))
+        for w in new:
+            if w not in words:
+                words[w] = [i for p in self.search(w) for i in self._ids(p)]
+        out = [[i for w in ws for i in words[w]] for ws in parted]
+        for w in new:
+            if len(w) > self.LONGEST:
+                del words[w]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -193,12 +345,11 @@ def encode_documents(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces_of(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 50):
-                b = whole.slice(at, 50)
+            for at in range(0, whole.num_rows, 100):
+                b = whole.slice(at, 100)
                 n, crc, sha, same, all_ids = [], [], [], [], []
-                for t in b.column(len(keep)):
-                    text = t.as_py()
-                    ids = coder.encode(text)
+                texts = b.column(len(keep)).to_pylist()
+                for text, ids in zip(texts, coder.encode_all(texts)):
                     back = coder.decode(ids)
                     n.append(len(ids))
                     raw = np.array(ids, "<u4")
