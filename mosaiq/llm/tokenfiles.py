@@ -59,9 +59,10 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     head["low"], head["width"], head["n"], head["odd"] = low, width, count, n_odd
     out[starts[:-1, None] + np.arange(8)] = head.view(np.uint8).reshape(rows, 8)
     for w in np.unique(width[width > 0]).tolist():
-        at = np.flatnonzero(width == w)
-        bits = (delta[at, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
-        out[starts[at, None] + 8 + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
+        every = np.flatnonzero(width == w)
+        for at in np.split(every, range(256, len(every), 256)):
+            bits = (delta[at, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
+            out[starts[at, None] + 8 + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
     row, pos = np.nonzero(odd)
     if len(row):
         rank = np.arange(len(row)) - np.concatenate([[0], np.cumsum(n_odd)])[row]
@@ -82,13 +83,14 @@ def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
     full = np.zeros((len(starts), BLOCK), np.uint32)
     width = head["width"].astype(np.int64)
     for w in np.unique(width[width > 0]).tolist():
-        at = np.flatnonzero(width == w)
-        packed = raw[starts[at, None] + 8 + np.arange(BLOCK // 8 * w)]
-        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(at), BLOCK, w)
-        whole = np.zeros((len(at), BLOCK), np.uint32)
-        for b in range(w):
-            whole |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
-        full[at] = whole
+        every = np.flatnonzero(width == w)
+        for at in np.split(every, range(256, len(every), 256)):
+            packed = raw[starts[at, None] + 8 + np.arange(BLOCK // 8 * w)]
+            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(at), BLOCK, w)
+            whole = np.zeros((len(at), BLOCK), np.uint32)
+            for b in range(w):
+                whole |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
+            full[at] = whole
     n_odd = head["odd"].astype(np.int64)
     row = np.repeat(np.arange(len(starts)), n_odd)
     if len(row):
@@ -138,34 +140,52 @@ class WordEncoder:
     """A tokenizer of the tokenizers library, asked once for each distinct word.
 
     Only for vocabularies whose tokens hold no white space: then a text's ids are those of
-    its words, one after another. The memory of words is bounded and starts anew when full.
+    its words, one after another. New words are sent together, parted by a special token.
+    The memory of words is bounded and starts anew when full.
     """
 
-    MOST, LONGEST = 300_000, 200
+    MOST, LONGEST, TOGETHER = 300_000, 100, 500
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {"": []}
-
-    def __call__(self, text: str) -> list[int]:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > self.MOST:
-                known = self.known = {"": []}
-                new = [w for w in dict.fromkeys(words) if w]
-            for at in range(0, len(new), 1000):
-                some = new[at : at + 1000]
-                known.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-        out: list[int] = []
-        for w in words:
-            out += known[w]
+        self.special = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items() if not (x.lstrip or x.rstrip or x.single_word or x.normalized)}
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        mark, number = next(iter(self.special.items()), ("", -1))
+        for at in range(0, len(words), self.TOGETHER):
+            some = words[at : at + self.TOGETHER]
+            text = mark.join(some)
+            # No special token may occur but those between the words.
+            if mark and text.count(mark) == len(some) - 1 and not any(m in text for m in self.special if m != mark):
+                ids = np.array(self._encode([text])[0], np.uint32)
+                raw, ends = ids.tobytes(), [*(4 * np.flatnonzero(ids == number)).tolist(), 4 * len(ids)]
+                if len(ends) == len(some):
+                    self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *(e + 4 for e in ends[:-1])], ends))))
+                    continue
+            self.known.update((w, np.array(ids, np.uint32).tobytes()) for w, ids in zip(some, self._encode(some)))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian uint32."""
+        parted = [t.replace("\n", " ").split(" ") for t in texts]
+        new = [w for w in dict.fromkeys(w for ws in parted for w in ws) if w not in self.known]
+        if len(self.known) + len(new) > self.MOST:
+            self.known = {"": b""}
+            new = [w for w in dict.fromkeys(w for ws in parted for w in ws) if w]
+        self._learn(new)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, ws)) for ws in parted]
         for w in new:
             if len(w) > self.LONGEST:
-                del known[w]
+                del self.known[w]
         return out
 
 
@@ -190,7 +210,7 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encode = WordEncoder(tokenizer)
+        encode, last = WordEncoder(tokenizer), np.array([end], np.uint32).tobytes()
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
         total, seq = 0, 0
@@ -200,15 +220,15 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
             return pa.RecordBatch.from_pydict({"shard": [shard], "seq": [seq], "file": [uri], "n_docs": [len(ids)], "n_ids": [total]})
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                x = encode(t.as_py())
-                x.append(end)
-                doc_ids.append(d)
-                ids.append(np.array(x, np.uint32))
-                total += len(x)
-                if total >= FILE_IDS:
-                    yield flush()
-                    doc_ids, ids, total, seq = [], [], 0, seq + 1
+            for at in range(0, b.num_rows, 100):
+                piece = b.slice(at, 100)
+                for d, raw in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist())):
+                    doc_ids.append(d)
+                    ids.append(np.frombuffer(raw + last, np.uint32))
+                    total += len(ids[-1])
+                    if total >= FILE_IDS:
+                        yield flush()
+                        doc_ids, ids, total, seq = [], [], 0, seq + 1
         if ids:
             yield flush()
 
