@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import decontaminate, pieces, rules, secrets, simhash, tokenfiles, warc
+from mosaiq.llm import decontaminate, pieces, repeats, rules, secrets, simhash, tokenfiles, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": rules.query,
     "op3_rule_ablations": rules.query_ablations,
     "op5_simhash_near_dedup": simhash.query,
+    "op6_repeated_passages": repeats.query,
     "op7_warc_archives": warc.query,
     "op8_sentencepiece": pieces.query,
     "op10_benchmark_decontamination": decontaminate.query,
