@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import decontaminate, pieces, repeats, rules, secrets, simhash, tokenfiles, warc
+from mosaiq.llm import classifier, decontaminate, pieces, repeats, rollups, rules, secrets, simhash, tokenfiles, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op2_token_files": tokenfiles.query,
     "op3_quality_rules": rules.query,
     "op3_rule_ablations": rules.query_ablations,
+    "op4_quality_classifier": classifier.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_repeated_passages": repeats.query,
     "op7_warc_archives": warc.query,
     "op8_sentencepiece": pieces.query,
+    "op9_token_counts": rollups.query,
+    "op9_word_counts": rollups.query_words,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 ORACLES = {
@@ -20,5 +23,6 @@ ORACLES = {
     "op3_quality_rules": rules.ORACLE,
     "op3_rule_ablations": rules.ORACLE_ABLATIONS,
     "op7_warc_archives": warc.ORACLE,
+    "op9_word_counts": rollups.ORACLE_WORDS,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
 }
