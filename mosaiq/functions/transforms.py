@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 
@@ -72,7 +73,7 @@ def decompose_arrays(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return t, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30), s
 
 
-@F.pandas_udf("t array<double>, r array<double>, s array<double>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in "trs"]))
 def decompose(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """A matrix's translation, rotation and scale; branches per row make it a batched function."""
     for m in batches:
@@ -85,7 +86,7 @@ def quantised(value: Column, step: float) -> Column:
     return F.round(value.cast("double") / F.lit(step)).cast("long")
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def quantised_floats(values: pd.Series, step: pd.Series) -> pd.Series:
     """Single-precision numbers in steps, divided in single precision as they are stored."""
     one = np.float32(step.iloc[0]) if len(step) else np.float32(1)
