@@ -408,7 +408,7 @@ def root_fallback(s, d):
     return trees.roots_or_all(first.unionByName(documents(s, d).select(c("doc_id").alias("node"), F.lit(3).alias("priority"))))
 
 
-_CHILD = "SELECT n_regionkey, n_nationkey, greatest(0.1 * count(c_custkey), 1.0) AS e FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL"
+_CHILD = "SELECT n_regionkey, n_nationkey, greatest(0.1::DOUBLE * count(c_custkey), 1.0::DOUBLE) AS e FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL"
 
 
 @query(f"SELECT n_regionkey, round(max(e), 6) AS child_error, round(CASE WHEN min(e) <= max(e) THEN greatest(max(e) * 1.05, max(e) + 1) ELSE min(e) END, 6) AS error FROM ({_CHILD}) GROUP BY 1")
