@@ -34,7 +34,7 @@ WINDOW, PIECE = 200, 100
 #: Bytes of text handled at once, and of runs whose suffixes are sorted at once.
 SEGMENT, BATCH = 4 << 20, 512 << 10
 #: Minimizers with more different runs than this are compared by window hashes.
-LOCAL = 512
+LOCAL = 4096
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -199,20 +199,25 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     """(rid, s, e): byte spans of ``docs`` (rid: unique long, text: never null) under repeated windows; they may overlap."""
     spark = docs.sparkSession
     rows = stored(_run_rows(docs), "runs")
-    each = rows.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "a", "b")).alias("first"))
-    each = stored(each, "distinct-runs")
+    each = stored(rows.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n")), "distinct-runs")
     kinds = each.groupBy("key").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("t")).filter("t > 1")
-    known = stored(each.join(kinds, "key").select("key", "ctx", "n", "d", "first.*"), "shared-runs")
+    known = each.join(kinds, "key").select("key", "ctx", "n", "d")
+    # Most runs share their minimizer with no other and go here.
+    shared = stored(rows.join(known, ["key", "ctx"]), "shared-runs")
+    drop_stored(rows)
     drop_stored(each)
-    whole = known.filter("n > 1").select("key", "ctx", F.col("rid").alias("r1"), F.col("a").alias("a1"))
-    out = rows.join(whole, ["key", "ctx"])
+    first = shared.filter("n > 1" if keep_first else "n > 1 AND d > 1").groupBy("key", "ctx").agg(F.min(F.struct("rid", "a", "b")).alias("f"))
+    first = stored(first.select("key", "ctx", "f.*"), "first-runs")
+    out = shared.filter("n > 1")
     if keep_first:
-        out = out.filter("rid <> r1 OR a <> a1")
+        out = out.join(first.select("rid", "a"), ["rid", "a"], "left_anti")
     out = stored(out.select("rid", F.col("a").alias("s"), (F.col("b") + WINDOW).alias("e")), "whole-spans")
-    drop_stored(rows)
+    known = shared.filter("n = 1").select("key", "rid", "a", "b", "n", "d")
+    repeated = shared.filter("n > 1 AND d > 1").select("key", "ctx", "rid", "a", "b", "n", "d").join(first.select("rid", "a"), ["rid", "a"], "left_semi")
+    known = known.unionByName(repeated.select("key", "rid", "a", "b", "n", "d"))
 
     # The bytes of one run of each kind, for minimizers that have several kinds.
-    need = known.filter("d > 1").groupBy("rid").agg(F.collect_list(F.struct("key", "a", "b", "n", "d")).alias("need"))
+    need = known.groupBy("rid").agg(F.collect_list(F.struct("key", "a", "b", "n", "d")).alias("need"))
     found = docs.join(need, "rid").select("rid", F.encode("text", "UTF-8").alias("data"), F.explode("need").alias("x"))
     found = found.select("rid", "x.*", F.expr(f"substring(data, CAST(x.a + 1 AS INT), CAST(x.b - x.a + {WINDOW} AS INT))").alias("bytes"))
     found = stored(found, "kinds")
@@ -226,7 +231,7 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     far = windows.join(again, ["h", "g"])
     far = far.filter("rid <> first.rid OR s <> first.s") if keep_first else far.filter("n = 1")
     far = stored(far.select("rid", "s", (F.col("s") + WINDOW).alias("e")), "far-spans")
-    for x in (known, found, windows):
+    for x in (shared, first, found, windows):
         drop_stored(x)
     return out.unionByName(near).unionByName(far)
 
@@ -262,8 +267,8 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, with_text: bool = T
     tune(docs.sparkSession)
     narrow = _numbered(docs.select("doc_id", "text"))
     spans = repeated_spans(narrow.select("rid", "text"), keep_first)
-    # First joined where they touch within a task's rows, then gathered per document, whose size bounds them.
-    spans = spans.distinct().groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # A run of windows gives one span at most, so a document's size bounds what is gathered.
+    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     whole = narrow.join(spans, "rid", "left").select("doc_id", "text", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text]
 
