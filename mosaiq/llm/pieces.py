@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ class Pieces:
     """A model's pieces, and the search over them."""
 
     #: Encodings of words that are remembered, anew when full; longer words are not.
-    MOST, LONGEST = 400_000, 48
+    MOST, LONGEST = 2_000_000, 48
     #: Of the hash of a piece, a polynomial in its code points modulo 2**64.
     BASE = 0x5851F42D4C957F2D
 
@@ -63,7 +64,7 @@ class Pieces:
         self.bytes = [bytes_of.get(i, b"" if p.type == 3 else p.piece.replace(SPACE, " ").encode()) for i, p in enumerate(model.pieces)]
         self.bytes[self.unknown] = " ⁇ ".encode()
         self.names = {i: p for p, i in self.id.items()}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.edges: dict[str, tuple] = {}
         self.whole: dict[str, bool] = {}
         # A character of no piece is an edge by itself, so it parts words as a space does.
@@ -291,32 +292,36 @@ class Pieces:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts; their new words are searched together."""
+    def _pack(self, ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (uint32) of whole texts; their new words are searched together."""
+        alone = lambda t: self._pack([i for p in self.search(t) for i in self._ids(p)])
         if not self.by_word:
-            return [[i for p in self.search(self.normal(t)) for i in self._ids(p)] for t in texts]
+            return [np.frombuffer(alone(self.normal(t)), np.uint32) for t in texts]
         parted = [self.word.findall(self.normal(t)) for t in texts]
+        new = set().union(*parted).difference(self.words)
+        if len(self.words) + len(new) > self.MOST:
+            self.words = {}
+            new = set().union(*parted)
         words = self.words
-        new = [w for w in dict.fromkeys(w for ws in parted for w in ws) if w not in words]
-        if len(words) + len(new) > self.MOST:
-            words.clear()
-            new = list(dict.fromkeys(w for ws in parted for w in ws))
         short = [w for w in new if len(w) <= self.LONGEST] if self.kind == BPE else []
         if short:
-            words.update(zip(short, self.search_words(short)))
-        for w in new:
-            if w not in words:
-                words[w] = [i for p in self.search(w) for i in self._ids(p)]
-        out = [[i for w in ws for i in words[w]] for ws in parted]
+            words.update(zip(short, map(self._pack, self.search_words(short))))
+        words.update((w, alone(w)) for w in new if w not in words)
+        get = words.__getitem__
+        out = [np.frombuffer(b"".join(map(get, ws)), np.uint32) for ws in parted]
         for w in new:
             if len(w) > self.LONGEST:
                 del words[w]
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
@@ -352,11 +357,10 @@ def encode_documents(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_
                 for text, ids in zip(texts, coder.encode_all(texts)):
                     back = coder.decode(ids)
                     n.append(len(ids))
-                    raw = np.array(ids, "<u4")
-                    crc.append(zlib.crc32(raw.tobytes()))
+                    crc.append(zlib.crc32(ids.tobytes()))
                     sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
                     same.append(back == text)
-                    all_ids.append(raw.astype(np.int32) if with_ids else None)
+                    all_ids.append(ids.view(np.int32) if with_ids else None)
                 out = [*b.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha), pa.array(same)]
                 if with_ids:
                     out.append(pa.array(all_ids, pa.list_(pa.int32())))
