@@ -30,13 +30,13 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def count_tokens(docs: DataFrame, path: str, version: str) -> DataFrame:
     """``docs`` counted by a tokenizer of the tokenizers library; null texts have no tokens."""
-    from mosaiq.llm.tokenfiles import WordEncoder
+    from mosaiq.llm.tokenfiles import encoder_of
 
     tune(docs.sparkSession)
     narrow = docs.select("doc_id", "source", "lang", text_or_empty().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path)
+        encode = encoder_of(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 100):
                 b = whole.slice(at, 100)

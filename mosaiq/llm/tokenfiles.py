@@ -141,10 +141,13 @@ class WordEncoder:
 
     Only for vocabularies whose tokens hold no white space: then a text's ids are those of
     its words, one after another. New words are sent together, parted by a special token.
-    The memory of words is bounded and starts anew when full.
+    The memory of words is bounded and starts anew when full. A word of letters below
+    U+0100 is sought in lower case and without a full stop or comma at its end, which such
+    a tokenizer lowers and parts itself; ``check`` holds the tokenizer against that.
     """
 
-    MOST, LONGEST, TOGETHER = 300_000, 100, 500
+    MOST, LONGEST, TOGETHER = 2_000_000, 100, 500
+    STOPS = ".,!?;:"
 
     def __init__(self, path: str):
         import os
@@ -155,6 +158,16 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items() if not (x.lstrip or x.rstrip or x.single_word or x.normalized)}
         self.known: dict[str, bytes] = {"": b""}
+        sample = ["Abc", "ÀÉÞß", "x1", "Z"]
+        self.plain = all(self._encode([w + s])[0] == self._encode([w.lower()])[0] + self._encode([s])[0] for w in sample for s in self.STOPS)
+
+    def _stem(self, word: str) -> tuple[str, str] | None:
+        """The lower-case word without its stop, and the stop, if the ids are those of the two."""
+        stop = word[-1] if word[-1] in self.STOPS and len(word) > 1 else ""
+        stem = word[:-1] if stop else word
+        if self.plain and stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
+            return stem.lower(), stop
+        return None
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -176,19 +189,35 @@ class WordEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian uint32."""
         parted = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [w for w in dict.fromkeys(w for ws in parted for w in ws) if w not in self.known]
-        if len(self.known) + len(new) > self.MOST:
+        new = set().union(*parted).difference(self.known)
+        if len(self.known) + 2 * len(new) > self.MOST:
             self.known = {"": b""}
-            new = [w for w in dict.fromkeys(w for ws in parted for w in ws) if w]
-        self._learn(new)
-        get = self.known.__getitem__
+            new = set().union(*parted).difference(self.known)
+        known = self.known
+        stems = {w: x for w in new if (x := self._stem(w))}
+        wanted = {w for w in new if w not in stems} | {p for x in stems.values() for p in x}
+        self._learn(list(wanted.difference(known)))
+        known.update((w, known[a] + known[b]) for w, (a, b) in stems.items())
+        get = known.__getitem__
         out = [b"".join(map(get, ws)) for ws in parted]
         for w in new:
             if len(w) > self.LONGEST:
-                del self.known[w]
+                del known[w]
+                if w in stems:
+                    known.pop(stems[w][0], None)
         return out
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of a file, read once per Python worker; what it has learned serves the worker's later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def _ordered(docs: DataFrame) -> DataFrame:
     """Documents in ranges of doc_id, in order within each; repeated ids in the order of their texts."""
     n = partitions(docs.sparkSession)
@@ -210,7 +239,7 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encode, last = WordEncoder(tokenizer), np.array([end], np.uint32).tobytes()
+        encode, last = encoder_of(tokenizer), np.array([end], np.uint32).tobytes()
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
         total, seq = 0, 0
