@@ -199,13 +199,15 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     """(rid, s, e): byte spans of ``docs`` (rid: unique long, text: never null) under repeated windows; they may overlap."""
     spark = docs.sparkSession
     rows = stored(_run_rows(docs), "runs")
-    each = stored(rows.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n")), "distinct-runs")
-    kinds = each.groupBy("key").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("t")).filter("t > 1")
-    known = each.join(kinds, "key").select("key", "ctx", "n", "d")
     # Most runs share their minimizer with no other and go here.
-    shared = stored(rows.join(known, ["key", "ctx"]), "shared-runs")
+    keys = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("t")).filter("t > 1").select("key"), "shared-keys")
+    met = stored(rows.join(keys, "key", "left_semi"), "met-runs")
     drop_stored(rows)
-    drop_stored(each)
+    each = met.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"))
+    kinds = stored(each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("d")), "key"), "kinds-of-runs")
+    shared = stored(met.join(kinds, ["key", "ctx"]), "shared-runs")
+    for x in (keys, met, kinds):
+        drop_stored(x)
     first = shared.filter("n > 1" if keep_first else "n > 1 AND d > 1").groupBy("key", "ctx").agg(F.min(F.struct("rid", "a", "b")).alias("f"))
     first = stored(first.select("key", "ctx", "f.*"), "first-runs")
     out = shared.filter("n > 1")
