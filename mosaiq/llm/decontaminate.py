@@ -197,7 +197,8 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, drop: bool = False) -> DataFrame:
     tune(docs.sparkSession)
-    df = docs.select("*", text_or_empty().alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.lit(None).cast("array<long>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
+    # The columns go along as one, so none of theirs can meet one of ours.
+    df = docs.select(F.struct("*").alias("__row"), text_or_empty().alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.lit(None).cast("array<long>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
     for block in _blocks(benchmark):
         df = _step(df, block, drop)
     return df
@@ -210,12 +211,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items that repeat count by their id. Rows may repeat; other columns are ignored.
     """
     df = _scanned(docs.select("doc_id", "text"), benchmark)
-    return df.select("doc_id", F.col("__n_words").alias("n_words"), F.coalesce("__spans", F.array().cast("array<long>")).alias("spans"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
+    return df.select("__row.doc_id", F.col("__n_words").alias("n_words"), F.coalesce("__spans", F.array().cast("array<long>")).alias("spans"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of ``benchmark`` occurs, unchanged, all columns."""
-    return _scanned(docs, benchmark, drop=True).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _scanned(docs, benchmark, drop=True).select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,8 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     so do all other columns, except that ``n_chars``, where there is one, follows the text.
     """
     names = docs.columns
-    df = with_spans(docs, "text")
+    # The columns go along as one, so none of theirs can meet one of ours.
+    df = with_spans(docs.select(F.struct("*").alias("__row"), "text"), "text")
     df = df.withColumn("__all", F.expr(_all_spans(KINDS)))
     # Merge spans by start: the last piece of acc is open until one begins behind it.
     # Blocks keep the copying of the growing list small; touching blocks are joined again when cut.
@@ -162,10 +163,11 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     df = df.withColumn("__from", F.expr("concat(array(0), transform(__cut, x -> x.e))"))
     pieces = f"""concat_ws('', flatten(zip_with(slice(__from, 1, size(__cut)), __cut,
         (o, x) -> array(substr(__t, o + 1, x.s - o), CASE WHEN x.joined THEN '' ELSE '{mark}' END))), substr(__t, element_at(__from, -1) + 1))"""
-    df = df.withColumn("text", F.when(settled(F.size("__cut") > 0), F.expr(pieces)).otherwise(F.col("text")))
+    df = df.withColumn("__new", F.when(settled(F.size("__cut") > 0), F.expr(pieces)))
+    put = {"text": F.coalesce("__new", "__row.text")}
     if "n_chars" in names:
-        df = df.withColumn("n_chars", F.when(F.size("__cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(*[F.col(f"`{c}`") for c in names])
+        put["n_chars"] = F.coalesce(F.length("__new").cast(docs.schema["n_chars"].dataType), "__row.n_chars")
+    return df.select(*[put.get(c, F.col(f"__row.`{c}`")).alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,9 +158,9 @@ def drop_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     told apart and all stay. Columns are unchanged.
     """
     classes = near_duplicates(docs, shingle)
-    kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id IS NOT NULL")
-    named = named.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    named = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return named.unionByName(docs.filter("doc_id IS NULL"))
 
 
