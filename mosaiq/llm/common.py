@@ -26,13 +26,13 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def settled(condition: Column) -> Column:
-    """``condition`` as it is, in a form that Catalyst doesn't push below the columns it reads.
+def anchored(value: Column) -> Column:
+    """``value`` as it is, in a form that keeps later filters above the projection it stands in.
 
-    A filter moved below a projection repeats the projection's expressions, inside lambda
-    bodies even once per element. The added term is true for every row.
+    A filter that Catalyst moves below a projection repeats the projection's expressions,
+    inside lambda bodies even once per element. The condition holds for every row.
     """
-    return condition & (F.monotonically_increasing_id() >= 0)
+    return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
 def shared_root(spark: SparkSession) -> str:

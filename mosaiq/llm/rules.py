@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import load, settled, text_or_empty
+from mosaiq.llm.common import anchored, load, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -87,7 +87,7 @@ def _measured(docs: DataFrame) -> DataFrame:
     df = df.withColumn("__o", F.expr("CASE WHEN size(array_distinct(__h)) = size(__h) THEN array() ELSE sort_array(transform(__h, (x, i) -> struct(x AS h, i AS i))) END"))
     df = df.withColumn("__at", F.expr("""sort_array(filter(transform(__o, (x, k) -> CASE WHEN x.h = get(__o, k - 1).h OR x.h = get(__o, k + 1).h THEN x.i ELSE -1 END), x -> x >= 0))"""))
     df = df.withColumn("__n_repeat_words", F.expr("aggregate(zip_with(__at, slice(__at, 2, size(__at)), (a, b) -> CASE WHEN b IS NULL THEN 3 ELSE least(3, b - a) END), 0, (a, x) -> a + x)"))
-    return df.drop("__t", "__w", "__lines", "__h", "__o", "__at")
+    return df.withColumn("__n_words", anchored(F.col("__n_words"))).drop("__t", "__w", "__lines", "__h", "__o", "__at")
 
 
 def _bits(measure: str = "{}") -> str:
@@ -136,8 +136,7 @@ def keep_good(docs: DataFrame, version: int = CURRENT) -> DataFrame:
     # The columns go along as one, so none of theirs can meet one of ours.
     df = _measured(docs.select(F.struct("*").alias("__row"), "text"))
     df = df.withColumn("__fail_bits", F.expr(_bits("__{}")).cast("long"))
-    df = df.withColumn("__kept", settled(~F.expr(POLICIES[version].rejects("__fail_bits"))))
-    return df.filter("__kept").select("__row.*")
+    return df.filter(~F.expr(POLICIES[version].rejects("__fail_bits"))).select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

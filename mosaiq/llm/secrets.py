@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import load, settled, text_or_empty
+from mosaiq.llm.common import anchored, load, text_or_empty
 
 # Patterns that find secrets. Letters are spelled in both cases, since
 # (?i) would differ between regular-expression engines beyond ASCII.
@@ -104,7 +104,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         keep[f"__s_{k}"] = F.expr(f"filter(__a_{k}, x -> {length} >= {least})")
     for k, (_, least) in CLASSES.items():
         keep[f"__s_{k}"] = F.expr(f"filter(__a_{k}, x -> NOT (x.v RLIKE {_quoted(ALLOW)}) AND {_entropy('x.v')} >= {least}D)")
-    df = df.withColumns(keep)
+    df = df.withColumns(keep | {"__s_assign": anchored(keep["__s_assign"])})
     return df.drop(*[f"__{c}_{k}" for c in "mpgloa" for k in patterns])
 
 
@@ -163,7 +163,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     df = df.withColumn("__from", F.expr("concat(array(0), transform(__cut, x -> x.e))"))
     pieces = f"""concat_ws('', flatten(zip_with(slice(__from, 1, size(__cut)), __cut,
         (o, x) -> array(substr(__t, o + 1, x.s - o), CASE WHEN x.joined THEN '' ELSE '{mark}' END))), substr(__t, element_at(__from, -1) + 1))"""
-    df = df.withColumn("__new", F.when(settled(F.size("__cut") > 0), F.expr(pieces)))
+    df = df.withColumn("__new", anchored(F.when(F.size("__cut") > 0, F.expr(pieces))))
     put = {"text": F.coalesce("__new", "__row.text")}
     if "n_chars" in names:
         put["n_chars"] = F.coalesce(F.length("__new").cast(docs.schema["n_chars"].dataType), "__row.n_chars")

@@ -428,3 +428,11 @@ def test_leaks_equal_plain_search(spark, odd, none, monkeypatch, block):
     assert clean.columns == odd.columns
     same(pairs(clean), [(d, t) for d, t in pairs(odd) if not plain_leaks(t, items)[2]])
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.decontaminate(odd, bench.limit(0)).count() == odd.count()
+
+
+def test_filters_on_results_stay_above_them(spark, data):
+    """Catalyst may not move a filter into the expressions below, where it would repeat them."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for df, cond in ((rules.apply_policy(rules.ledger(docs)), "kept"), (secrets.scan_secrets(docs), "n_hex > 0"), (secrets.redact_secrets(docs), "text LIKE '%SECRET%'")):
+        plan = df.filter(cond)._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(line.lstrip(" +-:").startswith("Filter") and "regexp_extract_all" in line for line in plan.splitlines())
