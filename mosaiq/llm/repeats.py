@@ -32,7 +32,7 @@ from mosaiq.llm.common import drop_stored, load, partitions, stored, text_or_emp
 #: Bytes of a window and of the pieces among which its minimizer is.
 WINDOW, PIECE = 200, 100
 #: Bytes of text handled at once, and of runs whose suffixes are sorted at once.
-SEGMENT, BATCH = 4 << 20, 512 << 10
+SEGMENT, BATCH = 2 << 20, 256 << 10
 #: Minimizers with more different runs than this are compared by window hashes.
 LOCAL = 4096
 
@@ -129,7 +129,10 @@ def earlier_matches(parts: list[bytes], depth: int = WINDOW) -> tuple[np.ndarray
         return starts, starts, np.zeros(0, bool)
     keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, depth)[starts]).view(f"S{depth}").ravel()
     order = np.argsort(keys, kind="stable")
-    same = np.append(False, keys[order[1:]] == keys[order[:-1]])  # the LCP with the left neighbour is a window or more
+    same = np.zeros(len(order), bool)  # the LCP with the left neighbour is a window or more
+    for at in range(1, len(order), 10_000):  # piece by piece, as the keys are many times larger than their text
+        piece = order[at - 1 : at + 10_000]
+        same[at : at + 10_000] = keys[piece[1:]] == keys[piece[:-1]]
     previous = np.full(len(starts), -1, np.int64)
     previous[order[same]] = starts[order[np.flatnonzero(same) - 1]]
     any_ = np.zeros(len(starts), bool)
