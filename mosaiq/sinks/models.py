@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.functions.transforms import decompose_arrays
+from mosaiq.operators.simplify import simplified
 from mosaiq.sources.gltf import Node, Primitive, Writer, cube, parse, primitives_of
 
 
@@ -43,10 +44,13 @@ def write_models(members: DataFrame, files: DataFrame, by: list[str]) -> DataFra
     ``members`` has the ``by`` columns, mesh_key, model_id, mesh_ix (those of the mesh to
     draw, its group's representative), instanced, trav_ord and world; ``files`` model_id
     and content. Placements are gathered per mesh first, so that a file's bytes meet a
-    mesh once and not each of its placements; a group is what one file can hold.
+    mesh once and not each of its placements; a group is what one file can hold. A column
+    ``ratio``, if there is one, says how many of a mesh's indices to keep.
     """
+    if "ratio" not in members.columns:
+        members = members.withColumn("ratio", F.lit(1.0))
     at = F.array_sort(F.collect_list(F.struct("trav_ord", "world")))
-    meshes = members.groupBy(*by, "mesh_key", "model_id", "mesh_ix", "instanced").agg(at.alias("at"))
+    meshes = members.groupBy(*by, "mesh_key", "model_id", "mesh_ix", "instanced", "ratio").agg(at.alias("at"))
     drawn = meshes.join(files.select("model_id", "content"), "model_id")
     cut = drawn.mapInPandas(_cut_out(by), ", ".join(f"`{n}` {t}" for n, t in drawn.select(*by).dtypes) + ", mesh_key string, name string, instanced boolean, mesh binary, worlds array<array<double>>, first array<int>")
 
@@ -68,7 +72,7 @@ def _cut_out(by: list[str]):
                 g = parse(bytes(r["content"]))
                 name = g.items("meshes")[r["mesh_ix"]].get("name")
                 w = Writer()
-                w.mesh(primitives_of(g, r["mesh_ix"]), name)
+                w.mesh([simplified(p, r["ratio"]) for p in primitives_of(g, r["mesh_ix"])], name)
                 at = r["at"]
                 rows.append([*[r[k] for k in by], str(r["mesh_key"]), name or "", r["instanced"], w.finish(), [x["world"] for x in at], list(at[0]["trav_ord"])])
             yield pd.DataFrame(rows, columns=[*by, "mesh_key", "name", "instanced", "mesh", "worlds", "first"])

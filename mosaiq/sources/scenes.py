@@ -75,7 +75,7 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     """Files below a folder and those its tilesets name, each once; names without a file are left out."""
     files = find(spark, folder)
     named = referenced(spark, folder).join(files.select("path"), "path", "left_anti")
-    more = [r.path for r in named.limit(10_000).collect()]  # names outside the folder; rows of text
+    more = [r.path for r in named.toLocalIterator()]  # only names of files outside the folder
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     there = [p for p in more if (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(h)]
