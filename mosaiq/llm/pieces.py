@@ -38,7 +38,7 @@ class Pieces:
     """A model's pieces, and the search over them."""
 
     #: Encodings of words that are remembered, anew when full; longer words are not.
-    MOST, LONGEST = 2_000_000, 48
+    MOST, LONGEST = 500_000, 48
     #: Of the hash of a piece, a polynomial in its code points modulo 2**64.
     BASE = 0x5851F42D4C957F2D
 
