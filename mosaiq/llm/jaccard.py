@@ -1,0 +1,163 @@
+"""Near copies by exact Jaccard similarity of their shingles of five words.
+
+Candidates come from MinHash: texts that agree in all hashes of one band meet in a bucket.
+With 36 bands of 6 hashes a pair of similarity 0.8 misses every band with a chance of
+2e-5, a closer one with less. Every link is verified over the whole sets of shingles.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from mosaiq.llm.common import drop_stored, stored, text_or_empty, tune
+from mosaiq.llm.components import components
+from mosaiq.llm.simhash import keep_least
+
+SHINGLE, SEED = 5, 42
+#: Similar are texts whose common shingles are at least four fifths of all of theirs.
+PART, WHOLE = 4, 5
+BANDS, ROWS = 36, 6
+#: Buckets up to PAIRS members are joined pair by pair; larger ones are compared by blocks of LOCAL in one task each.
+PAIRS, LOCAL = 8, 2048
+#: Pairs of large buckets are verified if this share of their hashes agrees: five deviations below the 0.8 sought.
+FLOOR = 0.65
+
+_FLIP, _TIMES = (np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64, endpoint=False))
+_TIMES |= np.uint64(1)
+
+
+def shingles(text: str) -> np.ndarray:
+    """Sorted 64-bit hashes of the different shingles; a text of fewer words is one shingle, one without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+
+
+def node_of(grams: np.ndarray) -> int:
+    """A signed 64-bit digest of the set, equal for equal sets."""
+    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), SEED)).view(np.int64))
+
+
+def minhashes(grams: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS least hashes of a set that isn't empty."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), 1 << 11):  # a bounded piece of a long text at a time
+        least = np.minimum(least, ((grams[None, at : at + (1 << 11)] ^ _FLIP) * _TIMES).min(axis=1))
+    return least
+
+
+def _signed_up(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, bands, sig): the digest of each text's set, the keys of its bands, a byte of each hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, bands, sigs = [], [], []
+            for t in b.column(1):
+                grams = shingles(t.as_py())
+                nodes.append(node_of(grams))
+                least = minhashes(grams) if len(grams) else np.zeros(0, np.uint64)
+                keys = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(-1, ROWS))]
+                bands.append(np.array(keys, np.uint64).view(np.int64))
+                sigs.append((least >> np.uint64(24)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "node", "bands", "sig"])
+
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, grams): the shingles of the texts of ``wanted`` (doc_id, node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [(n, g) for n, g in zip(b.column(0).to_pylist(), (shingles(t.as_py()) for t in b.column(1))) if node_of(g) == n]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], pa.int64()), pa.array([g.view(np.int64) for _, g in kept], pa.list_(pa.int64()))], ["node", "grams"])
+
+    return docs.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, grams array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose similarity is 0.8 or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(WHOLE * both >= PART * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    left, right = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_grams", "b_grams")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def _block_pairs(met: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b) of large buckets that may be similar and aren't joined yet: every two blocks of a bucket meet in one task."""
+    floor = FLOOR * BANDS * ROWS
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["lo"].iat[0], group["hi"].iat[0]
+        node, root, block = (group[c].to_numpy() for c in ("node", "root", "block"))
+        sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
+        out = []
+        for k in np.flatnonzero(block == i):
+            near = ((sig == sig[k]).sum(axis=1) >= floor) & (root != root[k]) & ((block == j) if i != j else (node > node[k]))
+            out += [(min(node[k], x), max(node[k], x)) for x in node[near]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    blocks = F.ceil(F.col("n") / LOCAL).cast("int")
+    dealt = met.join(sigs, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", "node", "root", "sig", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return dealt.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of the rows with a doc_id: the least doc_id that links of similarity 0.8 or more reach.
+
+    Texts of equal sets, those without words among them, are one node from the start. Of
+    each bucket all are first held against its least node; what that leaves in several
+    components is compared pair by pair across them.
+    """
+    tune(docs.sparkSession)
+    named = docs.filter("doc_id IS NOT NULL").select("doc_id", text_or_empty().alias("text"))
+    of = stored(_signed_up(named), "minhashes")
+    nodes = stored(of.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    heads = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).filter("n > 1")
+    met = stored(keys.join(heads, "key"), "buckets")
+    wanted = met.select("node").distinct().join(nodes, "node").select("node", F.col("least").alias("doc_id"))
+    sets = stored(_sets(named, wanted), "sets")
+    stars = met.filter("node <> centre").groupBy("node").agg(F.min("centre").alias("b")).select(F.col("node").alias("a"), "b")
+    links = stored(_verified(stars, sets), "near")
+    roots = components(links)
+    open_ = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    several = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "n")
+    open_ = stored(open_.join(several, "key"), "open")
+    few = open_.filter(f"n <= {PAIRS}")
+    pairs = few.select("key", F.col("node").alias("a"), F.col("root").alias("r")).join(few.select("key", F.col("node").alias("b"), F.col("root").alias("s")), "key").filter("a < b AND r <> s").select("a", "b")
+    pairs = pairs.union(_block_pairs(open_.filter(f"n > {PAIRS}"), nodes.select("node", "sig"))).distinct()
+    found = stored(links.union(_verified(pairs, sets)), "near")
+    for done in (met, sets, open_, links):
+        drop_stored(done)
+    roots = components(found)
+    nodes = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    first = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return of.select("doc_id", "node").join(nodes.select("node", "root"), "node").join(first, "root").select("doc_id", "component_id")
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of near copies, as ``simhash.keep_least`` says."""
+    return keep_least(docs, near_copies(docs))

@@ -151,19 +151,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return of.join(fps.select("fp", "root"), "fp").join(first, "root").select("doc_id", "fp", "component_id")
 
 
-def drop_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group of near copies: that with the least doc_id.
+def keep_least(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``docs`` with one document of each class (doc_id, component_id): that with the least doc_id.
 
     Rows that repeat a doc_id count as copies: one stays. Rows without doc_id can't be
     told apart and all stay. Columns are unchanged.
     """
-    classes = near_duplicates(docs, shingle)
     kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id IS NOT NULL")
     named = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return named.unionByName(docs.filter("doc_id IS NULL"))
 
 
+def drop_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each group of near copies, as ``keep_least`` says."""
+    return keep_least(docs, near_duplicates(docs, shingle))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(load(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
