@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions.boxes import Box, tileset_error
@@ -67,25 +67,38 @@ def tileset_json(s: SparkSession, d: str) -> DataFrame:
     return tilesets.from_tree(rows)
 
 
-def simplify_chain(s: SparkSession, d: str) -> DataFrame:
-    """Levels of a surface per label: a grid of 20 by 20 whose heights are the label's embeddings."""
-    grid = catalog.embeddings(s, d).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("e"))
+def surfaces(embeddings: DataFrame, run: int = 6) -> DataFrame:
+    """(id, positions, indices, n_rows): a label's embeddings in order of vec_id, ``run`` or up to twice as many to a grid.
+
+    Every number is the height of one point and every point is a corner of a triangle. A
+    grid is bounded, so the work grows by more grids and not by larger ones.
+    """
+    order = Window.partitionBy("label").orderBy("vec_id", "embedding")
+    ranked = embeddings.select("label", "vec_id", "embedding", (F.row_number().over(order) - 1).alias("at"))
+    sizes = embeddings.groupBy("label").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / run)).alias("runs"))
+    # The last run takes what is left over, so that none is too small to simplify.
+    dealt = ranked.join(sizes, "label").withColumn("run", F.least(F.floor(F.col("at") / run), F.col("runs") - 1))
+    grid = dealt.groupBy("label", "run").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("e"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 20
         for b in batches:
             rows = []
-            for label, e in zip(b["label"], b["e"]):
-                h = np.resize(np.concatenate([np.asarray(x["embedding"], float) for x in e]), n * n)
-                v = np.stack([np.repeat(np.arange(n), n), np.tile(np.arange(n), n), h], axis=1).astype(float)
-                c = np.add.outer(np.arange(n - 1) * n, np.arange(n - 1)).ravel()
+            for label, k, e in zip(b["label"], b["run"], b["e"]):
+                h = np.concatenate([np.asarray(x["embedding"], float) for x in e])
+                n = max(i for i in range(1, int(len(h) ** 0.5) + 1) if len(h) % i == 0)
+                m = len(h) // n
+                v = np.stack([np.repeat(np.arange(m), n), np.tile(np.arange(n), m), h], axis=1).astype(float)
+                c = np.add.outer(np.arange(m - 1) * n, np.arange(n - 1)).ravel()
                 ix = np.stack([c, c + 1, c + n, c + 1, c + n + 1, c + n], axis=1).ravel()
-                rows.append((label, v.ravel(), ix))
-            yield pd.DataFrame(rows, columns=["id", "positions", "indices"])
+                rows.append((f"{label}-{k}", v.ravel(), ix, len(e)))
+            yield pd.DataFrame(rows, columns=["id", "positions", "indices", "n_rows"])
+
+    return grid.mapInPandas(build, "id string, positions array<double>, indices array<int>, n_rows long")
 
-    kind = dict(grid.dtypes)["label"]
-    meshes = grid.mapInPandas(build, f"id {kind}, positions array<double>, indices array<int>")
-    return simplify.simplify_chain(meshes, levels=3, ratio=0.5).select("id", "level", "triangles")
+
+def simplify_chain(s: SparkSession, d: str) -> DataFrame:
+    """Levels of the surfaces whose heights are the embeddings of a label, all of them."""
+    return simplify.simplify_chain(surfaces(catalog.embeddings(s, d)), levels=3, ratio=0.5).select("id", "level", "triangles")
 
 
 def tileset_errors(s: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import pytest
 
+from mosaiq.operators import simplify
 from mosaiq.plans import catalog, scene_queries
 from tests.rows import check
 
@@ -43,6 +44,20 @@ def test_simplified_levels_shrink(spark, data):
         assert [levels[i] >= levels[i + 1] >= 1 for i in range(3)] == [True] * 3
 
 
+def test_every_embedding_enters_a_simplified_surface(spark, data):
+    rows = catalog.embeddings(spark, data).select("label", "vec_id", "embedding").collect()
+    grids = scene_queries.surfaces(catalog.embeddings(spark, data)).collect()
+    assert sum(g.n_rows for g in grids) == len(rows)
+    assert sorted(x for g in grids for x in g.positions[2::3]) == sorted(x for r in rows for x in r.embedding)
+    assert all(set(g.indices) == set(range(len(g.positions) // 3)) for g in grids)
+    few = scene_queries.surfaces(catalog.embeddings(spark, data).filter("vec_id < 120"))
+    of = {}
+    for r in simplify.simplify_chain(few, levels=1).collect():
+        of.setdefault(r.id, {})[r.level] = r.triangles
+    assert {k: v[0] for k, v in of.items()} == {g.id: len(g.indices) // 3 for g in few.collect()}
+    assert all(v[1] < v[0] for v in of.values())
+
+
 def test_whole_entry(spark):
     import __spark_entry__ as e
 
