@@ -7,12 +7,15 @@ of their offsets, so that any record can be read by itself.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,6 +30,8 @@ LEAST = 100
 #: Bytes of records in an archive, give or take a record.
 ARCHIVE = 8 << 20
 LEVEL = 1
+#: Parts in which archives are normalised, one after another.
+WAVES = 4
 #: Every record bears this date, so that archives don't differ between runs.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,14 +64,23 @@ def headers(head: bytes) -> dict[str, str]:
 
 
 def inflate(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """The bytes of a gzip stream of one member or several, in bounded pieces."""
-    z = zlib.decompressobj(31)
+    """The bytes of a gzip stream of one member or several, in bounded pieces.
+
+    A stream that ends within a member, or holds none, is an error.
+    """
+    z, begun = zlib.decompressobj(31), True
     for piece in pieces:
         while piece:
+            begun = True
             yield z.decompress(piece, 1 << 20)
             piece = z.unconsumed_tail
             if z.eof:
-                piece, z = z.unused_data, zlib.decompressobj(31)
+                piece, z, begun = z.unused_data, zlib.decompressobj(31), False
+    while begun and not z.eof:  # what the last piece still holds
+        left = z.decompress(z.unconsumed_tail, 1 << 20)
+        if not left:
+            raise ValueError("the gzip stream ends within a member")
+        yield left
 
 
 def split_records(stream: Iterator[bytes]) -> Iterator[bytes]:
@@ -90,16 +104,20 @@ def split_records(stream: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("the archive ends within a record")
 
 
-def normalise(pieces: Iterator[bytes]) -> tuple[bytes, bytes]:
-    """A member per record, and the index: a JSON line with offset, length, type and page of each."""
-    out, index = bytearray(), []
+def normalise(pieces: Iterator[bytes], out: BinaryIO, index: BinaryIO) -> int:
+    """Write a member per record to ``out`` and a JSON line with its offset, length, type and page to ``index``; the number of records.
+
+    One record is in memory at a time, however long the archive is.
+    """
+    n = offset = 0
     for r in split_records(inflate(pieces)):
         h = headers(r[: r.index(b"\r\n\r\n")])
         z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         member = z.compress(r) + z.flush()
-        index.append(json.dumps({"offset": len(out), "length": len(member), "type": h["warc-type"], "page": h.get("x-page-id"), "uri": h.get("warc-target-uri")}))
-        out += member
-    return bytes(out), "\n".join(index).encode()
+        index.write(json.dumps({"offset": offset, "length": len(member), "type": h["warc-type"], "page": h.get("x-page-id"), "uri": h.get("warc-target-uri")}).encode() + b"\n")
+        out.write(member)
+        n, offset = n + 1, offset + len(member)
+    return n
 
 
 def read_record(r: bytes) -> dict:
@@ -151,28 +169,44 @@ def write_archives(pages: DataFrame) -> DataFrame:
     return stored(pages.mapInArrow(run, "file string, n_records long"), "archives")
 
 
-def normalise_archives(archives: DataFrame, keep: bool = False) -> DataFrame:
-    """(file, index, n_records) of the archives with a member per record; the monolithic ones go unless ``keep``."""
-    spark = archives.sparkSession
-    folder = scratch(spark, "records")
-
+def _normalise_some(archives: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data, index = normalise(files.pieces(f))
-                yield pa.RecordBatch.from_pydict({"file": [files.put(folder, "records.warc.gz", data)], "index": [files.put(folder, "records.idx", index)], "n_records": [n]})
+                with files.new(folder, "records.warc.gz") as (data, out), files.new(folder, "records.idx") as (index, lines):
+                    if normalise(files.pieces(f), out, lines) != n:
+                        raise ValueError(f"{f} doesn't hold the {n} records written to it")
+                yield pa.RecordBatch.from_pydict({"file": [data], "index": [index], "n_records": [n]})
 
-    out = stored(archives.select("file", "n_records").repartition(partitions(spark)).mapInArrow(run, "file string, index string, n_records long"), "records")
-    if not keep:
+    return archives.repartition(partitions(archives.sparkSession)).mapInArrow(run, "file string, index string, n_records long")
 
-        def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for f in b.column(0).to_pylist():
-                    files.remove(f)
-                yield b
 
-        archives.select("file").mapInArrow(drop, "file string").write.format("noop").mode("overwrite").save()
-    return out
+def _remove(archives: DataFrame) -> None:
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for f in b.column(0).to_pylist():
+                files.remove(f)
+            yield b
+
+    archives.select("file").mapInArrow(drop, "file string").write.format("noop").mode("overwrite").save()
+
+
+def normalise_archives(archives: DataFrame, keep: bool = False) -> DataFrame:
+    """(file, index, n_records) of the archives with a member per record; the monolithic ones go unless ``keep``.
+
+    It works in WAVES. The archives of a wave are deleted once the table of their new files
+    is written, so both forms of a wave at most lie on the disk together. A repeated
+    deletion finds nothing and passes.
+    """
+    spark = archives.sparkSession
+    folder = scratch(spark, "records")
+    done = []
+    for wave in range(WAVES):
+        some = archives.filter(F.pmod(F.xxhash64("file"), F.lit(WAVES)) == wave).select("file", "n_records")
+        done.append(stored(_normalise_some(some, folder), "records"))
+        if not keep:
+            _remove(some)
+    return functools.reduce(DataFrame.union, done)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -183,10 +217,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, index in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = memoryview(files.get(f))
-                places = map(json.loads, files.get(index).splitlines())
-                rows = [read_record(zlib.decompress(data[p["offset"] : p["offset"] + p["length"]], 31)) for p in places]
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                places = ((p["offset"], p["length"]) for p in map(json.loads, files.lines(index)))
+                members = files.spans(f, places)
+                while rows := [read_record(zlib.decompress(m, 31)) for m in itertools.islice(members, 1000)]:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
     return archives.select("file", "index").repartition(partitions(archives.sparkSession)).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
