@@ -252,27 +252,83 @@ def plain_removed(rows, keep_first):
     return out
 
 
-@pytest.mark.parametrize("local", [4096, 1])
-def test_repeats_equal_all_windows(odd, none, monkeypatch, local):
-    monkeypatch.setattr(repeats, "LOCAL", local)
-    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+ALL = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+LATER = ("doc_id", "n_bytes", "n_removed_later", "n_spans_later", "first_kept_sha256")
+
+
+@pytest.mark.parametrize("kinds", [64, 1])
+def test_repeats_equal_all_windows(odd, none, monkeypatch, kinds):
+    monkeypatch.setattr(repeats, "KINDS", kinds)
     got = repeats.remove_repeats(odd, keep_first=False, with_text=False).collect()
-    same([tuple(r[c] for c in cols) for r in got], plain_removed(pairs(odd), False))
+    same([tuple(r[c] for c in ALL) for r in got], plain_removed(pairs(odd), False))
     named = odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     got = repeats.remove_repeats(named, keep_first=True).collect()
-    same([tuple(r[c] for c in cols) for r in got], plain_removed(sorted(pairs(named)), True))
-    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in got if r.text.isascii())
+    same([tuple(r[c] for c in LATER) for r in got], plain_removed(sorted(pairs(named)), True))
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.first_kept_sha256 for r in got if r.text.isascii())
     assert repeats.remove_repeats(none).count() == 0
 
 
-def test_earlier_matches_are_the_previous_factors():
+def test_first_occurrence_is_that_of_the_least_doc_id(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(50))
+    rows = [(d, f"{word()} {passage} {word()}") for d in ("b", "01", "1", "a", None, "c")]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string").repartition(4)).collect()
+    assert [r.doc_id for r in got if not r.n_removed_later] == ["01"] and all(r.n_removed for r in got)
+    rows = [(7, passage), (7, f"x {passage}"), (3, f"y {passage}"), (7, passage)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id int, text string").repartition(4)).collect()
+    assert sum(not r.n_removed_later for r in got) == 1 and next(r.doc_id for r in got if not r.n_removed_later) == 3
+
+
+@pytest.mark.parametrize("kinds", [64, 3])
+def test_a_passage_in_very_many_documents(spark, monkeypatch, tmp_path, kinds):
+    monkeypatch.setattr(repeats, "KINDS", kinds)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, near = prose(60), prose(45)
+    rows = [(d, f"{prose(8)} {passage} {prose(8)} {near[d % 7 :]}{d % 3}") for d in range(150)] + [(900, prose(100))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = repeats.query(spark, str(tmp_path)).collect()
+    same([tuple(r[c] for c in ALL) for r in got], plain_removed(rows, False))
+    same([tuple(r[c] for c in LATER) for r in got], plain_removed(rows, True))
+
+
+def common(text, i, j):
+    n = 0
+    while max(i, j) + n < len(text) and text[i + n] == text[j + n] and text[i + n] >= 0:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("sizes", [(40, 0, 25, 1, 60), (0,), (1, 1), (90,)])
+@pytest.mark.parametrize("letters", [b"ab", b"a", b"abcdefgh\0\xff"])
+def test_factors_equal_brute_force_at_all_lengths(sizes, letters):
     rng = random.Random(9)
-    parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 60))) for _ in range(6)]
-    starts, previous, any_ = repeats.earlier_matches(parts, 5)
-    text = b"".join(parts)
-    for s, p, a in zip(starts.tolist(), previous.tolist(), any_.tolist()):
-        others = [q for q in starts.tolist() if q != s and text[q : q + 5] == text[s : s + 5]]
-        assert a == bool(others) and p == max([q for q in others if q < s], default=-1)
+    parts = [bytes(rng.choice(letters) for _ in range(n)) for n in sizes]
+    s = repeats.Suffixes(parts)
+    text = [c for k, p in enumerate(parts) for c in (*p, -1)]
+    assert s.begin.tolist() == [sum(len(p) + 1 for p in parts[:k]) for k in range(len(parts))]
+    places = [i for i, c in enumerate(text) if c >= 0]
+    for starts in (places, places[::3], places[::-1]):
+        length, source = repeats.previous_factors(s, np.array(starts, np.int64))
+        after = repeats.following_factors(s, np.array(starts, np.int64))
+        for i, n, p, m in zip(starts, length.tolist(), source.tolist(), after.tolist()):
+            assert n == max((common(text, i, j) for j in starts if j < i), default=0)
+            assert m == max((common(text, i, j) for j in starts if j > i), default=0)
+            assert (p < 0 and n == 0) or (p < i and common(text, i, p) == n)
+    earlier, any_ = repeats.matched_windows(parts, 5)
+    windows = [p[i : i + 5] for p in parts for i in range(len(p) - 4)]
+    assert earlier.tolist() == [w in windows[:k] for k, w in enumerate(windows)]
+    assert any_.tolist() == [windows.count(w) > 1 for w in windows]
+
+
+def test_previous_smaller_positions():
+    rng = random.Random(5)
+    for n in (0, 1, 2, 50, 400):
+        for v in (rng.sample(range(n), n), list(range(n)), list(range(n))[::-1]):
+            got = repeats.previous_smaller(np.array(v, np.int64)).tolist()
+            assert got == [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(n)]
 
 
 # 7
@@ -296,14 +352,36 @@ def test_archives_round_trip(spark, monkeypatch):
 
 def test_normaliser_makes_members():
     import gzip
+    import io
+    import json
 
     records = [warc.record(i, f"http://x/{i}", b"payload %d" % i, hashlib.sha256(b"payload %d" % i).hexdigest(), None) for i in range(20)]
     whole = gzip.compress(b"".join(records))
-    data, index = warc.normalise(whole[i : i + 7] for i in range(0, len(whole), 7))
-    places = list(map(__import__("json").loads, index.splitlines()))
-    assert [gzip.decompress(data[p["offset"] : p["offset"] + p["length"]]) for p in places] == records
+    pieces_of = lambda x: (x[i : i + 7] for i in range(0, len(x), 7))
+    data, index = io.BytesIO(), io.BytesIO()
+    assert warc.normalise(pieces_of(whole), data, index) == 20
+    places = list(map(json.loads, index.getvalue().splitlines()))
+    assert [gzip.decompress(data.getvalue()[p["offset"] : p["offset"] + p["length"]]) for p in places] == records
     with pytest.raises(ValueError):
         list(warc.split_records(iter([records[0][:-5]])))
+    for cut in (whole[:-1], whole[:-9], whole[: len(whole) // 2], b""):
+        with pytest.raises(ValueError):
+            list(warc.inflate(pieces_of(cut)))
+    # Members that end where records end: a cut within the last one shows though all before it are whole.
+    members = [gzip.compress(r) for r in records]
+    assert b"".join(warc.inflate(pieces_of(b"".join(members)))) == b"".join(records)
+    with pytest.raises(ValueError):
+        list(warc.inflate(iter([b"".join(members[:-1]) + members[-1][:-8]])))
+    large = bytes(1 << 22)
+    assert b"".join(warc.inflate(iter([gzip.compress(large)]))) == large
+
+
+def test_archives_take_odd_pages(spark):
+    schema = "page_id long, url string, html string, rid long, file string"
+    rows = [(None, None, None, 1, "x"), (None, None, "a" * 300, None, "y"), (5, "", "a" * 300, 2, None), (5, "", "a" * 300, 2, None), (6, "u", "\r\n\r\nWARC/1.1" * 9000, 3, "z")]
+    df = spark.createDataFrame(rows, schema)
+    got = warc.read_archives(warc.normalise_archives(warc.write_archives(warc.with_originals(df)))).collect()
+    same([(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got], [(None, 0, "response", None), (None, 300, "revisit", 5), (5, 300, "response", None), (5, 300, "response", None), (6, 12 * 9000, "response", None)])
 
 
 # 8
