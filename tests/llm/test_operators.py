@@ -424,21 +424,63 @@ def test_unigram_models_take_the_best_path(tmp_path):
         assert coder.decode(ids) == t and score(ids) >= score(sp.encode(t)) - 1e-3
 
 
-def test_long_words_are_given_out_early():
+def peak(f):
+    import tracemalloc
+
+    tracemalloc.start()
+    f()
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return top
+
+
+def test_search_gives_out_what_is_final(monkeypatch):
+    """Parts of any length, side by side, equal the library, and a window of nodes is all that a column keeps."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, coder, rng = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path), random.Random(8)
+    rows = []
+    plain = pieces.Pieces._meeting
+    monkeypatch.setattr(pieces.Pieces, "_meeting", lambda self, last, low, front: (rows.append(len(last)), plain(self, last, low, front))[1])
+    words = ["".join(rng.choice("abcdething0123") for _ in range(n)) for n in (1, 2, 31, 32, 33, 64, 65, 500, 5000)] + ["z" * 3000, "abcde12345" * 400, "the" * 50]
+    for w, ids in zip(words, coder.search_parts(["▁" + w for w in words])):
+        assert np.frombuffer(ids, np.uint32).tolist() == sp.encode(w)
+    assert len(rows) > 100 and max(rows) < 4 * pieces.Pieces.WINDOW
+
+
+def test_memory_of_the_search_is_bounded(monkeypatch):
     import public_tokenizers
 
     coder = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    read = 0
+    monkeypatch.setattr(pieces.Pieces, "CHUNK", 1 << 16)
+    line = "the window of nodes moves along with its front \u00e9t\u00e9 \u4e2d "
+    n = 0
+
+    def run(text):
+        nonlocal n
+        n = sum(len(ids) for _, _, ids in coder.encode_stream([text]))
+
+    short, long = line * 5_000, line * 100_000
+    run(short)
+    a, b = peak(lambda: run(short)), peak(lambda: run(long))
+    assert n > 1_000_000 and b < 1.5 * a + (1 << 20)
 
-    class Counted(str):
-        def __getitem__(self, k):
-            nonlocal read
-            read = max(read, k.stop if isinstance(k, slice) else k)
-            return str.__getitem__(self, k)
 
-    it = coder.search(Counted("abcde12345" * 500))
-    next(it)
-    assert read < 500
+def test_parts_join_up(monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, coder, rng = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path), random.Random(1)
+    monkeypatch.setattr(pieces.Pieces, "CHUNK", 7)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "the", " ", "  ", "▁", "é", "\n", "🤦", " ing"]) for _ in range(rng.randint(0, 40)))
+        assert "".join(coder.chunks(t)) == t
+        found = list(coder.encode_stream([t]))
+        assert [i for _, _, ids in found for i in ids.tolist()] == sp.encode(t)
+        assert "".join(coder.decode(ids, k == 0) for k, (_, _, ids) in enumerate(found)) == sp.decode(sp.encode(t))
 
 
 # 9
