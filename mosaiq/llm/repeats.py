@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mosaiq.llm.common import drop_stored, load, partitions, stored, text_or_empty, tune
+from mosaiq.llm.suffixes import Suffixes, of_bytes
 
 #: Bytes of a window and of the pieces among which its minimizer is.
 WINDOW, PIECE = 200, 100
@@ -119,50 +120,6 @@ def _run_rows(docs: DataFrame) -> DataFrame:
     return docs.select("rid", "text").mapInArrow(run, "rid long, key long, ctx long, a long, b long")
 
 
-class Suffixes:
-    """Suffixes of several texts, none of which runs on into the next, in order.
-
-    A suffix is named by its start among the texts, put one behind another with a mark of
-    its own behind each. ``ranks[k]`` is the order of all starts as far as ``2**k`` symbols.
-    """
-
-    def __init__(self, parts: list[bytes]):
-        sizes = np.array([len(p) for p in parts], np.int64)
-        self.begin = np.cumsum(sizes + 1) - sizes - 1
-        text = np.frombuffer(b"\0".join([*parts, b""]), np.uint8).astype(np.uint64)
-        text[self.begin + sizes] = 256 + np.arange(len(parts), dtype=np.uint64)
-        self.text, self.longest = text, int(sizes.max(initial=0)) + 1
-        self.ranks = [text.astype(np.int64)]
-        while 1 << (len(self.ranks) - 1) < self.longest:
-            self.ranks.append(self._doubled(self.ranks[-1], 1 << (len(self.ranks) - 1)))
-
-    @staticmethod
-    def _doubled(rank: np.ndarray, width: int) -> np.ndarray:
-        """The order by twice as many symbols; beyond the last mark all is least."""
-        key = (rank + 1) << 32
-        key[: len(rank) - width] |= rank[width:] + 1
-        order = np.argsort(key)
-        out = np.empty(len(rank), np.int64)
-        out[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        return out
-
-    def order(self, starts: np.ndarray) -> np.ndarray:
-        """``starts`` in the order of their suffixes: their suffix array."""
-        return starts[np.argsort(self.ranks[-1][starts])]
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The lengths of the longest common prefixes of suffixes that begin at ``a`` and ``b``, two by two."""
-        a, b = a.copy(), b.copy()
-        done = np.zeros(len(a), np.int64)
-        for k in range(len(self.ranks) - 1, -1, -1):
-            rank = self.ranks[k]
-            # Equal symbols never reach beyond a mark, so a step that would leave the text never counts.
-            step = (rank[np.minimum(a, len(rank) - 1)] == rank[np.minimum(b, len(rank) - 1)]) & (a != b)
-            step = np.where(step, 1 << k, 0)
-            a, b, done = a + step, b + step, done + step
-        return done
-
-
 def previous_smaller(v: np.ndarray) -> np.ndarray:
     """For each of different numbers the place of the nearest smaller one before it, -1 if there is none.
 
@@ -214,7 +171,7 @@ def following_factors(suffixes: Suffixes, starts: np.ndarray) -> np.ndarray:
 
 def matched_windows(parts: list[bytes], depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """For every window of ``parts``, part by part: whether an earlier one equals it, and whether any one does."""
-    suffixes = Suffixes(parts)
+    suffixes = of_bytes(parts)
     n = np.maximum(np.array([len(p) for p in parts], np.int64) - depth + 1, 0)
     starts = np.repeat(suffixes.begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     if not len(starts):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from mosaiq.llm import classifier, components, decontaminate, pieces, repeats, rollups, rules, secrets, simhash, tokenfiles, warc
+from mosaiq.llm import classifier, components, decontaminate, pieces, repeats, rollups, rules, secrets, simhash, suffixes, tokenfiles, warc
 
 
 def pairs(df):
@@ -306,7 +306,7 @@ def common(text, i, j):
 def test_factors_equal_brute_force_at_all_lengths(sizes, letters):
     rng = random.Random(9)
     parts = [bytes(rng.choice(letters) for _ in range(n)) for n in sizes]
-    s = repeats.Suffixes(parts)
+    s = suffixes.of_bytes(parts)
     text = [c for k, p in enumerate(parts) for c in (*p, -1)]
     assert s.begin.tolist() == [sum(len(p) + 1 for p in parts[:k]) for k in range(len(parts))]
     places = [i for i, c in enumerate(text) if c >= 0]
@@ -521,28 +521,52 @@ def test_counts_of_odd_rows(odd, none):
 # 10
 
 
+def plain_words(x):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x or ""))
+
+
 def plain_leaks(t, items):
-    split = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x or ""))
-    w, hit, found = split(t), set(), set()
+    w, hit, found = plain_words(t), set(), set()
     for item, text in items:
-        b = split(text)
+        b = plain_words(text)
         n = min(10, len(b))
         for k in range(len(b) - n + 1 if n else 0):
             for i in range(len(w) - n + 1):
                 if w[i : i + n] == b[k : k + n]:
                     hit |= set(range(i, i + n))
-                    found.add(str(item))
-    return len(w), len(hit), sorted(found)
+                    found.add(None if item is None else str(item))
+    return len(w), len(hit), sorted(found, key=lambda x: (x is None, x))
+
+
+def plain_matches(t, items):
+    """(start, end) of the longest matches by brute force, for items of each length of window by themselves."""
+    w, out = plain_words(t), []
+    tests = [(i, plain_words(x)) for i, x in items]
+    for n in sorted({min(10, len(b)) for _, b in tests} - {0}):
+        reach = 0
+        for i in range(len(w)):
+            best = 0
+            for _, b in tests:
+                for k in range(len(b) if min(10, len(b)) == n else 0):
+                    m = 0
+                    while i + m < len(w) and k + m < len(b) and w[i + m] == b[k + m]:
+                        m += 1
+                    best = max(best, m)
+            if best >= n and i + best > reach:
+                reach = i + best
+                out.append((i, i + best))
+    return sorted(out)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 1])
+@pytest.mark.parametrize("block", [1 << 20, 100])
 def test_leaks_equal_plain_search(spark, odd, none, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK", block)
     texts = dict(pairs(odd.filter("doc_id IS NOT NULL")))
     w = texts[7].split()
-    items = [(1, " ".join(w[20:40]).upper()), (2, " ".join(w[25:31])), (3, None), (4, "..."), (5, "X"), (6, " ".join(texts[4].split()[5:15])), (2, " ".join(w[50:60])), (10, "zz " * 9)]
+    items = [(1, " ".join(w[20:40]).upper()), (2, " ".join(w[25:31])), (3, None), (4, "..."), (5, "X"), (6, " ".join(texts[4].split()[5:15])), (2, " ".join(w[50:60])), (10, "zz " * 9), (None, " ".join(w[70:90])), (None, "x")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = [(r.doc_id, r.n_words, sum(e - s for s, e in zip(r.spans[::2], r.spans[1::2])), r["items"]) for r in decontaminate.find_leaks(odd, bench).collect()]
+    rows = decontaminate.find_leaks(odd, bench).collect()
+    got = [(r.doc_id, r.n_words, sum(e - s for s, e in zip(r.spans[::2], r.spans[1::2])), r["items"]) for r in rows]
     same(got, [(d, *plain_leaks(t, items)) for d, t in pairs(odd)])
     clean = decontaminate.decontaminate(odd, bench)
     assert clean.columns == odd.columns
@@ -550,6 +574,41 @@ def test_leaks_equal_plain_search(spark, odd, none, monkeypatch, block):
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.decontaminate(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_longest_matches_and_their_places():
+    rng = random.Random(12)
+    for letters in ("abcdefgh", "ab", "a"):
+        item = lambda: " ".join(rng.choice(letters) * rng.randint(1, 2) for _ in range(rng.randint(0, 30)))
+        items = [(str(k) if k else None, item()) for k in range(8)]
+        texts = [f"{item()} Q {rng.choice(items)[1]} {rng.choice(items)[1]} {item()} {'long' * 40} {item()}" for _ in range(12)] + ["", "..."]
+        items.append(("40", "Zz " * 3 + "long" * 40))
+        block = decontaminate.block_of([(i, t.encode()) for i, t in items])
+        found = decontaminate.scan_shard(block, [t.encode() for t in texts])
+        for k, t in enumerate(texts):
+            n, hit, names = plain_leaks(t, items)
+            assert found.counts[k] == n and sorted(found.items.get(k, ()), key=lambda x: (x is None, x)) == names
+            assert sum(e - s for s, e in found.spans.get(k, np.zeros((0, 2), int)).tolist()) == hit
+            got = found.matches.get(k, [])
+            assert sorted(m[:2] for m in got) == plain_matches(t, items)
+            for a, b, name, at in got:
+                assert any(plain_words(x)[at : at + b - a] == plain_words(t)[a:b] for i, x in items if i == name)
+
+
+def test_matches_that_touch_stay_apart():
+    words = [f"w{k}" for k in range(20)]
+    block = decontaminate.block_of([("1", " ".join(words[:10]).encode()), ("2", " ".join(words[10:]).encode())])
+    found = decontaminate.scan_shard(block, [" ".join(words).encode()])
+    assert found.matches[0] == [(0, 10, "1", 0), (10, 20, "2", 0)] and found.spans[0].tolist() == [[0, 20]]
+
+
+def test_equal_words_and_windows_in_one_shard_many_times(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", 7)
+    text = " ".join(f"w{k}" for k in range(30))
+    block = decontaminate.block_of([(str(k), text.encode()) for k in range(40)] + [("x", b"a " * 60)])
+    found = decontaminate.scan_shard(block, [text.encode()] * 50 + [b"a " * 500])
+    assert all(len(found.items[k]) == 40 and [m[:2] for m in found.matches[k]] == [(0, 30)] for k in range(50))
+    assert found.spans[50].tolist() == [[0, 500]] and found.items[50] == {"x"}
+
+
 def test_filters_on_results_stay_above_them(spark, data):
     """Catalyst may not move a filter into the expressions below, where it would repeat them."""
     docs = spark.read.parquet(f"{data}/documents.parquet")
