@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
+#: Seconds between two collections of garbage: small tables that follow each other closely leave little on the disk.
+PAUSE = 2.0
 
 
 def tune(spark: SparkSession) -> None:
@@ -82,12 +84,19 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_RELEASED = [0.0]
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of queries that are over."""
+    """Let Spark's cleaner delete the shuffle files of queries that are over, if the last time is a while ago."""
     import gc
+    import time
 
+    if time.monotonic() - _RELEASED[0] < PAUSE:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _RELEASED[0] = time.monotonic()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -13,20 +13,22 @@ def _stars(links: DataFrame, small: bool) -> DataFrame:
 
     The large star moves the greater neighbours of a node, the small star the lesser ones
     and the node itself. The least neighbour is found before the shuffle as far as it can
-    be, and a join brings it to the links, so a node with very many links is split by
-    Spark's handling of skewed joins.
+    be. It is written before a join brings it to the links: Spark splits a hot key, a node
+    with very many links, only in a join without an aggregate on its inputs.
     """
     if small:
         near = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     else:
         near = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = stored(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
     moved = near.join(least, "u")
     if small:
         out = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
     else:
         out = moved.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return out.filter("a <> b").distinct()
+    out = stored(out.filter("a <> b").distinct(), "links")
+    drop_stored(least)
+    return out
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -43,8 +45,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if found == mark or not found.n:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         mark = found
-        half = stored(_stars(now, small=False), "links")
+        half = _stars(now, small=False)
         drop_stored(now)
-        now = stored(_stars(half, small=True), "links")
+        now = _stars(half, small=True)
         drop_stored(half)
     raise RuntimeError(f"the components are not complete after {rounds} rounds")

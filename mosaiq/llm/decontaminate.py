@@ -25,8 +25,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +32,7 @@ from pyspark.sql import types as T
 from mosaiq.llm import files
 from mosaiq.llm.common import drop_stored, load, scratch, stored, text_or_empty, tune
 from mosaiq.llm.suffixes import Suffixes
+from mosaiq.llm.words import Words, slices
 
 #: Words in a window.
 WINDOW = 10
@@ -44,63 +43,7 @@ PAIRS = 1 << 21
 
 #: Bytes of words stay, A-Z in lower case; all others become spaces.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_MIX, _TURN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
-#: Words beyond this size are hashed one by one.
-_LONG = 64
-
-
-class Words:
-    """The lower-cased words of letters, digits and anything beyond ASCII of several texts, and a hash of each."""
-
-    def __init__(self, texts: list[bytes]):
-        parts = [t.translate(_TABLE) for t in texts]
-        self.flat = b" ".join(parts) + b" " * 8
-        inside = np.frombuffer(self.flat, np.uint8) != 32
-        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        edge = np.concatenate([[0], edge]) if inside[0] else edge
-        self.start, self.end = edge[::2].astype(np.int32), edge[1::2].astype(np.int32)
-        begin = np.cumsum([0] + [len(p) + 1 for p in parts])
-        #: Where each text's words begin, and the end of the last one's.
-        self.first = np.searchsorted(self.start, begin)
-        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.first))
-
-    def hashes(self) -> np.ndarray:
-        size = self.end - self.start
-        words = np.ndarray((len(self.flat) - 7,), "<u8", self.flat, strides=(1,))
-        h = size.astype(np.uint64)
-        open_, at = np.arange(len(size)), 0
-        open_ = open_[size <= _LONG]
-        while len(open_):
-            left = np.minimum(size[open_] - at, 8).astype(np.uint64)
-            x = words[self.start[open_] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
-            x = (h[open_] ^ x) * _MIX
-            h[open_] = (x ^ (x >> np.uint64(32))) * _TURN
-            at += 8
-            open_ = open_[size[open_] > at]
-        for k in np.flatnonzero(size > _LONG).tolist():
-            h[k] = xxhash.xxh3_64_intdigest(self.word(k))
-        return h ^ (h >> np.uint64(29))
-
-    def word(self, k: int) -> bytes:
-        return self.flat[self.start[k] : self.end[k]]
-
-    def windows(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The places of all windows of ``n`` words, none over two texts, and their hashes."""
-        left = self.first[self.text + 1] - np.arange(len(h))
-        at = np.flatnonzero(left >= n)
-        total = np.full(len(at), n, np.uint64)
-        for j in range(n):
-            total = total * _TURN + h[at + j]
-        total *= _MIX
-        return at, total ^ (total >> np.uint64(31))
-
-    def runs(self, at: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
-        """The stretches of words under windows of ``n`` words at ``at``, (start, end), none over two texts."""
-        order = np.argsort(at)
-        at, end = at[order], (at + n)[order]
-        reach = np.maximum.accumulate(end)
-        cut = np.flatnonzero(np.append(True, (at[1:] > reach[:-1]) | (self.text[at[1:]] != self.text[at[:-1]])))
-        return list(zip(at[cut].tolist(), reach[np.append(cut[1:], len(at)) - 1].tolist()))
+_TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -137,7 +80,7 @@ class Block:
 
 
 def block_of(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> Block:
-    w = Words([t for _, t in items])
+    w = Words([t for _, t in items], _TABLE)
     h = w.hashes()
     count = np.diff(w.first)
     keys, places, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -196,7 +139,7 @@ class Found:
 
 def scan_shard(block: Block, texts: list[bytes]) -> Found:
     """All windows of the block's items in the shard."""
-    w = Words(texts)
+    w = Words(texts, _TABLE)
     out = Found(np.diff(w.first).tolist(), {}, {}, {})
     if not len(block.key) or not len(w.start):
         return out
@@ -365,7 +308,7 @@ def _step(df: DataFrame, uri: str | None, drop: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = read_block(uri) if uri else block_of([])
         for batch in batches:
-            for b in _pieces(batch, at["__text"]):
+            for b in slices(batch, at["__text"], SHARD):
                 found = scan_shard(block, [x.as_py().encode("utf-8", "surrogatepass") for x in b.column(at["__text"])])
                 state = {n: b.column(at[n]).to_pylist() for n in _STATE.names}
                 state["__n_words"] = found.counts
@@ -384,19 +327,6 @@ def _step(df: DataFrame, uri: str | None, drop: bool) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about a shard of text each, a longer text by itself."""
-    sizes = pc.binary_length(batch.column(column)).to_pylist()
-    begin, total = 0, 0
-    for i, n in enumerate(sizes):
-        if total and total + n > SHARD:
-            yield batch.slice(begin, i - begin)
-            begin, total = i, 0
-        total += n
-    if begin < batch.num_rows:
-        yield batch.slice(begin)
-
-
 def _scanned(docs: DataFrame, benchmark: DataFrame, drop: bool = False) -> DataFrame:
     tune(docs.sparkSession)
     # The columns go along as one, so none of theirs can meet one of ours.

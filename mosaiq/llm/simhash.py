@@ -143,29 +143,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     component has no doc_id. An empty table gives an empty one. Equal fingerprints are one
     node from the start, so groups of exact copies never meet in one task.
     """
+    spark = docs.sparkSession
     of = stored(fingerprints(docs, shingle), "fingerprints")
-    fps = stored(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(near_links(fps.select("fp")))
-    fps = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = fps.groupBy("root").agg(F.min("least").alias("component_id"))
-    return of.join(fps.select("fp", "root"), "fp").join(first, "root").select("doc_id", "fp", "component_id")
-
-
-def keep_least(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class (doc_id, component_id): that with the least doc_id.
-
-    Rows that repeat a doc_id count as copies: one stays. Rows without doc_id can't be
-    told apart and all stay. Columns are unchanged.
-    """
-    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL")
-    named = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
-
-
-def drop_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group of near copies, as ``keep_least`` says."""
-    return keep_least(docs, near_duplicates(docs, shingle))
+    # Dealt out anew, as a few bytes of fingerprints make very many variants.
+    fps = stored(of.groupBy("fp").agg(F.min("doc_id").alias("least")).repartition(partitions(spark)), "distinct")
+    # Aggregates are written before they are joined, so that Spark can split a component or a fingerprint with very many rows.
+    links = near_links(fps.select("fp"))
+    roots = stored(components(links), "roots")
+    rooted = stored(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    first = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "first")
+    classes = stored(rooted.join(first, "root").select("fp", "component_id"), "classes")
+    for done in (fps, links, roots, rooted, first):
+        drop_stored(done)
+    return of.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,15 +183,6 @@ def test_near_duplicates_equal_plain_classes(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_one_of_each_group_stays(odd, none):
-    out = simhash.drop_copies(odd, shingle=3)
-    assert out.columns == odd.columns
-    kept = collections.Counter(r.doc_id for r in out.select("doc_id").collect())
-    expected = {d for d, _, c in plain_classes(pairs(odd)) if d is not None and d == c}
-    assert {d for d in kept if d is not None} == expected and kept[None] == 2 and max(kept[d] for d in expected) == 1
-    assert simhash.drop_copies(none).count() == 0
-
-
 @pytest.mark.parametrize("limits", [(8, 4096), (2, 5), (0, 0)])
 def test_links_in_buckets_of_every_size(spark, monkeypatch, limits):
     monkeypatch.setattr(simhash, "PAIRS", limits[0])

@@ -1,18 +1,12 @@
 import corpus_pipeline
 from mosaiq.llm import rules, secrets
-from tests.llm.test_operators import plain_fingerprint, plain_leaks
+from tests.llm.test_operators import plain_leaks
+from tests.llm.test_similar import plain_classes
 
 
 def plain_pipeline(docs, bench, kept_by_rules, redacted):
     docs = [d for d in docs if d[0] in kept_by_rules]
-    fps = {d: plain_fingerprint(t, 5) for d, t in docs}
-    group = {d: d for d in fps}
-    ids = sorted(fps)
-    for i in ids:
-        for j in ids:
-            if j < i and (fps[i] ^ fps[j]).bit_count() <= 3 and group[i] != group[j]:
-                a, b = sorted((group[i], group[j]))
-                group = {k: a if g == b else g for k, g in group.items()}
+    group = plain_classes(docs)
     docs = [(d, t) for d, t in docs if group[d] == d]
     docs = [(d, t) for d, t in docs if not plain_leaks(t, bench)[2]]
     return {d: redacted[d] for d, _ in docs}
