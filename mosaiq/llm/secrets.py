@@ -27,9 +27,10 @@ BASE = {"assign": (ASSIGN, 1, 12), "access": (ACCESS, 0, 18), "hex": (HEX, 0, 16
 
 #: Width of the sliding window, in characters.
 WINDOW = 20
-#: Per character class: candidate strings, and the least entropy in bits of one of their windows.
+_HEX, _B64 = "0123456789ABCDEFabcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Per character class: candidate strings, the least entropy in bits of one of their windows, and their characters.
 #: No entropy that 20 characters can have lies within 0.000001 of a threshold.
-CLASSES = {"ent_hex": ("[0-9A-Fa-f]{20,}", 2.98), "ent_b64": ("[A-Za-z0-9+/_=-]{20,}", 3.53)}
+CLASSES = {"ent_hex": ("[0-9A-Fa-f]{20,}", 2.98, _HEX), "ent_b64": ("[A-Za-z0-9+/_=-]{20,}", 3.53, _B64)}
 #: Allow-list: candidates that match are not secrets. Words without digits, bare numbers, UUIDs,
 #: dates joined to words, the digests of empty input, counting sequences and example marks.
 ALLOW = (
@@ -61,26 +62,26 @@ _OFFSETS = "aggregate({l}, array(0), (a, x) -> concat(a, array(element_at(a, -1)
 _JOINED = "flatten(zip_with({l}, slice({o}, 1, size({l})), (x, o) -> transform(x.out, y -> struct(y.s + o AS s, y.e + o AS e, y.v AS v))))"
 
 
-def _entropy(candidate: str) -> str:
-    """SQL: the highest entropy of a window of ``candidate``, by incremental counts.
+def _entropy(candidate: str, letters: str) -> str:
+    """SQL: the highest entropy of a window of ``candidate``, whose characters are ``letters``, by incremental counts.
 
-    A window moves on by one character: the one that leaves lowers its count from k, the
-    one that enters raises its own from k, and only their terms k*log2(k) of the running
-    sum change. The counts are those in the characters that both windows share.
+    The count of every letter in the window is carried along. A window moves on by one
+    character: the one that enters raises its count, the one that leaves lowers its own, and
+    only their terms k*log2(k) of the running sum change.
     """
     terms = "array(" + ", ".join(repr(k * math.log2(k) if k else 0.0) + "D" for k in range(WINDOW + 1)) + ")"
     w = WINDOW
-    count = lambda c: f"length(x.mid) - length(replace(x.mid, x.{c}, ''))"
-    gain = lambda c: f"element_at({terms}, 2 + {count(c)}) - element_at({terms}, 1 + {count(c)})"
+    term = lambda k: f"element_at({terms}, 1 + {k})"
+    came, went = "element_at(a.n, x.new)", "element_at(a.n, x.old)"
     # low keeps the least sum of the full windows so far: the highest entropy has the least sum.
-    step = f"""(a, x) -> named_struct(
-        'g', a.g + {gain('new')} - CASE WHEN x.old = '' THEN 0D ELSE {gain('old')} END,
-        'low', CASE WHEN x.full THEN least(a.low, a.g) ELSE a.low END)"""
+    step = f"""(a, x) -> CASE WHEN x.new = x.old THEN named_struct('n', a.n, 'g', a.g, 'low', least(a.low, a.g)) ELSE named_struct(
+        'n', transform(a.n, (k, i) -> CASE i + 1 WHEN x.new THEN k + 1 WHEN x.old THEN k - 1 ELSE k END),
+        'g', a.g + {term(f'{came} + 1')} - {term(came)} + CASE WHEN x.old = 0 THEN 0D ELSE {term(f'{went} - 1')} - {term(went)} END,
+        'low', CASE WHEN x.old > 0 THEN least(a.low, a.g) ELSE a.low END) END"""
     moves = f"""transform(sequence(1, length(b)), i -> struct(
-        substr(b, i, 1) AS new, CASE WHEN i > {w} THEN substr(b, i - {w}, 1) ELSE '' END AS old,
-        CASE WHEN i > {w} THEN substr(b, i - {w} + 1, {w} - 1) ELSE substr(b, 1, i - 1) END AS mid, i > {w} AS full))"""
+        instr('{letters}', substr(b, i, 1)) AS new, CASE WHEN i > {w} THEN instr('{letters}', substr(b, i - {w}, 1)) ELSE 0 END AS old))"""
     blocks = f"transform(sequence(0, greatest(length({candidate}) - {w}, 0) DIV {BLOCK}), k -> substr({candidate}, k * {BLOCK} + 1, {BLOCK} + {w} - 1))"
-    low = f"aggregate({moves}, named_struct('g', 0D, 'low', 1e9D), {step}, a -> least(a.low, a.g))"
+    low = f"aggregate({moves}, named_struct('n', array_repeat(0, {len(letters)}), 'g', 0D, 'low', 1e9D), {step}, a -> least(a.low, a.g))"
     return f"{math.log2(w)!r}D - array_min(transform({blocks}, b -> {low})) / {w}"
 
 
@@ -102,8 +103,8 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     for k, (p, group, least) in BASE.items():
         length = f"length(regexp_extract(x.v, {_quoted(p)}, 1))" if group else "x.e - x.s"
         keep[f"__s_{k}"] = F.expr(f"filter(__a_{k}, x -> {length} >= {least})")
-    for k, (_, least) in CLASSES.items():
-        keep[f"__s_{k}"] = F.expr(f"filter(__a_{k}, x -> NOT (x.v RLIKE {_quoted(ALLOW)}) AND {_entropy('x.v')} >= {least}D)")
+    for k, (_, least, letters) in CLASSES.items():
+        keep[f"__s_{k}"] = F.expr(f"filter(__a_{k}, x -> NOT (x.v RLIKE {_quoted(ALLOW)}) AND {_entropy('x.v', letters)} >= {least}D)")
     df = df.withColumns(keep | {"__s_assign": anchored(keep["__s_assign"])})
     return df.drop(*[f"__{c}_{k}" for c in "mpgloa" for k in patterns])
 
@@ -181,7 +182,7 @@ def _sql() -> str:
         pattern = BASE[kind][0] if kind in BASE else CLASSES[kind][0]
         parts.append(f"SELECT doc_id, rid, {rank} AS r, '{kind}' AS k, regexp_extract_all(t, {q(pattern)}) AS m, string_split_regex(t, {q(pattern)}) AS p FROM t")
     verdict = " ".join(f"WHEN k = '{k}' THEN length({f'regexp_extract(v, {q(p)}, {g})' if g else 'v'}) >= {n}" for k, (p, g, n) in BASE.items())
-    verdict += " " + " ".join(f"WHEN k = '{k}' THEN NOT regexp_matches(v, {q(ALLOW)}) AND list_max(list_transform(range(1, length(v) - {WINDOW} + 2), lambda i: list_aggregate(string_split(substr(v, i, {WINDOW}), ''), 'entropy'))) >= {n}" for k, (_, n) in CLASSES.items())
+    verdict += " " + " ".join(f"WHEN k = '{k}' THEN NOT regexp_matches(v, {q(ALLOW)}) AND list_max(list_transform(range(1, length(v) - {WINDOW} + 2), lambda i: list_aggregate(string_split(substr(v, i, {WINDOW}), ''), 'entropy'))) >= {n}" for k, (_, n, _) in CLASSES.items())
     sums = ", ".join(f"count(*) FILTER (k = '{k}') AS n_{k}" for k in KINDS)
     return f"""
 WITH t AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
