@@ -1,8 +1,9 @@
 """Quality rules: a ledger of measurements and failure bits, policies over it, ablations.
 
 Every rule is evaluated once per document and its outcome kept as one bit of
-``fail_bits``. A policy is a mask of bits, so another policy, or the question what a
-rule costs, never reads a text again. All of it is SQL functions inside the row.
+``fail_bits``. The ledger is written, and policies are masks over its bits, so another
+policy, or the question what a rule costs, never reads a text again. All of it is SQL
+functions inside the row.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import anchored, load, text_or_empty
+from mosaiq.llm.common import anchored, load, stored, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -99,14 +100,14 @@ def _bits(measure: str = "{}") -> str:
 
 
 def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: ``keep``, every measurement (long) and ``fail_bits`` (long).
+    """One row per document: ``keep``, every measurement (long) and ``fail_bits`` (long), written to the shared folder.
 
     Null texts count as empty: no words, so they fail ``few_words``. Repeated rows are
     measured each; other columns are ignored.
     """
     df = _measured(docs.select(*keep, "text"))
     df = df.select(*keep, *[F.col(f"__{m}").cast("long").alias(m) for m in MEASURES])
-    return df.withColumn("fail_bits", F.expr(_bits()).cast("long"))
+    return stored(df.withColumn("fail_bits", F.expr(_bits()).cast("long")), "ledger")
 
 
 def apply_policy(book: DataFrame, version: int = CURRENT) -> DataFrame:
@@ -117,16 +118,18 @@ def apply_policy(book: DataFrame, version: int = CURRENT) -> DataFrame:
 def ablations(book: DataFrame, version: int = CURRENT, by: tuple[str, ...] = ()) -> DataFrame:
     """Per rule (and group): documents that fail it, and documents kept with and without it.
 
-    One bitwise aggregation over the ledger, summed before the shuffle; the result has a
-    row per rule and group, whatever the number of documents. An empty ledger gives zeros
-    if ``by`` is empty, else no row.
+    The ledger is counted by its bits, 2 ** rules patterns at most, before the shuffle; every
+    policy is then a mask over those patterns. The result has a row per rule and group,
+    whatever the number of documents. An empty ledger gives zeros if ``by`` is empty, else no row.
     """
     p = POLICIES[version]
-    sums: list[Column] = [F.count_if(~F.expr(p.rejects())).alias("kept")]
+    patterns = book.groupBy(*by, "fail_bits").agg(F.count(F.lit(1)).alias("__n"))
+    total = lambda condition: F.coalesce(F.sum(F.when(F.expr(condition), F.col("__n"))), F.lit(0))
+    sums: list[Column] = [total(f"NOT {p.rejects()}").alias("kept")]
     for r in RULES:
         without = Policy(version, p.hard & ~BIT[r.name], p.soft & ~BIT[r.name], p.most)
-        sums += [F.count_if(F.expr(f"(fail_bits & {BIT[r.name]}) <> 0")).alias(f"f_{r.name}"), F.count_if(~F.expr(without.rejects())).alias(f"k_{r.name}")]
-    totals = book.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"), *sums)
+        sums += [total(f"(fail_bits & {BIT[r.name]}) <> 0").alias(f"f_{r.name}"), total(f"NOT {without.rejects()}").alias(f"k_{r.name}")]
+    totals = patterns.groupBy(*by).agg(total("true").alias("n_docs"), *sums)
     rows = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(BIT[r.name]).cast("long").alias("bit"), F.col(f"f_{r.name}").alias("n_failed"), F.col(f"k_{r.name}").alias("n_kept_without")) for r in RULES]))
     return totals.select(*by, "n_docs", F.col("kept").alias("n_kept"), rows.alias("x")).select(*by, "n_docs", "n_kept", "x.*")
 
