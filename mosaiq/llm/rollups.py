@@ -52,9 +52,14 @@ def inserted(counted: DataFrame) -> DataFrame:
     return counted.select(*GROUP, F.lit(1).cast("long").alias("n_docs"), "n_tokens", "n_chars")
 
 
+def undone(deltas: DataFrame) -> DataFrame:
+    """Signed rows, summed or not, with all signs turned."""
+    return deltas.select(*GROUP, *[(-F.col(c)).alias(c) for c in SUMS])
+
+
 def deleted(counted: DataFrame) -> DataFrame:
     """``counted`` as it was when it was inserted."""
-    return counted.select(*GROUP, F.lit(-1).cast("long").alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens"), (-F.col("n_chars")).alias("n_chars"))
+    return undone(inserted(counted))
 
 
 def revised(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -115,30 +120,56 @@ class Rollup:
         paths = [*([at] if at else []), *(f"{self.root}/batches/{b}" for b in self._whole("batches") if b not in inside)]
         if not paths:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long")
+        return self._sum(paths)
+
+    def _sum(self, paths: list[str]) -> DataFrame:
         rows = reduce(DataFrame.unionByName, (self.spark.read.parquet(p) for p in paths))
         return rows.groupBy(*GROUP).agg(*_sums()).filter(" OR ".join(f"{c} <> 0" for c in SUMS))
 
     def compact(self) -> None:
-        """Fold all committed batches into a snapshot, so that reading doesn't slow down with their number."""
-        names = self.committed()
-        name = f"{len(self._whole('snapshots')):09d}"
-        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/contents/{name}")
-        self.totals().write.mode("overwrite").parquet(f"{self.root}/snapshots/{name}")
+        """Fold the batches committed so far into a snapshot, so that reading doesn't slow down with their number.
+
+        What is folded is what was listed at the start, and the list is written with it: a
+        batch committed meanwhile stays a batch. A snapshot that wasn't finished is passed over.
+        """
+        at, inside = self._snapshot()
+        names = [n for n in self._whole("batches") if n not in inside]
+        if not names:
+            return
+        name = f"{int(at.rsplit('/', 1)[1]) + 1 if at else 0:09d}"
+        rows = self._sum([*([at] if at else []), *(f"{self.root}/batches/{n}" for n in names)])
+        contents = self.spark.createDataFrame([(n,) for n in sorted({*inside, *names})], "batch string")
+        contents.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/contents/{name}")
+        rows.write.mode("overwrite").parquet(f"{self.root}/snapshots/{name}")
         for n in names:
             fs, p = self._fs(f"{self.root}/batches/{n}")
             fs.delete(p, True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted, counted by words and by a public tokenizer; the batch is sent twice and counts once."""
+    """Counts by words come, are revised to counts by a public tokenizer, come again, and documents without words go.
+
+    Texts are read and counted once, each version by itself; the batches are sums of those
+    counts. One batch is sent twice and counts once, and batches are folded half way.
+    """
     import public_tokenizers
 
     docs = load(spark, sf_dir, "documents")
-    counted = count_words(docs).unionByName(count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), "word_bpe_49k"))
-    deltas = stored(inserted(counted).groupBy(*GROUP).agg(*_sums()), "deltas")
+    empty = F.regexp_instr(text_or_empty(), F.lit(r"[^\x20\x09-\x0D]")) == 0
+    parts = {}
+    for there, some in ((True, docs.filter(~empty)), (False, docs.filter(empty))):
+        parts["words", there] = count_words(some)
+        parts["tokens", there] = count_tokens(some, public_tokenizers.path("word_bpe_49k.json"), "word_bpe_49k")
+    sums = [inserted(x).groupBy(*GROUP).agg(*_sums()).select(F.lit(k).alias("k"), F.lit(there).alias("there"), *GROUP, *SUMS) for (k, there), x in parts.items()]
+    deltas = stored(reduce(DataFrame.unionByName, sums), "deltas")
+    words, tokens = (deltas.filter(F.col("k") == k).drop("k") for k in ("words", "tokens"))
     book = Rollup(spark, scratch(spark, "rollup"))
-    book.commit("documents", deltas)
-    book.commit("documents", deltas)
+    book.commit("words", words)
+    book.commit("revised", undone(words).unionByName(tokens.drop("there")))
+    book.commit("revised", undone(words).unionByName(tokens.drop("there")))
+    book.compact()
+    book.commit("words-again", words)
+    book.commit("without-words", undone(deltas.filter("NOT there")))
     return book.totals()
 
 
