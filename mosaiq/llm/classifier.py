@@ -1,10 +1,11 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated by temperature.
 
 Word vectors: every word has a fixed sparse index vector, drawn from its hash; a word's
-vector is its own index vector and the sum of those of its neighbours, over the sample.
+vector is its own index vector and the sum of those of its neighbours, over all documents.
 A document is the mean of its words' vectors, of those of their shapes, and three measures
 of its words. The network is fitted in numpy on the driver from a bounded sample of
-labelled rows; scoring is one pass over the documents without a shuffle.
+labelled rows. Documents are read twice, for the sums and for the scores; what is shuffled
+of them is a matrix per task.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ SAMPLE = 6000
 #: Hash buckets of words, the length of their vectors, entries set in an index vector, neighbours on either side.
 BUCKETS, SIZE, ENTRIES, REACH = 1 << 13, 48, 6, 2
 HIDDEN, EPOCHS, RATE, DECAY, SEED = 48, 60, 0.01, 1e-4, 7
-#: Tasks that sum word vectors; each sends one matrix of 1.5 MB to the driver.
+#: Tasks in which the sums of all tasks are added up; each sends one matrix of 3 MB to the driver.
 TASKS = 8
-#: Words of a text at a time.
-PIECE = 1 << 15
+#: Words of a text at a time, and pairs of neighbours counted together.
+PIECE, PAIRS = 1 << 15, 1 << 21
 
 #: Letters of one case, digits and the rest of a word become one sign each.
 _SHAPE = bytes(88 if 65 <= c <= 90 else 120 if 97 <= c <= 122 else 57 if 48 <= c <= 57 else 117 if c >= 128 else c for c in range(256))
@@ -55,23 +56,46 @@ def buckets(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def neighbour_sums(texts: Iterator[str]) -> np.ndarray:
-    """Summed index vectors of every bucket's neighbours."""
-    index = index_vectors()
+    """Summed index vectors of every bucket's neighbours; whole numbers, so that their order doesn't matter.
+
+    How often buckets meet is counted first, in a table by pairs, and multiplied with the
+    index vectors once per PAIRS of them.
+    """
+    index = index_vectors().astype(np.float64)
     out = np.zeros_like(index)
+    pairs: list[np.ndarray] = []
+    size = 0
+
+    def add() -> None:
+        keys, n = np.unique(np.concatenate(pairs), return_counts=True)
+        a, b = keys // BUCKETS, keys % BUCKETS
+        for at in range(0, len(keys), PIECE):
+            part = slice(at, at + PIECE)
+            first = np.flatnonzero(np.append(True, np.diff(a[part]) != 0))
+            out[a[part][first]] += np.add.reduceat(index[b[part]] * n[part, None], first, axis=0)
+
     for t in texts:
         for ids in buckets(t):
             for at in range(0, len(ids), PIECE):
-                piece = ids[at : at + PIECE]
+                piece = ids[max(at - REACH, 0) : at + PIECE]
+                new = at - max(at - REACH, 0)
                 for step in range(1, REACH + 1):
-                    np.add.at(out, piece[:-step], index[piece[step:]])
-                    np.add.at(out, piece[step:], index[piece[:-step]])
+                    # Pairs within what came before this piece were counted with it.
+                    left, right = piece[max(new - step, 0) : -step], piece[max(new - step, 0) + step :]
+                    pairs += [left * BUCKETS + right, right * BUCKETS + left]
+                    size += 2 * len(left)
+            if size >= PAIRS:
+                add()
+                pairs, size = [], 0
+    if pairs:
+        add()
     return out
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
     """Own index vector plus the direction of the neighbours'."""
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
-    return index_vectors() / np.sqrt(ENTRIES) + np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
+    return (index_vectors() / np.sqrt(ENTRIES) + np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)).astype(np.float32)
 
 
 def features(text: str, vectors: np.ndarray) -> np.ndarray:
@@ -186,15 +210,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     tune(spark)
     chosen = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out()).select("doc_id", F.col("quality").cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")  # at most ``sample`` rows of 12 bytes
-    rows = rows.repartition(TASKS).persist()
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    # At most ``sample`` rows of 12 bytes are broadcast. Documents may repeat a doc_id: of all rows that it finds, as many stay.
+    rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("th", F.xxhash64("text"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "th").limit(sample).select("text", "y").repartition(TASKS).persist()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = neighbour_sums(t.as_py() for b in batches for t in b.column(0))
+        yield pa.RecordBatch.from_pydict({"m": [neighbour_sums(t.as_py() for b in batches for t in b.column(0)).tobytes()]})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BUCKETS, SIZE))
+        for b in batches:
+            for m in b.column(0):
+                total += np.frombuffer(m.as_py(), np.float64).reshape(BUCKETS, SIZE)
         yield pa.RecordBatch.from_pydict({"m": [total.tobytes()]})
 
-    parts = rows.select("text").mapInArrow(sums, "m binary").toLocalIterator()
-    vectors = word_vectors(sum((np.frombuffer(r.m, np.float32).reshape(BUCKETS, SIZE) for r in parts), np.zeros((BUCKETS, SIZE), np.float32)))
+    parts = texts.select("text").mapInArrow(sums, "m binary").repartition(TASKS).mapInArrow(added, "m binary").toLocalIterator()
+    vectors = word_vectors(sum((np.frombuffer(r.m, np.float64).reshape(BUCKETS, SIZE) for r in parts), np.zeros((BUCKETS, SIZE))))
     sent = spark.sparkContext.broadcast(vectors)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
