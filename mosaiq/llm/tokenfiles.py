@@ -143,7 +143,7 @@ class WordEncoder:
     its words, one after another. New words are sent together, parted by a special token.
     The memory of words is bounded and starts anew when full. A word of letters below
     U+0100 is sought in lower case and without a full stop or comma at its end, which such
-    a tokenizer lowers and parts itself; ``check`` holds the tokenizer against that.
+    a tokenizer lowers and parts itself, which is tried with a few words when it is read.
     """
 
     MOST, LONGEST, TOGETHER = 2_000_000, 100, 500
@@ -262,8 +262,12 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
             yield flush()
 
     manifest = stored(_ordered(docs).mapInArrow(run, _MANIFEST), "manifest")
-    before = Window.orderBy("shard", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
+    # Shards are ranges of doc_id: a row for each is summed up, and files count from their shard's start.
+    shards = manifest.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = shards.select("shard", F.coalesce(F.sum("n").over(before(Window.orderBy("shard"))), F.lit(0).cast("long")).alias("start"))
+    inside = F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("shard").orderBy("seq"))), F.lit(0).cast("long"))
+    return manifest.withColumn("inside", inside).join(starts, "shard").withColumn("base", F.col("start") + F.col("inside")).drop("start", "inside")
 
 
 def read_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
