@@ -28,7 +28,7 @@ def plain_spans(t):
     out = []
     for kind, (p, group, least) in secrets.BASE.items():
         out += [(m.start(), secrets.KINDS.index(kind), m.end(), kind) for m in re.finditer(p, t) if len(m[group]) >= least]
-    for kind, (p, least) in secrets.CLASSES.items():
+    for kind, (p, least, _) in secrets.CLASSES.items():
         for m in re.finditer(p, t):
             if not re.search(secrets.ALLOW, m[0]):
                 w = secrets.WINDOW
