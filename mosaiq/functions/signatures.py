@@ -18,17 +18,6 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *texts), 256)
 
 
-def plain_digest(*parts: Column) -> Column:
-    """SHA-256 of parts joined by bars, for parts that hold none."""
-    return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
-
-
-def accessor_hash(element_type: Column, component_type: Column, count: Column, normalized: Column, data: Column, low: Column, high: Column) -> Column:
-    """Of the tightly packed bytes; of the description if there are none."""
-    described = F.to_json(F.struct(element_type.alias("t"), component_type.alias("c"), count.alias("n"), normalized.alias("o"), low.alias("l"), high.alias("h")))
-    return F.when(data.isNotNull(), F.sha2(data, 256)).otherwise(F.sha2(described, 256))
-
-
 def _listed(items: Column) -> Column:
     return F.to_json(F.array_sort(items))
 
@@ -37,18 +26,20 @@ def primitive_signatures(primitives: DataFrame, tolerance: float = 0.0, skip: tu
     """``primitives`` with ``signature``.
 
     Columns: material, mode, n_vertices, n_indices, index_hash, attrs ARRAY<STRUCT<name,
-    type, ctype, norm, hash>>, morphs of the same kind. Exact: everything counts. With a
-    tolerance the positions and the attributes of ``skip`` count by their names alone and
-    indices by their number, as boxes are compared afterwards.
+    type, ctype, norm, hash, near_hash>>, morphs of the same kind. Exact: everything counts.
+    With a tolerance the positions and the attributes of ``skip`` count by their names alone
+    and indices by their number, as boxes are compared afterwards; normals count in steps
+    where they were read with a tolerance of their own.
     """
     none = F.lit("-")
     common = [F.coalesce(F.col("material"), F.lit(-1)), F.col("mode")]
-    morphs = _listed(F.col("morphs"))
+    bare = lambda items: F.transform(items, lambda a: F.struct(*[a[n].alias(n) for n in ("name", "type", "ctype", "norm", "hash")]))
+    exact, morphs = bare("attrs"), _listed(bare("morphs"))
     if tolerance <= EXACT:
-        parts = [*common, F.coalesce("index_hash", none), F.coalesce("n_indices", F.lit(0)), _listed(F.col("attrs")), morphs]
+        parts = [*common, F.coalesce("index_hash", none), F.coalesce("n_indices", F.lit(0)), _listed(exact), morphs]
     else:
         loose = ["POSITION", *skip]
-        attrs = F.transform("attrs", lambda a: F.struct(a["name"].alias("name"), F.when(a["name"].isin(loose), none).otherwise(a["hash"]).alias("hash")))
+        attrs = F.transform("attrs", lambda a: F.struct(a["name"].alias("name"), F.when(a["name"].isin(loose), none).otherwise(F.coalesce(a["near_hash"], a["hash"])).alias("hash")))
         parts = [*common, F.coalesce("n_vertices", F.lit(-1)), F.coalesce("n_indices", F.lit(0)), _listed(attrs), morphs]
     return primitives.withColumn("signature", digest(*parts))
 

@@ -18,8 +18,9 @@ def identity() -> Column:
 
 
 def trs_matrix(t: Column, r: Column, s: Column) -> Column:
-    """T·R·S; ``r`` is a quaternion (x, y, z, w)."""
-    x, y, z, w = (r[i] for i in range(4))
+    """T·R·S; ``r`` is a quaternion (x, y, z, w) of any length; one without length turns nothing."""
+    length = F.sqrt(sum((r[i] * r[i] for i in range(1, 4)), r[0] * r[0]))
+    x, y, z, w = (F.when(length > 0, r[i] / length).otherwise(F.lit(float(i == 3))) for i in range(4))
     axes = (
         (1 - 2 * (y * y + z * z), 2 * (x * y + z * w), 2 * (x * z - y * w)),
         (2 * (x * y - z * w), 1 - 2 * (x * x + z * z), 2 * (y * z + x * w)),
@@ -86,9 +87,7 @@ def quantised(value: Column, step: float) -> Column:
     return F.round(value.cast("double") / F.lit(step)).cast("long")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def quantised_floats(values: pd.Series, step: pd.Series) -> pd.Series:
-    """Single-precision numbers in steps, divided in single precision as they are stored."""
-    one = np.float32(step.iloc[0]) if len(step) else np.float32(1)
-    half = lambda v: (np.sign(v) * np.floor(np.abs(v) + np.float32(0.5))).astype(np.int64)
-    return values.map(lambda a: half(np.asarray(a, np.float32) / one))
+def quantised_floats(values: np.ndarray, step: float) -> np.ndarray:
+    """Single-precision numbers in steps, divided in single precision as they are stored, halves away from zero."""
+    v = np.asarray(values, np.float32) / np.float32(step)
+    return np.sign(v) * np.floor(np.abs(v) + np.float32(0.5))

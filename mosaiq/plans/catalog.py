@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from mosaiq.functions import boxes, signatures, transforms
 from mosaiq.functions.boxes import Box
 from mosaiq.operators import grouping, layout, lod, quadtree, reconcile, reports, trees
+from mosaiq.sinks.models import sanitised
+from mosaiq.sources import scenes, semantics
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,14 +190,31 @@ def mesh_names_distinct(s, d):
 # Signatures
 
 
-@query("SELECT sha256(concat_ws('|', p_brand, p_type, CAST(p_size AS VARCHAR))) AS signature, count(*) AS n FROM part GROUP BY 1")
+def _primitives(s: SparkSession, d: str) -> DataFrame:
+    """A mesh of one primitive per part: its positions' hash is the brand, its normals' hash the name and, in steps, the type."""
+    attr = lambda name, of, near: F.struct(F.lit(name).alias("name"), F.lit("VEC3").alias("type"), F.lit(5126).alias("ctype"), F.lit(False).alias("norm"), of.alias("hash"), near.cast("string").alias("near_hash"))
+    return part(s, d).select(
+        F.lit(0).alias("model_id"), c("p_partkey").alias("mesh_ix"), F.lit(0).alias("prim_ix"), F.lit(None).cast("int").alias("material"), F.lit(4).alias("mode"), c("p_size").cast("long").alias("n_vertices"),
+        F.lit(None).cast("long").alias("n_indices"), c("p_size").cast("string").alias("index_hash"), F.array(attr("POSITION", c("p_brand"), F.lit(None)), attr("NORMAL", c("p_name"), c("p_type"))).alias("attrs"),
+        F.array().cast("array<struct<name: string, type: string, ctype: int, norm: boolean, hash: string, near_hash: string>>").alias("morphs"),
+    )
+
+
+def _alike(s: SparkSession, d: str, tolerance: float) -> DataFrame:
+    """(p_partkey, n): how many meshes have the signature of each."""
+    signed = signatures.mesh_signatures(signatures.primitive_signatures(_primitives(s, d), tolerance))
+    n = signed.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    return signed.join(n, "signature").select(c("mesh_ix").alias("p_partkey"), "n")
+
+
+@query("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, p_name, p_size) AS n FROM part")
 def mesh_signature(s, d):
-    return part(s, d).select(signatures.plain_digest(c("p_brand"), c("p_type"), c("p_size")).alias("signature")).groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    return _alike(s, d, 0.0)
 
 
-@query("SELECT sha256(concat_ws('|', p_brand, p_type)) AS signature, count(*) AS n FROM part GROUP BY 1")
+@query("SELECT p_partkey, count(*) OVER (PARTITION BY p_type, p_size) AS n FROM part")
 def signature_tolerance(s, d):
-    return part(s, d).select(signatures.plain_digest(c("p_brand"), c("p_type")).alias("signature")).groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    return _alike(s, d, 0.5)
 
 
 @query("SELECT CAST(round(CAST(embedding[1] AS DOUBLE) / 0.05) AS BIGINT) AS qx, CAST(round(CAST(embedding[2] AS DOUBLE) / 0.05) AS BIGINT) AS qy, CAST(round(CAST(embedding[3] AS DOUBLE) / 0.05) AS BIGINT) AS qz, count(*) AS n FROM embeddings GROUP BY ALL")
@@ -297,9 +316,9 @@ def box_volume(s, d):
 
 @query(f"SELECT vec_id, round(-2 * x, 6) + 0.0 AS px, round(3 * y, 6) + 0.0 AS py, round(z, 6) + 0.0 AS pz FROM (SELECT vec_id, {_E} FROM embeddings)")
 def trs_point(s, d):
-    # A half turn about y: x and z change sign, then scales 2, 3, -1.
+    # A half turn about y by a rotation of length 2: x and z change sign, then scales 2, 3, -1.
     f = lambda *v: F.array(*[F.lit(float(x)) for x in v])
-    m = transforms.trs_matrix(f(0, 0, 0), f(0, 1, 0, 0), f(2, 3, -1))
+    m = transforms.trs_matrix(f(0, 0, 0), f(0, 2, 0, 0), f(2, 3, -1))
     p = transforms.apply(c("m"), c("min_x"), c("min_y"), c("min_z"))
     return _points(s, d).withColumn("m", m).select("vec_id", *[(F.round(v, 6) + 0.0).alias(n) for v, n in zip(p, ("px", "py", "pz"))])
 
@@ -519,7 +538,8 @@ def triangle_count_indexed(s, d):
 
 @query("SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS vertices FROM lineitem GROUP BY 1")
 def vertex_count(s, d):
-    return lineitem(s, d).groupBy("l_partkey").agg(F.sum(c("l_quantity").cast("long")).alias("vertices"))
+    prims = lineitem(s, d).select(F.lit(0).alias("model_id"), c("l_partkey").alias("mesh_ix"), c("l_quantity").cast("long").alias("n_vertices"))
+    return scenes.vertex_counts(prims).select(c("mesh_ix").alias("l_partkey"), c("n_vertices").alias("vertices"))
 
 
 @query("SELECT p_brand, p_type, n FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) ORDER BY n DESC, p_brand, p_type LIMIT 50")
@@ -540,24 +560,35 @@ def surrogate_ids(s, d):
     return layout.numbered(part(s, d).select("p_partkey", "p_name"), ["p_name", "p_partkey"], "id").select("p_partkey", "id")
 
 
-@query("SELECT p_partkey, CAST(unnest(range(0, p_size)) AS INTEGER) AS instance_ix FROM part")
+@query("SELECT p_partkey, i AS instance_ix, CAST(2 * i + 5 AS DOUBLE) AS x FROM (SELECT p_partkey, CAST(unnest(range(0, p_size)) AS INTEGER) AS i FROM part)")
 def ext_unpack(s, d):
-    return part(s, d).filter("p_size > 0").select("p_partkey", F.explode(F.sequence(F.lit(0), c("p_size") - 1)).alias("instance_ix"))
-
-
-@query("SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), 'none') AS category FROM documents d LEFT JOIN labels l USING (doc_id)")
+    """A model per part with one node, moved by 5 and twice as large, that has the part's size in instances, each turned by nothing."""
+    doubles = lambda *v: F.array(*[F.lit(x).cast("double") for x in v])
+    none = F.lit(None)
+    at = F.transform(F.sequence(F.lit(0), c("p_size") - 1), lambda i: F.struct(F.array(i.cast("double"), F.lit(0.0), F.lit(0.0)).alias("t"), doubles(0, 0, 0, 3).alias("r"), doubles(1, 1, 1).alias("s")))
+    node = F.struct(
+        F.lit(0).alias("node_ix"), none.cast("int").alias("parent_ix"), none.cast("int").alias("child_ord"), F.lit(0).alias("root_ord"), none.cast("string").alias("name"), F.lit(0).alias("mesh_ix"),
+        doubles(5, 0, 0).alias("t"), none.cast("array<double>").alias("r"), doubles(2, 2, 2).alias("s"), none.cast("array<double>").alias("matrix"), F.lit(True).alias("instanced"), F.lit(1).alias("visits"), at.alias("instances"),
+    )
+    placed = scenes.placements(part(s, d).filter("p_size > 0").select(c("p_partkey").alias("model_id"), F.array(node).alias("nodes")))
+    return placed.select(c("model_id").alias("p_partkey"), c("trav_ord")[1].alias("instance_ix"), c("world")[12].alias("x"))
+
+
+@query("SELECT d.doc_id, CAST(l.quality AS VARCHAR) AS category FROM documents d LEFT JOIN labels l USING (doc_id)")
 def semantic_lookup(s, d):
-    return documents(s, d).select("doc_id").join(labels(s, d).select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce(c("quality").cast("string"), F.lit("none")).alias("category"))
+    of = labels(s, d).select(c("doc_id").alias("actor_hash"), c("quality").cast("string").alias("category"))
+    return semantics.with_semantics(documents(s, d).select("doc_id"), of, "doc_id").select("doc_id", "category")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def semantic_last_wins(s, d):
-    return grouping.extremes(events(s, d), ["user_id"], "event_type", ["event_id"], "event_type", greatest=True)
+    blocks = events(s, d).select(F.lit("").alias("path"), c("event_id").alias("ix"), c("user_id").alias("actor_hash"), c("event_type").alias("category"), F.lit("").alias("family"), F.lit("").alias("type"))
+    return semantics.last_blocks(blocks).select(c("actor_hash").alias("user_id"), c("category").alias("event_type"))
 
 
 @query("SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9_.-]', '_', 'g') AS file_name FROM part")
 def name_sanitise(s, d):
-    return part(s, d).select("p_partkey", F.regexp_replace("p_name", "[^A-Za-z0-9_.-]", "_").alias("file_name"))
+    return part(s, d).select("p_partkey", sanitised(c("p_name")).alias("file_name"))
 
 
 _LINE = "p_name || ' , ' || CASE WHEN p_size % 7 = 0 THEN '' ELSE p_brand || ',' || p_type || ' ' END"

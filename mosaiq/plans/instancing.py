@@ -65,10 +65,12 @@ def remap_duplicates(found: Instancing, models: DataFrame) -> Instancing:
 def report(models: DataFrame, found: Instancing) -> DataFrame:
     """The instancing report's one row."""
     one = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
-    reached = scenes.nodes(models)
-    meshes = scenes.primitives(models).select("model_id", "mesh_ix").distinct()
-    inst = reached.filter("instanced").agg(F.coalesce(F.sum(F.size("instances")), F.lit(0)).cast("long").alias("initial_instances"))
-    df = one(models, "input_models").crossJoin(one(reached, "initial_nodes")).crossJoin(one(meshes, "initial_meshes")).crossJoin(inst)
+    nodes = scenes.nodes(models).agg(
+        F.coalesce(F.sum("visits"), F.lit(0)).cast("long").alias("initial_nodes"),
+        F.coalesce(F.sum(F.when(F.col("instanced"), F.size("instances"))), F.lit(0)).cast("long").alias("initial_instances"),
+    )
+    meshes = models.agg(F.coalesce(F.sum("n_meshes"), F.lit(0)).cast("long").alias("initial_meshes"))
+    df = one(models, "input_models").crossJoin(nodes).crossJoin(meshes)
     df = df.crossJoin(one(found.groups, "instanced_groups")).crossJoin(one(found.members, "final_instances")).crossJoin(one(found.left, "non_instanced"))  # one row each
     return reports.instancing(df)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from mosaiq.functions.boxes import Box
 from mosaiq.operators import quadtree
 from mosaiq.operators.simplify import LEAST_INDICES, simplified
+from mosaiq.plans import instancing
 from mosaiq.sinks import tilesets
 from mosaiq.sinks.models import write_models
 from mosaiq.sources import scenes
-from mosaiq.sources.gltf import Gltf, GltfError, Node, Writer, parse, primitives_of
+from mosaiq.sources.gltf import Gltf, GltfError, Node, Writer, parse, primitives_of, roots_of
 
 #: What a parent tile keeps of the indices of the level below it.
 PARENT_RATIO = 0.5
@@ -63,9 +65,7 @@ def _copy_nodes(g: Gltf, w: Writer) -> None:
         number[i] = len(w.doc["nodes"]) - 1
         return number[i]
 
-    scenes_ = g.items("scenes")
-    at = g.json.get("scene", 0)
-    for root in scenes_[at].get("nodes", []) if at < len(scenes_) else []:
+    for root in roots_of(g):
         if full(root):
             w.doc["scenes"][0]["nodes"].append(put(root))
 
@@ -73,23 +73,58 @@ def _copy_nodes(g: Gltf, w: Writer) -> None:
 def level_models(files: DataFrame, levels: int = 3, ratio: float = 0.5, least: int = LEAST_INDICES) -> DataFrame:
     """(path, level, glb, size, triangles, original_triangles, error): level 0 as it is, each next at ratio**level.
 
-    Levels are dealt out one by one. Unreadable files have no rows; their error is in ``read_scenes``.
+    A file's bytes are moved and parsed once for all its levels. Unreadable files have no
+    rows; their error is in ``read_scenes``.
     """
-    rows = files.select("path", "content", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")).repartition("path", "level")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for path, content, level in zip(b["path"], b["content"], b["level"]):
+        for b in scenes.some(batches, 1):
+            path, content = b["path"].iat[0], bytes(b["content"].iat[0])
+            for level in range(levels + 1):
                 try:
-                    glb, before, after = simplify_model(bytes(content), ratio**level, least)
+                    glb, before, after = simplify_model(content, ratio**level, least)
                 except (GltfError, KeyError, IndexError, TypeError, ValueError):
-                    continue
-                glb, after = (glb, after) if level else (bytes(content), before)
-                out.append((path, level, glb, len(glb), after, before, 0.0 if not level else 16.0 * 2 ** (level - 1)))
-            yield pd.DataFrame(out, columns=["path", "level", "glb", "size", "triangles", "original_triangles", "error"])
-
-    return rows.mapInPandas(run, "path string, level int, glb binary, size long, triangles long, original_triangles long, error double")
+                    break
+                glb, after = (glb, after) if level else (content, before)
+                row = (path, level, glb, len(glb), after, before, 0.0 if not level else 16.0 * 2 ** (level - 1))
+                yield pd.DataFrame([row], columns=["path", "level", "glb", "size", "triangles", "original_triangles", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, level int, glb binary, size long, triangles long, original_triangles long, error double")
+
+
+@dataclass
+class LevelInstancing:
+    """Of one level: models of what is instanced and of what is left, by ``part``, and the report's row."""
+
+    level: int
+    models: DataFrame
+    report: DataFrame
+
+
+def instanced_levels(levels: DataFrame, count: int, tolerance: float = 0.0, limit: int = 2, skip: tuple[str, ...] = (), normal_tolerance: float = 0.0) -> list[LevelInstancing]:
+    """Instancing detected anew in the models of each level from 1 to ``count`` (rows of ``level_models``), as simplified meshes may agree where their originals don't."""
+    out = []
+    for level in range(1, count + 1):
+        files = levels.filter(F.col("level") == level).select("path", F.col("size").alias("length"), F.col("glb").alias("content"))
+        models = scenes.models(scenes.read_scenes(files, normal_tolerance)).persist()
+        found = instancing.detect(models, tolerance, limit, skip)
+        drawn = instancing.to_draw(found).withColumn("part", F.when(F.col("instanced"), "instanced").otherwise("non_instanced"))
+        glbs = write_models(drawn, files.join(models.select("path", "model_id"), "path"), ["part"])
+        out.append(LevelInstancing(level, glbs.withColumn("level", F.lit(level)), instancing.report(models, found)))
+    return out
+
+
+def instanced_level_tileset(parts: list[tuple[float, list[str]]]) -> str:
+    """Levels (error, uris) from finest to coarsest: a level of two files is shown by a tile with both, each inside the next coarser; a root error under 100 counts as 1000."""
+    node = None
+    for error, uris in parts:
+        if node is not None and error <= node["geometricError"]:
+            error = max(node["geometricError"] * 1.05, node["geometricError"] + 1)
+        uri = uris[0] if len(uris) == 1 else list(uris)
+        node = tilesets.tile(tilesets.cube_box(tilesets.CHAIN_HALF), error, uri, [node] if node else None)
+    if node is None:
+        return tilesets.chain([])
+    return tilesets.tileset(node, node["geometricError"] if node["geometricError"] >= 100 else tilesets.ROOT_ERROR)
 
 
 def level_report(models: DataFrame) -> DataFrame:

@@ -109,3 +109,21 @@ def tileset_errors(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (glb_roundtrip, instancing_of_scenes, tileset_json, simplify_chain, tileset_errors)}
+
+_ITEMS = """i AS (SELECT l_suppkey, p_size, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, p_size) - 1 AS x,
+    l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey),
+f AS (SELECT l_suppkey, 'supplier-' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') || '.glb' AS path FROM i GROUP BY 1)"""
+
+ORACLES = {
+    "glb_roundtrip": f"""WITH {_ITEMS}, n AS (SELECT p_size, count(*) AS n FROM i GROUP BY 1)
+SELECT path, count(*) AS placements, count(*) FILTER (n >= 3) AS instanced, count(*) FILTER (n < 3) AS left_over FROM i JOIN n USING (p_size) JOIN f USING (l_suppkey) GROUP BY 1""",
+    "instancing_of_scenes": f"""WITH {_ITEMS}, rep AS (SELECT p_size FROM i JOIN f USING (l_suppkey) ORDER BY path, x LIMIT 1),
+k AS (SELECT count(DISTINCT l_suppkey) AS input_models, count(*) AS initial_nodes, count(DISTINCT (l_suppkey, p_size)) AS initial_meshes, CAST(0 AS BIGINT) AS initial_instances,
+    count(*) FILTER (p_size = (SELECT p_size FROM rep)) AS m FROM i),
+c AS (SELECT *, CASE WHEN m >= 3 THEN 1::BIGINT ELSE 0 END AS instanced_groups, CASE WHEN m >= 3 THEN m ELSE 0 END AS final_instances, CASE WHEN m >= 3 THEN initial_nodes - m ELSE initial_nodes END AS non_instanced FROM k)
+SELECT input_models, initial_nodes, initial_meshes, initial_instances, instanced_groups, final_instances, non_instanced, instanced_groups + non_instanced AS final_nodes, instanced_groups + non_instanced AS final_meshes,
+    final_instances + non_instanced AS total_displayed, round((1 - (instanced_groups + non_instanced) / initial_nodes) * 100, 2) AS node_reduction, 0.0::DOUBLE AS initial_ratio,
+    round(final_instances / (final_instances + non_instanced) * 100, 2) AS final_ratio, round(final_instances / (final_instances + non_instanced) * 100, 2) AS increase FROM c""",
+    "tileset_errors": f"""WITH {_ITEMS}, b AS (SELECT l_suppkey, min(x)::DOUBLE AS min_x, 0.0::DOUBLE AS min_y, min(l_linenumber)::DOUBLE AS min_z, max(x + p_size)::DOUBLE AS max_x, max(p_size)::DOUBLE AS max_y, max(l_linenumber + p_size)::DOUBLE AS max_z FROM i GROUP BY 1)
+SELECT row_number() OVER (ORDER BY path) - 1 AS model_id, min_x, min_y, min_z, max_x, max_y, max_z, round(greatest(0.1 * sqrt((max_x - min_x) ** 2 + (max_y - min_y) ** 2 + (max_z - min_z) ** 2), 1.0), 4)::DOUBLE AS error FROM b JOIN f USING (l_suppkey)""",
+}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -86,13 +87,30 @@ def pack(doc: dict[str, Any], body: bytes) -> bytes:
     return struct.pack("<III", MAGIC, 2, 12 + len(out)) + out
 
 
+@dataclass(frozen=True)
+class Texture:
+    """A texture by content: its JSON without references, its sampler's, and its images as (JSON, bytes or None) by where they are named."""
+
+    doc: str
+    sampler: str | None
+    images: tuple[tuple[str, str, bytes | None], ...]
+
+
+@dataclass(frozen=True)
+class Material:
+    """A material by content: its JSON, in which the index of a texture is a place in ``textures``."""
+
+    doc: str
+    textures: tuple[Texture, ...] = ()
+
+
 @dataclass
 class Primitive:
-    """A primitive's own arrays: attributes by name, indices or None, material as JSON or None."""
+    """A primitive's own arrays: attributes by name, indices or None, material or None."""
 
     attributes: dict[str, np.ndarray]
     indices: np.ndarray | None = None
-    material: str | None = None
+    material: Material | None = None
     mode: int = 4
     morphs: list[dict[str, np.ndarray]] = field(default_factory=list)
 
@@ -109,14 +127,77 @@ class Node:
     name: str | None = None
 
 
+def _texture_infos(x: Any) -> Iterator[dict[str, Any]]:
+    """Everything within a material that names a texture, its extensions included."""
+    if isinstance(x, list):
+        for v in x:
+            yield from _texture_infos(v)
+    elif isinstance(x, dict):
+        for k, v in x.items():
+            if k.endswith("Texture") and isinstance(v, dict) and isinstance(v.get("index"), int):
+                yield v
+            yield from _texture_infos(v)
+
+
+def _sources(texture: dict[str, Any]) -> Iterator[tuple[str, dict[str, Any]]]:
+    """Where a texture names images: ("", the texture) and (an extension's name, the extension)."""
+    if "source" in texture:
+        yield "", texture
+    for name, ext in sorted((texture.get("extensions") or {}).items()):
+        if isinstance(ext, dict) and "source" in ext:
+            yield name, ext
+
+
 class Writer:
-    """Collects meshes and nodes into one GLB. Buffers are aligned, equal arrays and materials stored once."""
+    """Collects meshes and nodes into one GLB. Buffers are aligned; equal arrays, materials, textures, samplers and images are stored once."""
 
     def __init__(self) -> None:
         self.doc: dict[str, Any] = {"asset": {"version": "2.0", "generator": "mosaiq"}, "scene": 0, "scenes": [{"nodes": []}], "nodes": [], "meshes": [], "accessors": [], "bufferViews": []}
         self.body = bytearray()
         self.seen: dict[tuple, int] = {}
-        self.materials: dict[str, int] = {}
+        self.contents: dict[tuple, int] = {}
+        self.extensions: set[str] = set()
+
+    def _view(self, data: bytes) -> int:
+        self.body += b"\0" * (-len(self.body) % 4)
+        self.doc["bufferViews"].append({"buffer": 0, "byteOffset": len(self.body), "byteLength": len(data)})
+        self.body += data
+        return len(self.doc["bufferViews"]) - 1
+
+    def _stored(self, kind: str, of: Any, make: Callable[[], dict[str, Any]]) -> int:
+        """The number of a material, texture, sampler or image, which is made if nothing equal is there."""
+        if (kind, of) not in self.contents:
+            made = make()
+            self.doc.setdefault(kind, []).append(made)
+            self.contents[kind, of] = len(self.doc[kind]) - 1
+        return self.contents[kind, of]
+
+    def _image(self, doc: str, data: bytes | None) -> int:
+        return self._stored("images", (doc, data), lambda: json.loads(doc) | ({"bufferView": self._view(data)} if data is not None else {}))
+
+    def _texture(self, t: Texture) -> int:
+        def make() -> dict[str, Any]:
+            out = json.loads(t.doc)
+            if t.sampler is not None:
+                out["sampler"] = self._stored("samplers", t.sampler, lambda: json.loads(t.sampler))
+            for name, doc, data in t.images:
+                of = out.setdefault("extensions", {}).setdefault(name, {}) if name else out
+                of["source"] = self._image(doc, data)
+            self.extensions |= set(out.get("extensions") or ())
+            return out
+
+        return self._stored("textures", t, make)
+
+    def _material(self, m: Material) -> int:
+        def make() -> dict[str, Any]:
+            out = json.loads(m.doc)
+            for info in _texture_infos(out):
+                info["index"] = self._texture(m.textures[info["index"]])
+                self.extensions |= set(info.get("extensions") or ())
+            self.extensions |= set(out.get("extensions") or ())
+            return out
+
+        return self._stored("materials", m, make)
 
     def _accessor(self, a: np.ndarray, bounds: bool = False) -> int:
         a = np.ascontiguousarray(a)
@@ -124,12 +205,10 @@ class Writer:
         key = (a.dtype.str, a.shape, a.tobytes(), bounds)
         if key in self.seen:
             return self.seen[key]
-        self.body += b"\0" * (-len(self.body) % 4)
-        self.doc["bufferViews"].append({"buffer": 0, "byteOffset": len(self.body), "byteLength": a.nbytes})
-        self.body += a.tobytes()
+        view = self._view(a.tobytes())
         kinds = {np.dtype(v): k for k, v in COMPONENTS.items()}
         shape = {1: "SCALAR", 2: "VEC2", 3: "VEC3", 4: "VEC4", 9: "MAT3", 16: "MAT4"}
-        out = {"bufferView": len(self.doc["bufferViews"]) - 1, "componentType": kinds[a.dtype.newbyteorder("=")], "count": len(a), "type": shape[a.shape[1]]}
+        out = {"bufferView": view, "componentType": kinds[a.dtype.newbyteorder("=")], "count": len(a), "type": shape[a.shape[1]]}
         if bounds and len(a):
             out |= {"min": a.min(axis=0).astype(float).tolist(), "max": a.max(axis=0).astype(float).tolist()}
         self.doc["accessors"].append(out)
@@ -143,7 +222,7 @@ class Writer:
             if p.indices is not None:
                 x["indices"] = self._accessor(p.indices)
             if p.material is not None:
-                x["material"] = self.materials.setdefault(p.material, len(self.materials))
+                x["material"] = self._material(p.material)
             if p.morphs:
                 x["targets"] = [{k: self._accessor(v, k == "POSITION") for k, v in sorted(m.items())} for m in p.morphs]
             out.append(x)
@@ -158,33 +237,129 @@ class Writer:
         if n.instances is not None:
             t, r, s = (np.array([i[k] for i in n.instances], np.float32).reshape(-1, (3, 4, 3)[k]) for k in range(3))
             out["extensions"] = {INSTANCING: {"attributes": {"TRANSLATION": self._accessor(t, True), "ROTATION": self._accessor(r), "SCALE": self._accessor(s, True)}}}
-            self.doc["extensionsUsed"] = self.doc["extensionsRequired"] = [INSTANCING]
+            self.extensions.add(INSTANCING)
+            self.doc["extensionsRequired"] = [INSTANCING]
         self.doc["scenes"][0]["nodes"].append(len(self.doc["nodes"]))
         self.doc["nodes"].append(out)
 
     def finish(self) -> bytes:
-        if self.materials:
-            self.doc["materials"] = [json.loads(m) for m in self.materials]
+        if self.extensions:
+            self.doc["extensionsUsed"] = sorted(self.extensions)
         self.doc["buffers"] = [{"byteLength": len(self.body)}] if self.body else []
         return pack({k: v for k, v in self.doc.items() if v or k == "scene"}, bytes(self.body))
 
 
+def _image_of(g: Gltf, ix: int) -> tuple[str, bytes | None]:
+    image = dict(g.items("images")[ix])
+    view = image.pop("bufferView", None)
+    if view is None:
+        return json.dumps(image, sort_keys=True), None
+    v = g.items("bufferViews")[view]
+    at = v.get("byteOffset", 0)
+    if at + v["byteLength"] > len(g.bin):
+        raise GltfError(f"image {ix} reaches beyond its buffer")
+    return json.dumps(image, sort_keys=True), bytes(g.bin[at : at + v["byteLength"]])
+
+
+def _texture_of(g: Gltf, ix: int) -> Texture:
+    doc = json.loads(json.dumps(g.items("textures")[ix]))
+    images = [(name, *_image_of(g, of.pop("source"))) for name, of in _sources(doc)]
+    sampler = doc.pop("sampler", None)
+    return Texture(json.dumps(doc, sort_keys=True), None if sampler is None else json.dumps(g.items("samplers")[sampler], sort_keys=True), tuple(images))
+
+
+def material_of(g: Gltf, ix: int | None) -> Material | None:
+    """A material with all that it refers to; None if there is none of that number."""
+    if ix is None or not 0 <= ix < len(g.items("materials")):
+        return None
+    doc = json.loads(json.dumps(g.items("materials")[ix]))
+    places: dict[int, int] = {}
+    for info in _texture_infos(doc):
+        info["index"] = places.setdefault(info["index"], len(places))
+    return Material(json.dumps(doc, sort_keys=True), tuple(_texture_of(g, t) for t in places))
+
+
 def primitives_of(g: Gltf, mesh: int) -> list[Primitive]:
-    """A mesh's primitives with their arrays; materials as JSON without their textures' images."""
-    materials = g.items("materials")
+    """A mesh's primitives with their arrays and materials."""
     out = []
     for p in g.items("meshes")[mesh].get("primitives", []):
-        m = p.get("material")
         out.append(Primitive(
             {k: g.accessor(v) for k, v in sorted(p.get("attributes", {}).items())},
             g.accessor(p["indices"])[:, 0] if "indices" in p else None,
-            json.dumps(materials[m], sort_keys=True) if m is not None and m < len(materials) else None,
+            material_of(g, p.get("material")),
             p.get("mode", 4),
             [{k: g.accessor(v) for k, v in sorted(t.items())} for t in p.get("targets", [])],
         ))
     return out
 
 
+#: Lists whose items other parts of a model refer to by number, and the keys that do so.
+_LISTS = ("bufferViews", "accessors", "images", "samplers", "textures", "materials", "meshes", "nodes")
+
+
+def merged(sources: list[Gltf]) -> bytes:
+    """One GLB of several models: buffers one behind another, every reference moved on by what came before, all roots in one scene."""
+    doc: dict[str, Any] = {"asset": {"version": "2.0", "generator": "mosaiq"}, "scene": 0, "scenes": [{"nodes": []}]} | {k: [] for k in _LISTS}
+    body, used, required = bytearray(), set(), set()
+    for g in sources:
+        body += b"\0" * (-len(body) % 4)
+        begin = {k: len(doc[k]) for k in _LISTS}
+        own = {k: json.loads(json.dumps(g.items(k))) for k in _LISTS}
+
+        def move(x: dict[str, Any], key: str, kind: str) -> None:
+            if isinstance(x.get(key), int):
+                x[key] += begin[kind]  # noqa: B023
+
+        for v in own["bufferViews"]:
+            v |= {"buffer": 0, "byteOffset": v.get("byteOffset", 0) + len(body)}
+        for x in (*own["accessors"], *own["images"]):
+            move(x, "bufferView", "bufferViews")
+            for part in ("indices", "values"):
+                move(x.get("sparse", {}).get(part, {}), "bufferView", "bufferViews")
+        for t in own["textures"]:
+            move(t, "sampler", "samplers")
+            for _, of in _sources(t):
+                move(of, "source", "images")
+        for info in (i for m in own["materials"] for i in _texture_infos(m)):
+            move(info, "index", "textures")
+        for p in (p for m in own["meshes"] for p in m.get("primitives", [])):
+            for named in (p.get("attributes", {}), *p.get("targets", [])):
+                for k in named:
+                    move(named, k, "accessors")
+            move(p, "indices", "accessors")
+            move(p, "material", "materials")
+        for n in own["nodes"]:
+            move(n, "mesh", "meshes")
+            n |= {"children": [c + begin["nodes"] for c in n["children"]]} if n.get("children") else {}
+            named = (n.get("extensions") or {}).get(INSTANCING, {}).get("attributes", {})
+            for k in named:
+                move(named, k, "accessors")
+            # Skins and cameras are no part of what is merged.
+            n.pop("skin", None), n.pop("camera", None)
+        for k in _LISTS:
+            doc[k] += own[k]
+        doc["scenes"][0]["nodes"] += [r + begin["nodes"] for r in roots_of(g)]
+        body += g.bin
+        used |= set(g.json.get("extensionsUsed") or ())
+        required |= set(g.json.get("extensionsRequired") or ())
+    doc |= {"buffers": [{"byteLength": len(body)}] if body else [], "extensionsUsed": sorted(used), "extensionsRequired": sorted(required)}
+    return pack({k: v for k, v in doc.items() if v or k == "scene"}, bytes(body))
+
+
+def roots_of(g: Gltf) -> list[int]:
+    """Where a walk begins: the roots of the default scene (the first, if none is named), else of all scenes, else the nodes without a parent, else all nodes."""
+    scenes, nodes = g.items("scenes"), g.items("nodes")
+    at = g.json.get("scene", 0)
+    children = {c for n in nodes for c in n.get("children", [])}
+    choices = (
+        scenes[at].get("nodes", []) if 0 <= at < len(scenes) else [],
+        list(dict.fromkeys(r for s in scenes for r in s.get("nodes", []))),
+        [i for i in range(len(nodes)) if i not in children],
+        range(len(nodes)),
+    )
+    return next(([r for r in c if 0 <= r < len(nodes)] for c in choices if c), [])
+
+
 def cube() -> Primitive:
     """A unit cube around the origin: four corners and two triangles per face."""
     corners, normals, indices = [], [], []

@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,16 +21,17 @@ from pyspark.sql import types as T
 
 from mosaiq.functions import transforms
 from mosaiq.functions.boxes import Box
+from mosaiq.functions.signatures import EXACT
 from mosaiq.operators.layout import numbered
-from mosaiq.sources.gltf import INSTANCING, Gltf, GltfError, parse
+from mosaiq.sources.gltf import INSTANCING, Gltf, GltfError, parse, roots_of
 
-_ATTR = "array<struct<name: string, type: string, ctype: int, norm: boolean, hash: string>>"
+_ATTR = "array<struct<name: string, type: string, ctype: int, norm: boolean, hash: string, near_hash: string>>"
 _SCHEMA = f"""path string, length long, file_hash string, error string,
 nodes array<struct<node_ix: int, parent_ix: int, child_ord: int, root_ord: int, name: string, mesh_ix: int, t: array<double>, r: array<double>, s: array<double>, matrix: array<double>,
-  instanced: boolean, instances: array<struct<t: array<double>, r: array<double>, s: array<double>>>>>,
+  instanced: boolean, visits: int, instances: array<struct<t: array<double>, r: array<double>, s: array<double>>>>>,
 primitives array<struct<mesh_ix: int, mesh_name: string, prim_ix: int, material: int, mode: int, n_vertices: long, n_indices: long, index_hash: string,
   attrs: {_ATTR}, morphs: {_ATTR}, min_x: double, min_y: double, min_z: double, max_x: double, max_y: double, max_z: double>>,
-extensions array<string>"""
+extensions array<string>, n_meshes int"""
 
 
 def find(spark: SparkSession, folder: str, suffixes: str = "*.[gG][lL][bB]") -> DataFrame:
@@ -82,17 +84,22 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     return files.unionByName(spark.read.format("binaryFile").load(there).select("path", "length", "content")) if there else files
 
 
-def _attribute(g: Gltf, name: str, ix: int) -> dict[str, Any]:
-    a = g.items("accessors")[ix]
-    return {"name": name, "type": a["type"], "ctype": a["componentType"], "norm": bool(a.get("normalized")), "hash": hashlib.sha256(g.accessor(ix).tobytes()).hexdigest()}
+def _attribute(g: Gltf, name: str, ix: int, step: float = 0.0) -> dict[str, Any]:
+    """An attribute's description and the hash of its data; ``near_hash``, for normals, of its data in steps."""
+    a, data = g.items("accessors")[ix], g.accessor(ix)
+    out = {"name": name, "type": a["type"], "ctype": a["componentType"], "norm": bool(a.get("normalized")), "hash": hashlib.sha256(data.tobytes()).hexdigest(), "near_hash": None}
+    if name == "NORMAL" and step > EXACT and (out["type"], out["ctype"]) == ("VEC3", 5126):
+        # Adding zero makes of a negative zero a positive one.
+        out["near_hash"] = hashlib.sha256((transforms.quantised_floats(data, step) + np.float32(0)).tobytes()).hexdigest()
+    return out
 
 
-def _primitive(g: Gltf, mesh_ix: int, prim_ix: int) -> dict[str, Any]:
+def _primitive(g: Gltf, mesh_ix: int, prim_ix: int, step: float) -> dict[str, Any]:
     mesh = g.items("meshes")[mesh_ix]
     p = mesh["primitives"][prim_ix]
     attrs = p.get("attributes", {})
     out: dict[str, Any] = {"mesh_ix": mesh_ix, "mesh_name": mesh.get("name"), "prim_ix": prim_ix, "material": p.get("material"), "mode": p.get("mode", 4)}
-    out["attrs"] = [_attribute(g, k, v) for k, v in sorted(attrs.items())]
+    out["attrs"] = [_attribute(g, k, v, step) for k, v in sorted(attrs.items())]
     out["morphs"] = [_attribute(g, f"{i}:{k}", v) for i, t in enumerate(p.get("targets", [])) for k, v in sorted(t.items())]
     position = g.items("accessors")[attrs["POSITION"]] if "POSITION" in attrs else None
     out["n_vertices"] = position["count"] if position else None
@@ -119,15 +126,26 @@ def _instances(g: Gltf, node: dict[str, Any]) -> list[dict[str, list[float]]] |
     return [{k: arrays[k][i].tolist() if k in arrays and i < len(arrays[k]) else v for k, v in neutral.items()} for i in range(count)]
 
 
-def describe(data: bytes) -> dict[str, Any]:
-    """A file's nodes, primitives and extensions; nodes have their parent and, for roots, their place in the scene."""
+def _visits(nodes: list[dict[str, Any]], roots: list[int]) -> list[int]:
+    """How often a walk from ``roots`` comes to each node."""
+    out, todo = [0] * len(nodes), list(roots)
+    while todo:
+        i = todo.pop()
+        out[i] += 1
+        if out[i] > len(nodes):
+            raise GltfError("the nodes form a cycle")
+        todo += [c for c in nodes[i].get("children", []) if 0 <= c < len(nodes)]
+    return out
+
+
+def describe(data: bytes, step: float = 0.0) -> dict[str, Any]:
+    """A file's nodes, primitives and extensions; nodes have their parent, for roots their place in the scene, and how often a walk of the default scene comes to them."""
     g = parse(data)
     nodes = g.items("nodes")
     parent = {ch: (i, k) for i, n in enumerate(nodes) for k, ch in enumerate(n.get("children", []))}
-    scenes = g.items("scenes")
-    at = g.json.get("scene", 0)
-    roots = scenes[at].get("nodes", []) if at < len(scenes) else []
-    order = {r: i for i, r in enumerate(roots)}
+    order = {r: i for i, r in enumerate(roots_of(g))}
+    scenes, at = g.items("scenes"), g.json.get("scene", 0)
+    visits = _visits(nodes, [r for r in (scenes[at].get("nodes", []) if 0 <= at < len(scenes) else []) if 0 <= r < len(nodes)])
     meshes = g.items("meshes")
     rows = []
     for i, n in enumerate(nodes):
@@ -135,26 +153,37 @@ def describe(data: bytes) -> dict[str, Any]:
         mesh = n.get("mesh")
         rows.append({
             "node_ix": i, "parent_ix": parent.get(i, (None, None))[0], "child_ord": parent.get(i, (None, None))[1], "root_ord": order.get(i), "name": n.get("name"), "mesh_ix": mesh if mesh is not None and mesh < len(meshes) else None,
-            "t": n.get("translation"), "r": n.get("rotation"), "s": n.get("scale"), "matrix": n.get("matrix"), "instanced": inst is not None, "instances": inst,
+            "t": n.get("translation"), "r": n.get("rotation"), "s": n.get("scale"), "matrix": n.get("matrix"), "instanced": inst is not None, "visits": visits[i], "instances": inst,
         })
-    prims = [_primitive(g, m, p) for m, mesh in enumerate(meshes) for p in range(len(mesh.get("primitives", [])))]
-    return {"nodes": rows, "primitives": prims, "extensions": sorted(g.json.get("extensionsUsed") or [])}
+    prims = [_primitive(g, m, p, step) for m, mesh in enumerate(meshes) for p in range(len(mesh.get("primitives", [])))]
+    return {"nodes": rows, "primitives": prims, "extensions": sorted(g.json.get("extensionsUsed") or []), "n_meshes": len(meshes)}
+
 
+def some(batches: Iterator[pd.DataFrame], rows: int = 4) -> Iterator[pd.DataFrame]:
+    """Batches cut into parts of a few rows, as each holds a file's bytes."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.iloc[at : at + rows]
 
-def read_scenes(files: DataFrame) -> DataFrame:
-    """One row per file: path, length, file_hash, error, nodes, primitives, extensions. An unreadable file has an error and nulls."""
+
+def read_scenes(files: DataFrame, normal_tolerance: float = 0.0) -> DataFrame:
+    """One row per file: path, length, file_hash, error, nodes, primitives, extensions, n_meshes. An unreadable file has an error and nulls.
+
+    With a tolerance normals are also hashed in steps of it, for signatures with a tolerance.
+    """
+    names = ["path", "length", "file_hash", "error", "nodes", "primitives", "extensions", "n_meshes"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in some(batches):
             rows = []
             for path, length, content in zip(b["path"], b["length"], b["content"]):
-                row = {"path": path, "length": length, "file_hash": hashlib.sha256(content).hexdigest(), "error": None, "nodes": None, "primitives": None, "extensions": None}
+                row = dict.fromkeys(names) | {"path": path, "length": length, "file_hash": hashlib.sha256(content).hexdigest()}
                 try:
-                    row |= describe(bytes(content))
+                    row |= describe(bytes(content), normal_tolerance)
                 except (GltfError, KeyError, IndexError, TypeError, ValueError) as e:
                     row["error"] = f"{type(e).__name__}: {e}"
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=["path", "length", "file_hash", "error", "nodes", "primitives", "extensions"])
+            yield pd.DataFrame(rows, columns=names).astype({"n_meshes": "Int32"})
 
     return files.mapInPandas(run, T._parse_datatype_string(_SCHEMA))
 

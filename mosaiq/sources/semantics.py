@@ -45,8 +45,13 @@ def read_semantics(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "ix", "actor_hash", "category", "family", "type"])
 
     rows = files.mapInPandas(run, "path string, ix long, actor_hash string, category string, family string, type string")
+    return last_blocks(rows)
+
+
+def last_blocks(blocks: DataFrame) -> DataFrame:
+    """(actor_hash, category, family, type): of each hash the last block in the order of path and ix."""
     last = F.max_by(F.struct("category", "family", "type"), F.struct("path", "ix"))
-    return rows.groupBy("actor_hash").agg(last.alias("x")).select("actor_hash", "x.*")
+    return blocks.groupBy("actor_hash").agg(last.alias("x")).select("actor_hash", "x.*")
 
 
 def with_semantics(meshes: DataFrame, semantics: DataFrame, name: str = "mesh_name") -> DataFrame:
