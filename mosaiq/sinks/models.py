@@ -53,7 +53,7 @@ def write_models(members: DataFrame, files: DataFrame, by: list[str]) -> DataFra
     at = F.array_sort(F.collect_list(F.struct("trav_ord", "world")))
     meshes = members.groupBy(*by, "mesh_key", "model_id", "mesh_ix", "instanced", "ratio").agg(at.alias("at"))
     # What is wanted of a file meets its bytes in one row, so they move and are parsed once.
-    wanted = meshes.groupBy("model_id").agg(F.collect_list(F.struct(*by, "mesh_key", "mesh_ix", "instanced", "ratio", "at")).alias("wanted"))
+    wanted = meshes.groupBy("model_id").agg(F.collect_list(F.struct(*[F.col(k).alias(f"by{i}_") for i, k in enumerate(by)], "mesh_key", "mesh_ix", "instanced", "ratio", "at")).alias("wanted"))
     drawn = wanted.join(files.select("model_id", "content"), "model_id").select("content", "wanted")
     cut = drawn.mapInPandas(_cut_out(by), ", ".join(f"`{n}` {t}" for n, t in members.select(*by).dtypes) + ", mesh_key string, mesh_name_ string, instanced boolean, mesh binary, worlds array<array<double>>, first array<int>")
 
@@ -80,7 +80,7 @@ def _cut_out(by: list[str]):
                     w = Writer()
                     w.mesh([simplified(p, r["ratio"]) for p in primitives_of(g, r["mesh_ix"])], name)
                     made[what] = w.finish()
-                rows.append([*[r[k] for k in by], str(r["mesh_key"]), name or "", r["instanced"], made[what], [x["world"] for x in r["at"]], list(r["at"][0]["trav_ord"])])
+                rows.append([*[r[f"by{i}_"] for i in range(len(by))], str(r["mesh_key"]), name or "", r["instanced"], made[what], [x["world"] for x in r["at"]], list(r["at"][0]["trav_ord"])])
                 if len(rows) >= 64:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
