@@ -58,8 +58,9 @@ class Policy:
 POLICIES = {
     1: Policy(1, BASE),
     2: Policy(2, BASE | BIT["symbols"] | BIT["shouting"] | BIT["repeated_lines"], BIT["word_length"], 1),
+    3: Policy(3, BASE | BIT["symbols"] | BIT["shouting"] | BIT["repeated_lines"], BIT["word_length"]),
 }
-CURRENT = 2
+CURRENT = 3
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 

@@ -120,6 +120,30 @@ def test_word_encoder_equals_the_tokenizer():
 # 3
 
 
+def test_every_rule_of_the_current_policy_can_reject(spark):
+    rng = random.Random(2)
+    words = [f"{rng.choice('abcdefghij')}{rng.choice('klmnop')}w{k}" for k in range(100)]
+    texts = {
+        None: " ".join(words), "few_words": "one two three", "repeated_words": "a bc d " * 40, "symbols": " ".join(w + "#" for w in words), "shouting": " ".join(words).upper(),
+        "repeated_lines": "\n".join([" ".join(words)] + ["same line"] * 7), "word_length": " ".join(w + "x" * 12 for w in words),
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")
+    got = {r.doc_id: (r.kept, r.fail_bits) for r in rules.apply_policy(rules.ledger(df)).collect()}
+    assert got[0] == (True, 0)
+    for i, name in list(enumerate(texts))[1:]:
+        assert got[i][0] is False and got[i][1] & rules.BIT[name], name
+    rows = {r.rule: r for r in rules.ablations(rules.ledger(df)).collect()}
+    assert rows["word_length"].n_kept_without == rows["word_length"].n_kept + 1
+
+
+def test_token_counts_follow_revisions_and_deletions(spark, tmp_path):
+    rows = [(1, "a b c", "s", "en"), (2, "d e", "s", None), (3, " ", "s", "en"), (4, None, None, "en"), (5, "f", None, "en"), (5, "f", None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in rollups.query(spark, str(tmp_path)).collect()]
+    words = [("s", "en", "words-1", 1, 3, 5), ("s", None, "words-1", 1, 2, 3), (None, "en", "words-1", 2, 2, 2)]
+    same(got, words + [(s, g, "word_bpe_49k", n, t, c) for s, g, _, n, t, c in words])
+
+
 def test_rules_keep_clean_rows(odd, none):
     out = rules.keep_good(odd)
     assert out.columns == odd.columns
