@@ -119,14 +119,14 @@ def test_program_writes_all_that_settings_ask_for(spark, tmp_path):
     (tmp_path / "lists").mkdir()
     (tmp_path / "lists" / "w_IDExport.csv").write_text("name,id\nmesh red,7\nother,8\n")
     out = f"file://{tmp_path}/out"
-    settings = Settings(input_directory=f"file://{tmp_path}/in", output_directory=out, merge_all_glb=True, mesh_segmentation=True, csv_directory=f"file://{tmp_path}/lists", enable_lod_generation=True, non_instanced_lod_level_count=1, enable_hlod=True)
+    settings = Settings(input_directory=f"file://{tmp_path}/in", output_directory=out, merge_all_glb=True, mesh_segmentation=True, csv_directory=f"file://{tmp_path}/lists")
     names = program.run(spark, settings)
     there = {os.path.relpath(os.path.join(d, f), tmp_path / "out") for d, _, fs in os.walk(tmp_path / "out") for f in fs}
-    assert {"instanced.glb", "non_instanced.glb", "merged.glb", "tileset.json", "instancing_report.txt", "levels/instanced_levels.json", "tiles/tileset.json"} <= set(names) & there
+    assert {"instanced.glb", "non_instanced.glb", "merged.glb", "tileset.json", "instancing_report.txt"} <= set(names) & there
     g = parse((tmp_path / "out" / "non_instanced.glb").read_bytes())
     assert images_of(g, 0)[:2] == ("red", b"\x89PNG-1")
     assert len(parse((tmp_path / "out" / "merged.glb").read_bytes()).items("meshes")) == 2
-    assert json.loads((tmp_path / "out" / "tiles" / "tileset.json").read_text())["root"]["content"]["uri"]
+    assert json.loads((tmp_path / "out" / "tileset.json").read_text())["root"]["contents"]
     rows = spark.read.option("header", True).csv(f"{out}/w_IDExport_processed.csv").collect()
     assert {(r.name, r.status) for r in rows} == {("mesh red", "Non-Instanced"), ("other", "Instanced")}
-    assert any(n.startswith("segments/") for n in names) and any(n.startswith("levels/instanced_lod1") for n in names)
+    assert any(n.startswith("segments/") for n in names)
