@@ -1,16 +1,12 @@
-import json
-import os
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.config import Settings
 from mosaiq.functions import transforms
-from mosaiq.plans import instancing, program
+from mosaiq.plans import instancing
 from mosaiq.sources import scenes
 from mosaiq.sources.gltf import Gltf, Node, Primitive, Writer, merged, pack, parse, primitives_of, roots_of
-from tests.test_levels import files, model
+from tests.test_levels import files
 
 
 def textured(colour, image=b"\x89PNG-1", extra=b""):
@@ -110,23 +106,3 @@ def test_normals_count_in_steps_of_their_tolerance(spark, step):
     models = scenes.models(scenes.read_scenes(files(spark, a=w.finish()), step)).persist()
     assert instancing.detect(models, tolerance=0.01).members.count() == (2 if step else 0)
     assert instancing.detect(models).members.count() == 0
-
-
-def test_program_writes_all_that_settings_ask_for(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    for name, data in (("a.glb", model(12)), ("b.glb", textured("red")), ("bad.glb", b"x")):
-        (tmp_path / "in" / name).write_bytes(data)
-    (tmp_path / "lists").mkdir()
-    (tmp_path / "lists" / "w_IDExport.csv").write_text("name,id\nmesh red,7\nother,8\n")
-    out = f"file://{tmp_path}/out"
-    settings = Settings(input_directory=f"file://{tmp_path}/in", output_directory=out, merge_all_glb=True, mesh_segmentation=True, csv_directory=f"file://{tmp_path}/lists")
-    names = program.run(spark, settings)
-    there = {os.path.relpath(os.path.join(d, f), tmp_path / "out") for d, _, fs in os.walk(tmp_path / "out") for f in fs}
-    assert {"instanced.glb", "non_instanced.glb", "merged.glb", "tileset.json", "instancing_report.txt"} <= set(names) & there
-    g = parse((tmp_path / "out" / "non_instanced.glb").read_bytes())
-    assert images_of(g, 0)[:2] == ("red", b"\x89PNG-1")
-    assert len(parse((tmp_path / "out" / "merged.glb").read_bytes()).items("meshes")) == 2
-    assert json.loads((tmp_path / "out" / "tileset.json").read_text())["root"]["contents"]
-    rows = spark.read.option("header", True).csv(f"{out}/w_IDExport_processed.csv").collect()
-    assert {(r.name, r.status) for r in rows} == {("mesh red", "Non-Instanced"), ("other", "Instanced")}
-    assert any(n.startswith("segments/") for n in names)
