@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,42 +15,70 @@ from pyspark.sql import types as T
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 
 
-def identity() -> Column:
-    return F.array(*map(F.lit, IDENTITY))
+def trs_matrices(t: np.ndarray, r: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """T·R·S of translations (n, 3), quaternions (n, 4: x, y, z, w) and scales (n, 3) as matrices (n, 4, 4).
 
+    A quaternion may have any length; one without length turns nothing.
+    """
+    length = np.linalg.norm(r, axis=1, keepdims=True)
+    q = np.where(length > 0, r, [0.0, 0.0, 0.0, 1.0]) / np.where(length > 0, length, 1.0)
+    x, y, z, w = q.T
+    out = np.zeros((len(t), 4, 4))
+    out[:, 0, 0], out[:, 0, 1], out[:, 0, 2] = 1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)
+    out[:, 1, 0], out[:, 1, 1], out[:, 1, 2] = 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)
+    out[:, 2, 0], out[:, 2, 1], out[:, 2, 2] = 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)
+    out[:, :3, :3] *= s[:, None, :]
+    out[:, :3, 3], out[:, 3, 3] = t, 1.0
+    return out
 
-def trs_matrix(t: Column, r: Column, s: Column) -> Column:
-    """T·R·S; ``r`` is a quaternion (x, y, z, w) of any length; one without length turns nothing."""
-    length = F.sqrt(sum((r[i] * r[i] for i in range(1, 4)), r[0] * r[0]))
-    x, y, z, w = (F.when(length > 0, r[i] / length).otherwise(F.lit(float(i == 3))) for i in range(4))
-    axes = (
-        (1 - 2 * (y * y + z * z), 2 * (x * y + z * w), 2 * (x * z - y * w)),
-        (2 * (x * y - z * w), 1 - 2 * (x * x + z * z), 2 * (y * z + x * w)),
-        (2 * (x * z + y * w), 2 * (y * z - x * w), 1 - 2 * (x * x + y * y)),
-    )
-    cells = [c for k, axis in enumerate(axes) for c in (*(v * s[k] for v in axis), F.lit(0.0))]
-    return F.array(*cells, t[0], t[1], t[2], F.lit(1.0))
 
+def from_columns(m: np.ndarray) -> np.ndarray:
+    """Matrices (n, 4, 4) of 16 numbers each, column by column."""
+    return m.reshape(-1, 4, 4).transpose(0, 2, 1)
 
-def multiply(a: Column, b: Column) -> Column:
-    """a·b."""
-    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: sum((a[k * 4 + i % 4] * b[(i - i % 4 + k).cast("int")] for k in range(1, 4)), a[i % 4] * b[(i - i % 4).cast("int")]))
 
+def to_columns(m: np.ndarray) -> np.ndarray:
+    """The 16 numbers of matrices (n, 4, 4), column by column."""
+    return np.ascontiguousarray(m.transpose(0, 2, 1)).reshape(-1, 16)
 
-def apply(m: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
-    """A point through a matrix."""
-    return tuple(m[i] * x + m[4 + i] * y + m[8 + i] * z + m[12 + i] for i in range(3))
+
+def rows_of(lists: pa.ListArray, default: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of numbers as (n, len(default)), those of another length replaced by ``default``; and the length of each, 0 for null."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    out = np.tile(np.array(default), (len(lists), 1))
+    fits = size == len(default)
+    if fits.any():
+        out[fits] = lists.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(default))
+    return out, size
+
+
+#: What a node has where it gives nothing of its own.
+NEUTRAL = {"t": [0.0, 0.0, 0.0], "r": [0.0, 0.0, 0.0, 1.0], "s": [1.0, 1.0, 1.0]}
 
 
-def local_matrix(t: Column, r: Column, s: Column, matrix: Column) -> Column:
-    """A node's own transform: from translation, rotation and scale if any is given, else its matrix, else identity.
+def local_matrices(of: pa.StructArray) -> np.ndarray:
+    """The own transforms of nodes (t, r, s, matrix): from translation, rotation and scale if any is given, else the matrix, else identity.
 
-    A matrix without 16 numbers counts as none.
+    A matrix without 16 numbers counts as none. Nodes without a field ``matrix`` have none.
     """
-    or_ = lambda c, n, v: F.when(F.size(c) == n, c).otherwise(F.array(*map(F.lit, v)))
-    any_ = F.coalesce(F.size(t) > 0, F.lit(False)) | F.coalesce(F.size(r) > 0, F.lit(False)) | F.coalesce(F.size(s) > 0, F.lit(False))
-    whole = trs_matrix(or_(t, 3, [0.0] * 3), or_(r, 4, [0.0, 0.0, 0.0, 1.0]), or_(s, 3, [1.0] * 3))
-    return F.when(any_, whole).when(F.size(matrix) == 16, matrix).otherwise(identity())
+    parts, sizes = zip(*(rows_of(of.field(k), v) for k, v in NEUTRAL.items()))
+    out = trs_matrices(*parts)
+    if of.type.get_field_index("matrix") >= 0:
+        matrix, size = rows_of(of.field("matrix"), IDENTITY)
+        own = (size == 16) & ~np.any([n > 0 for n in sizes], axis=0)
+        out[own] = from_columns(matrix[own])
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def trs_matrix(t: pd.Series, r: pd.Series, s: pd.Series) -> pd.Series:
+    """T·R·S as 16 numbers."""
+    return pd.Series(list(to_columns(trs_matrices(*(np.array(c.tolist(), float) for c in (t, r, s))))))
+
+
+def apply(m: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """A point through a matrix."""
+    return tuple(m[i] * x + m[4 + i] * y + m[8 + i] * z + m[12 + i] for i in range(3))
 
 
 def decompose_arrays(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +86,7 @@ def decompose_arrays(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
     A mirroring matrix has a negative scale along x. An axis without length keeps that of the identity.
     """
-    m = m.reshape(-1, 4, 4).transpose(0, 2, 1)
+    m = from_columns(m)
     t, axes = m[:, :3, 3], m[:, :3, :3].copy()
     s = np.linalg.norm(axes, axis=1)
     s[np.linalg.det(axes) < 0, 0] *= -1

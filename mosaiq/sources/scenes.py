@@ -15,6 +15,8 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,8 +124,7 @@ def _instances(g: Gltf, node: dict[str, Any]) -> list[dict[str, list[float]]] |
     of = ext.get("attributes", {})
     arrays = {k: g.accessor(of[n]).astype(float) for k, n in (("t", "TRANSLATION"), ("r", "ROTATION"), ("s", "SCALE")) if n in of}
     count = max(map(len, arrays.values()), default=0)
-    neutral = {"t": [0.0, 0.0, 0.0], "r": [0.0, 0.0, 0.0, 1.0], "s": [1.0, 1.0, 1.0]}
-    return [{k: arrays[k][i].tolist() if k in arrays and i < len(arrays[k]) else v for k, v in neutral.items()} for i in range(count)]
+    return [{k: arrays[k][i].tolist() if k in arrays and i < len(arrays[k]) else v for k, v in transforms.NEUTRAL.items()} for i in range(count)]
 
 
 def _visits(nodes: list[dict[str, Any]], roots: list[int]) -> list[int]:
@@ -144,6 +145,7 @@ def describe(data: bytes, step: float = 0.0) -> dict[str, Any]:
     nodes = g.items("nodes")
     parent = {ch: (i, k) for i, n in enumerate(nodes) for k, ch in enumerate(n.get("children", []))}
     order = {r: i for i, r in enumerate(roots_of(g))}
+    _visits(nodes, list(order))
     scenes, at = g.items("scenes"), g.json.get("scene", 0)
     visits = _visits(nodes, [r for r in (scenes[at].get("nodes", []) if 0 <= at < len(scenes) else []) if 0 <= r < len(nodes)])
     meshes = g.items("meshes")
@@ -205,30 +207,109 @@ def mesh_boxes(prims: DataFrame) -> DataFrame:
     return prims.groupBy("model_id", "mesh_ix").agg(*Box.named().union())
 
 
-def placements(models_: DataFrame, most: int = 256) -> DataFrame:
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers begin[i] .. begin[i] + count[i] - 1 of all i, one after another."""
+    return np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)
+
+
+def _before(sizes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The sum of the sizes before each within its group; groups are runs of equal numbers."""
+    total = np.cumsum(sizes) - sizes
+    first = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, bool)
+    return total - np.maximum.accumulate(np.where(first, total, 0)) if len(group) else total
+
+
+def _walk(row: np.ndarray, base: np.ndarray, flat: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, order, world) of every visit of a walk through the nodes of several files.
+
+    ``row`` is the file of each node and ``base`` the place of a file's first node. All
+    files go down one level at a time; the order within a file, a node before its children,
+    follows from the sizes of the parts below each visit.
+    """
+    number = lambda name: pc.fill_null(flat.field(name), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    root_ord, up = number("root_ord"), number("parent_ix")
+    parent = np.where(up >= 0, base[row] + up, -1)
+    children = np.lexsort((number("child_ord"), parent))
+    begin, end = (np.searchsorted(parent[children], np.arange(len(row)), side) for side in ("left", "right"))
+    local = transforms.local_matrices(flat)
+    roots = np.flatnonzero(root_ord >= 0)
+    roots = roots[np.lexsort((root_ord[roots], row[roots]))]
+    waves, worlds, above = [roots], [local[roots]], [row[roots]]
+    while len(waves[-1]):
+        if len(waves) > len(row) + 1:
+            raise GltfError("the nodes form a cycle")
+        now = waves[-1]
+        count = end[now] - begin[now]
+        down = children[_spread(begin[now], count)]
+        waves.append(down)
+        above.append(np.repeat(np.arange(len(now)), count))
+        worlds.append(worlds[-1][above[-1]] @ local[down])
+    sizes = [np.ones(len(w), np.int64) for w in waves]
+    for k in range(len(waves) - 1, 0, -1):
+        np.add.at(sizes[k - 1], above[k], sizes[k])
+    order = [_before(sizes[0], above[0])]
+    for k in range(1, len(waves)):
+        order.append(order[-1][above[k]] + 1 + _before(sizes[k], above[k]))
+    return np.concatenate(waves), np.concatenate(order), np.concatenate(worlds)
+
+
+def _placed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The placements of a few files (model_id, nodes)."""
+    lists = batch.column("nodes")
+    flat, count = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, base = np.repeat(np.arange(len(count)), count), np.cumsum(count) - count
+    node, order, world = _walk(row, base, flat)
+    ids, node_ix, mesh = batch.column("model_id"), flat.field("node_ix"), flat.field("mesh_ix")
+    instanced = pc.fill_null(flat.field("instanced"), False).to_numpy(zero_copy_only=False)
+    drawn = pc.is_valid(mesh).to_numpy(zero_copy_only=False)[node]
+
+    def out(at: np.ndarray, worlds: np.ndarray, ord_: pa.Array, ext: bool) -> pa.RecordBatch:
+        own = pa.array(node[at])
+        matrices = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * 16, pa.array(transforms.to_columns(worlds).ravel()))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row[node[at]])), node_ix.take(own), mesh.take(own), ord_, pa.array(np.full(len(at), ext)), matrices], ["model_id", "node_ix", "mesh_ix", "trav_ord", "is_ext", "world"])
+
+    plain = np.flatnonzero(drawn & ~instanced[node])
+    lists_of = lambda width, *cols: pa.ListArray.from_arrays(np.arange(len(cols[0]) + 1, dtype=np.int32) * width, pa.array(np.stack(cols, axis=1).astype(np.int32).ravel()))
+    for at in np.array_split(plain, len(plain) // PLACED + 1):
+        yield out(at, world[at], lists_of(1, order[at]), False)
+    own = flat.field("instances")
+    begin = own.offsets.to_numpy()[:-1].astype(np.int64)
+    number = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    visits = np.flatnonzero(drawn & instanced[node])
+    each = np.repeat(visits, number[node[visits]])
+    of = _spread(begin[node[visits]], number[node[visits]])
+    for k in range(0, len(each), PLACED):
+        at, item = each[k : k + PLACED], of[k : k + PLACED]
+        inner = transforms.local_matrices(own.values.take(pa.array(item)))
+        yield out(at, world[at] @ inner, lists_of(2, order[at], item - begin[node[at]]), True)
+
+
+#: Placements to a batch, and nodes of files that are walked together (a larger file by itself).
+PLACED, TOGETHER = 1 << 14, 1 << 16
+
+
+def placements(models_: DataFrame) -> DataFrame:
     """(model_id, node_ix, mesh_ix, trav_ord, is_ext, world): every placed mesh with its column-major matrix.
 
     Nodes come in the order of a walk from the scene's roots, a node before its children;
     instances of a node by their number, each behind the node's own matrix. ``trav_ord``
-    is an array that sorts in that order. One join per level of the deepest scene.
+    is an array that sorts in that order: a node's place in the walk, and for instances
+    their number. A file's nodes are one row, so its walk needs no shuffle, however deep
+    it is; a node's ``node_ix`` is its place in that row.
     """
-    n = nodes(models_).withColumn("local", transforms.local_matrix(F.col("t"), F.col("r"), F.col("s"), F.col("matrix"))).drop("t", "r", "s", "matrix").persist()
-    level = n.filter("root_ord IS NOT NULL").withColumns({"world": F.col("local"), "trav_ord": F.array(F.col("root_ord"))})
-    out = level
-    for _ in range(most):
-        up = level.select("model_id", F.col("node_ix").alias("parent_ix"), F.col("world").alias("__w"), F.col("trav_ord").alias("__o"))
-        level = n.join(up, ["model_id", "parent_ix"]).withColumns({"world": transforms.multiply(F.col("__w"), F.col("local")), "trav_ord": F.concat("__o", F.array("child_ord"))}).drop("__w", "__o").select(*out.columns).persist()
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    else:
-        raise ValueError(f"a scene is deeper than {most} levels")
-    out = out.filter("mesh_ix IS NOT NULL")
-    plain = out.filter("NOT instanced").select("model_id", "node_ix", "mesh_ix", "trav_ord", F.lit(False).alias("is_ext"), "world")
-    ext = out.filter("instanced").select("model_id", "node_ix", "mesh_ix", "trav_ord", "world", F.posexplode("instances").alias("i", "x"))
-    own = transforms.trs_matrix(F.col("x.t"), F.col("x.r"), F.col("x.s"))
-    ext = ext.select("model_id", "node_ix", "mesh_ix", F.concat("trav_ord", F.array("i")).alias("trav_ord"), F.lit(True).alias("is_ext"), transforms.multiply(F.col("world"), own).alias("world"))
-    return plain.unionByName(ext)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            begin, total = 0, 0
+            for i, n in enumerate(pc.fill_null(pc.list_value_length(b.column("nodes")), 0).to_pylist()):
+                if total and total + n > TOGETHER:
+                    yield from _placed(b.slice(begin, i - begin))
+                    begin, total = i, 0
+                total += n
+            yield from _placed(b.slice(begin))
+
+    kind = dict(models_.dtypes)["model_id"]
+    return models_.select("model_id", "nodes").mapInArrow(run, f"model_id {kind}, node_ix int, mesh_ix int, trav_ord array<int>, is_ext boolean, world array<double>")
 
 
 def scene_box(placed: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
