@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import classifier, decontaminate, pieces, repeats, rollups, rules, secrets, simhash, tokenfiles, warc
+from mosaiq.llm import chat, classifier, collocations, decontaminate, pieces, repair, repeats, rollups, rules, secrets, simhash, tokenfiles, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -17,6 +17,9 @@ QUERIES = {
     "op9_token_counts": rollups.query,
     "op9_word_counts": rollups.query_words,
     "op10_benchmark_decontamination": decontaminate.query,
+    "op11_conversation_repair": repair.query,
+    "op12_phrase_collocations": collocations.query,
+    "op13_chat_formatting": chat.query,
 }
 ORACLES = {
     "op1_secret_scan": secrets.ORACLE,
@@ -25,4 +28,6 @@ ORACLES = {
     "op7_warc_archives": warc.ORACLE,
     "op9_word_counts": rollups.ORACLE_WORDS,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
+    "op12_phrase_collocations": collocations.ORACLE,
+    "op13_chat_formatting": chat.ORACLE,
 }

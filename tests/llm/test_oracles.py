@@ -10,10 +10,10 @@ def test_query_equals_sql(spark, data, duck, name):
 
 
 def test_names():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in catalog.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in catalog.QUERIES}
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.ORACLES if n not in ("op7_warc_archives", "op10_benchmark_decontamination")])
+@pytest.mark.parametrize("name", [n for n in catalog.ORACLES if n not in ("op7_warc_archives", "op10_benchmark_decontamination", "op13_chat_formatting")])
 def test_odd_rows_equal_sql(spark, odd, none, tmp_path, name):
     import duckdb
 
