@@ -25,9 +25,9 @@ from mosaiq.llm.common import drop_stored, load, partitions, stored, text_or_emp
 #: The contract: words of a phrase, its least frequency, the factor of the score, what part of a phrase's occurrences a longer one must have to replace it (percent), rows per language.
 LONGEST, LEAST, FACTOR, WITHIN, MOST = 5, 100, 1000, 100, 2000
 #: Bytes of text that are counted together.
-SHARD = 6 << 20
-#: Bits of a bitmap, as a power of two: 4 MB.
-BITS = 25
+SHARD = 12 << 20
+#: Bits of a bitmap, as a power of two: 4 MB; and of the hashes that are counted for it.
+BITS, KEY = 25, 40
 #: Parts in which the best of a language are found before they meet.
 PARTS = 64
 UNKNOWN = "und"
@@ -55,31 +55,35 @@ class Tokens:
         self.langs = names[key % len(names)] if len(key) else names[:0]
         self.words = coded.dictionary.take(pa.array(key // len(names)))
         # Between words of one piece there are spaces only.
-        breaks = np.cumsum(flat == 10)[start]
-        self.joined = np.append(breaks[1:] == breaks[:-1], False) if len(start) else np.zeros(0, bool)
+        piece = np.searchsorted(np.flatnonzero(flat == 10), start)
+        self.joined = np.append(piece[1:] == piece[:-1], False) if len(start) else np.zeros(0, bool)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each (lang, word)."""
-        seeds = {x: xxhash.xxh3_64_intdigest(x.encode()) for x in set(self.langs)}
-        return np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[x]) for w, x in zip(self.words.to_pylist(), self.langs)), np.uint64, len(self.langs))
+        return hashes(self.langs, self.words)
+
+
+def hashes(langs: np.ndarray, words: pa.Array) -> np.ndarray:
+    """A hash of KEY bits of each (lang, word)."""
+    seeds = {x: xxhash.xxh3_64_intdigest(x.encode()) for x in set(langs)}
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[x]) for w, x in zip(words.to_pylist(), langs)), np.uint64, len(langs)) >> np.uint64(64 - KEY)
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of two words' hashes in order."""
+    """A hash of KEY bits of two words' hashes in order."""
     x = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - KEY)
 
 
 def _may(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h >> np.uint64(64 - BITS)
+    slot = h >> np.uint64(KEY - BITS)
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
     """The bits of a table of hashes (h: long); 2**BITS of them, whatever the table's size."""
-    slot = F.shiftrightunsigned("h", 64 - BITS)
-    words = hashes.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - BITS}) & 63 AS INT))")).alias("bits"))
+    slot = F.shiftright("h", KEY - BITS)
+    words = hashes.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftright(h, {KEY - BITS}) & 63 AS INT))")).alias("bits"))
     out, rows = np.zeros(1 << (BITS - 6), np.uint64), words.toArrow()  # a row for 64 bits at most
     out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
@@ -105,17 +109,28 @@ def _strings(words: pa.Array) -> pa.Array:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, word, h, n): every word's occurrences; per lang a row without word has their sum."""
+    """(lang, word, n): every word's occurrences; per lang a row without word has their sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _shards(batches):
-            n, h = np.bincount(t.ids, minlength=len(t.langs)), t.hashes().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(t.langs, pa.string()), _strings(t.words), pa.array(h), pa.array(n)], ["lang", "word", "h", "n"])
+            n = np.bincount(t.ids, minlength=len(t.langs))
+            yield pa.RecordBatch.from_arrays([pa.array(t.langs, pa.string()), _strings(t.words), pa.array(n)], ["lang", "word", "n"])
             names, at = np.unique(t.langs, return_inverse=True)
             total = np.bincount(at, n, len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.nulls(len(names), pa.string()), pa.nulls(len(names), pa.int64()), pa.array(total)], ["lang", "word", "h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.nulls(len(names), pa.string()), pa.array(total)], ["lang", "word", "n"])
+
+    return texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def _word_hashes(words: DataFrame) -> DataFrame:
+    """(h) of words (lang, word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = hashes(np.array(b.column(0).to_pylist(), object), b.column(1).cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    return texts.mapInArrow(run, "lang string, word string, h long, n long").groupBy("lang", "word").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
+    return words.select("lang", "word").mapInArrow(run, "h long")
 
 
 def _pair_counts(texts: DataFrame, bitmap) -> DataFrame:
@@ -251,7 +266,7 @@ def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[D
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), text_or_empty().alias("text"))
     words = stored(word_counts(texts).filter(f"word IS NULL OR n >= {int(least)}"), "frequent-words")
     single = words.filter("word IS NOT NULL")
-    bits = spark.sparkContext.broadcast(_bitmap(single.select("h")))
+    bits = spark.sparkContext.broadcast(_bitmap(_word_hashes(single)))
     pairs = stored(_pair_counts(texts, bits).filter(f"n >= {int(least)}").select("h"), "frequent-pairs")
     pair_bits = spark.sparkContext.broadcast(_bitmap(pairs))
     found = patterns(projections(texts, pair_bits, longest), least)
