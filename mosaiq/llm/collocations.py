@@ -1,13 +1,14 @@
 """Phrase collocations: contiguous patterns grown to the right from frequent prefixes, scored by their weakest cut.
 
-Three passes over the texts, each pruned by the one before: words are counted, then pairs of
-words that are both frequent, then every occurrence of a pair that may be frequent gives
-away its projection, the words that follow as long as each pair may be frequent. Equal
-projections are added up before and after the shuffle. A task has all projections of a
-prefix, the first two words, in order of their words, and grows patterns depth-first along
-them: what is open is a stack as deep as the longest phrase, so a prefix of any size takes
-the same memory. Pruning goes by two bitmaps of fixed size: a false hit costs a row and
-changes no count, as counts are made again from the projections.
+Four passes over the texts, each pruned by those before: words are counted, then pairs of
+words that are both frequent, then runs of three whose pairs may both be; last, every
+occurrence of a pair that may be frequent gives away its projection, the words that follow
+as long as each three may be frequent. Equal projections of a shard of text are added up
+before the shuffle. A task has all projections of a prefix, the first two words, in order of
+their words, and grows patterns depth-first along them: what is open is a stack as deep as
+the longest phrase, so a prefix of any size takes the same memory. Pruning goes by bitmaps
+of fixed size: a false hit costs a row and changes no count, as counts are made again from
+the projections.
 """
 
 from __future__ import annotations
@@ -133,35 +134,53 @@ def _word_hashes(words: DataFrame) -> DataFrame:
     return words.select("lang", "word").mapInArrow(run, "h long")
 
 
-def _pair_counts(texts: DataFrame, bitmap) -> DataFrame:
-    """(h, n): hashes of pairs of words that may both be frequent, and how often they occur."""
+def _good(t: Tokens, h: np.ndarray, bitmaps: list) -> tuple[np.ndarray, np.ndarray]:
+    """Where a run of len(bitmaps) + 1 words of a piece begins whose words, pairs, ... may all be frequent but for the run itself; and the hashes of these runs.
+
+    ``bitmaps`` are those of words, of pairs, and so on.
+    """
+    good, key = _may(bitmaps[0].value, h)[t.ids], h[t.ids]
+    at = np.flatnonzero(good[:-1] & good[1:] & t.joined[:-1])
+    for n, bits in enumerate(bitmaps):
+        if n:
+            good = np.zeros(len(t.ids) + 1, bool)
+            good[at] = _may(bits.value, key)
+            own = np.zeros(len(t.ids), np.uint64)
+            own[at] = key
+            at = at[good[at] & good[at + 1]]
+            key = own
+        key = pair_hash(key[at], h[t.ids[at + n + 1]])
+    return at, key
+
+
+def _run_counts(texts: DataFrame, bitmaps: list) -> DataFrame:
+    """(h, n): hashes of the runs of ``_good``, and how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _shards(batches):
-            h = t.hashes()
-            may = _may(bitmap.value, h)[t.ids]
-            at = np.flatnonzero(t.joined[:-1] & may[:-1] & may[1:])
-            pair, n = np.unique(t.ids[at] * len(h) + t.ids[at + 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(h[pair // len(h)], h[pair % len(h)]).view(np.int64)), pa.array(n)], ["h", "n"])
+            key, n = np.unique(_good(t, t.hashes(), bitmaps)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["h", "n"])
 
     return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def projections(texts: DataFrame, pairs, longest: int) -> DataFrame:
-    """(lang, words, n): what begins at each occurrence of a pair that may be frequent, up to ``longest`` words and as far as every pair may be; equal ones as one row."""
+def projections(texts: DataFrame, bitmaps: list, longest: int) -> DataFrame:
+    """(lang, words, n): what begins at each occurrence of a pair that may be frequent, up to ``longest`` words and as far as every three may be; equal ones of a shard as one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _shards(batches):
             h, ids = t.hashes(), t.ids
-            good = t.joined[:-1].copy()
-            good[good] = _may(pairs.value, pair_hash(h[ids[:-1][good]], h[ids[1:][good]]))
-            at = np.flatnonzero(good)
-            # A kind is a sequence of words; it grows by one word at a time, as long as pairs are good.
+            at, key = _good(t, h, bitmaps[:1])
+            at = at[_may(bitmaps[1].value, key)]
+            on3, key = _good(t, h, bitmaps[:2])
+            good = np.zeros(len(ids) + longest, bool)
+            good[on3] = _may(bitmaps[2].value, key)
+            # A kind is a sequence of words; it grows by one word at a time.
             first, kind = np.unique(ids[at] * len(h) + ids[at + 1], return_inverse=True)
             kinds = [[a, b] for a, b in zip((first // len(h)).tolist(), (first % len(h)).tolist())]
             counts = np.zeros(len(kinds), np.int64)
             for k in range(2, longest + 1):
-                on = np.append(good, [False] * longest)[at + k - 1] if k < longest else np.zeros(len(at), bool)
+                on = good[at + k - 2] if k < longest else np.zeros(len(at), bool)
                 counts += np.bincount(kind[~on], minlength=len(kinds))
                 at, kind = at[on], kind[on]
                 if not len(at):
@@ -176,7 +195,7 @@ def projections(texts: DataFrame, pairs, longest: int) -> DataFrame:
             lang = pa.array([t.langs[kinds[k][0]] for k in there], pa.string())
             yield pa.RecordBatch.from_arrays([lang, lists, pa.array(counts[there])], ["lang", "words", "n"])
 
-    return texts.mapInArrow(run, "lang string, words array<string>, n long").groupBy("lang", "words").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "lang string, words array<string>, n long")
 
 
 def grow(rows: Iterator[tuple[str, list[str], int]], least: int) -> Iterator[tuple[str, list[str], int]]:
@@ -266,12 +285,13 @@ def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[D
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), text_or_empty().alias("text"))
     words = stored(word_counts(texts).filter(f"word IS NULL OR n >= {int(least)}"), "frequent-words")
     single = words.filter("word IS NOT NULL")
-    bits = spark.sparkContext.broadcast(_bitmap(_word_hashes(single)))
-    pairs = stored(_pair_counts(texts, bits).filter(f"n >= {int(least)}").select("h"), "frequent-pairs")
-    pair_bits = spark.sparkContext.broadcast(_bitmap(pairs))
-    found = patterns(projections(texts, pair_bits, longest), least)
+    bitmaps = [spark.sparkContext.broadcast(_bitmap(_word_hashes(single)))]
+    for _ in range(2):
+        runs = stored(_run_counts(texts, list(bitmaps)).filter(f"n >= {int(least)}").select("h"), "frequent-runs")
+        bitmaps.append(spark.sparkContext.broadcast(_bitmap(runs)))
+        drop_stored(runs)
+    found = patterns(projections(texts, bitmaps, longest), least)
     phrases = stored(single.select("lang", F.array("word").alias("words"), "n").unionByName(found), "phrases")
-    drop_stored(pairs)
     return phrases, words.filter("word IS NULL").select("lang", F.col("n").alias("total"))
 
 
