@@ -1,53 +1,83 @@
-"""Trees given as rows (node, parent), walked level by level."""
+"""Trees given as rows (node, parent), climbed by doubling.
+
+Every node holds a pointer to the ancestor some number of steps above it, and what lies
+between. One join doubles the number, so a tree of depth d takes log d joins of as many rows
+as it has nodes, and each is written before the next. Nodes on a cycle, or below one, have
+no root: their pointers never end. They are left out of all results, once the steps are more
+than there are nodes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.operators.steps import dropped, written
+
+Join = Callable[[Column, Column], Column]
+
+
+def _doubled(state: DataFrame, double: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``state`` (node, up, ...) after as many doublings as it takes until no pointer is left; rows whose pointers never end are dropped."""
+    now, steps = written(state, "climb"), 1
+    while (left := now.filter("up IS NOT NULL").count()) and steps <= (n := now.count()):
+        more = written(double(now), "climb")
+        dropped(now)
+        now, steps = more, steps * 2
+    return now.filter("up IS NULL") if left else now
+
+
+def descend(nodes: DataFrame, roots: DataFrame, carry: dict[str, tuple[Column, Join]]) -> DataFrame:
+    """(node, root, depth, carried columns) of every node that is in ``roots`` (node) or has its nearest such ancestor there.
+
+    Per carried column its own value at a node and an associative function of two: a node's
+    result is that of all values from its root down to itself, in this order.
+    """
+    top = roots.select(F.col("node").alias("root")).distinct()
+    own = nodes.select("node", "parent", *[v.alias(k) for k, (v, _) in carry.items()]).join(top, F.col("node") == F.col("root"), "left")
+    # A chain that ends without a root has none; its last node points nowhere.
+    state = own.select("node", F.when(F.col("root").isNull(), F.col("parent")).alias("up"), "root", F.lit(0).alias("depth"), *carry)
+
+    def double(now: DataFrame) -> DataFrame:
+        above = now.select(F.col("node").alias("__n"), F.col("up").alias("__up"), F.col("root").alias("__root"), F.col("depth").alias("__depth"), *[F.col(k).alias(f"__c_{k}") for k in carry])
+        met = now.join(above, F.col("up") == F.col("__n"), "left")
+        there = F.col("__n").isNotNull()
+        carried = [F.when(there, f(F.col(f"__c_{k}"), F.col(k))).otherwise(F.col(k)).alias(k) for k, (_, f) in carry.items()]
+        depth = F.when(there, F.col("depth") + F.col("__depth") + 1).otherwise(F.col("depth"))
+        return met.select("node", F.col("__up").alias("up"), F.coalesce("root", "__root").alias("root"), depth.alias("depth"), *carried)
+
+    return _doubled(state, double).filter("root IS NOT NULL").select("node", "root", "depth", *carry)
 
-def descend(nodes: DataFrame, roots: DataFrame, carry: dict[str, tuple[Column, Column]], most: int = 256) -> DataFrame:
-    """Every node below ``roots`` with ``root``, ``depth`` and carried columns.
 
-    ``nodes`` has node, parent and what the carried expressions read. Per carried column
-    two expressions: its value at a root, and at a child, in which ``parent_<name>`` is its
-    parent's. One join per level; a tree deeper than ``most`` (a cycle) is an error.
+def subtree_sums(nodes: DataFrame, value: Column) -> DataFrame:
+    """(node, total): the sum of ``value`` over the subtree of each node, itself included.
+
+    After k rounds a node has the sum of all within 2**k steps below it; what lies further
+    comes from the nodes that are exactly that far below, to each of which it is the
+    ancestor their pointer names.
     """
-    level = nodes.join(roots.select(F.col("node")), "node", "left_semi").withColumns({"root": F.col("node"), "depth": F.lit(0)} | {k: v[0] for k, v in carry.items()})
-    cols = ["node", "root", "depth", *carry]
-    level = level.select(*cols).persist()
-    out = level
-    for _ in range(most):
-        up = level.select(F.col("node").alias("parent"), "root", F.col("depth").alias("__depth"), *[F.col(k).alias(f"parent_{k}") for k in carry])
-        down = nodes.join(up, "parent").withColumn("depth", F.col("__depth") + 1)
-        level = down.select("node", "root", "depth", *[v[1].alias(k) for k, v in carry.items()]).persist()
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"the tree is deeper than {most} levels")
+    state = nodes.select("node", F.col("parent").alias("up"), value.alias("total"))
+
+    def double(now: DataFrame) -> DataFrame:
+        below = now.filter("up IS NOT NULL").groupBy(F.col("up").alias("__at")).agg(F.sum("total").alias("__below"))
+        above = now.select(F.col("node").alias("__n"), F.col("up").alias("__up"))
+        df = now.join(above, F.col("up") == F.col("__n"), "left").join(below, F.col("node") == F.col("__at"), "left")
+        return df.select("node", F.col("__up").alias("up"), (F.col("total") + F.coalesce("__below", F.lit(0))).cast(now.schema["total"].dataType).alias("total"))
+
+    return _doubled(state, double).select("node", "total")
 
 
 def subtree_counts(nodes: DataFrame) -> DataFrame:
-    """(node, n): nodes in the subtree of each, itself included; every node is counted at all of its ancestors."""
-    up = nodes.select("node", "parent").persist()
-    level = up.select(F.col("node").alias("at"), F.col("node"))
-    out = level
-    while True:
-        level = level.join(up.select(F.col("node").alias("at"), F.col("parent").alias("__up")), "at").filter("__up IS NOT NULL").select(F.col("__up").alias("at"), "node").persist()
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.groupBy("at").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("at", "node")
+    """(node, n): nodes in the subtree of each, itself included."""
+    return subtree_sums(nodes, F.lit(1).cast("long")).withColumnRenamed("total", "n")
 
 
 def pruned(nodes: DataFrame, full: DataFrame) -> DataFrame:
     """``nodes`` that are in ``full`` (node) or have a descendant in it."""
-    kept = level = nodes.join(full.select("node").distinct(), "node", "left_semi").select("node", "parent").persist()
-    while True:
-        level = nodes.join(level.filter("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct(), "node", "left_semi").join(kept.select("node"), "node", "left_anti").select("node", "parent").persist()
-        if level.isEmpty():
-            break
-        kept = kept.unionByName(level)
+    marked = nodes.select("node", "parent").join(full.select(F.col("node").alias("__full")).distinct(), F.col("node") == F.col("__full"), "left")
+    kept = subtree_sums(marked, F.col("__full").isNotNull().cast("long")).filter("total > 0")
     return nodes.join(kept.select("node"), "node", "left_semi")
 
 

@@ -337,26 +337,28 @@ _TREE = "WITH " + ",\n".join(_LEVELS) + ",\nm AS (" + " UNION ALL ".join(f"SELEC
 t AS (SELECT level, cx, cy, count(*) AS n, count(*) <= {MOST} OR level = {DEPTH} AS leaf, {_UNION} FROM m GROUP BY level, cx, cy)"""
 
 
-def _tree(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    o = _points(s, d)
-    return o, *quadtree.build(o, Box.named(), "vec_id", DEPTH, MOST)
+def _tree(s: SparkSession, d: str) -> quadtree.Tree:
+    return quadtree.build(_points(s, d), Box.named(), DEPTH, MOST)
 
 
 @query(_TREE + " SELECT m.vec_id, m.level, m.cx AS x, m.cy AS y FROM m JOIN t USING (level, cx, cy) WHERE leaf")
 def quadtree_leaves(s, d):
-    return quadtree.leaves(_tree(s, d)[2], "vec_id")
+    return _tree(s, d).leaves("vec_id")
 
 
 @query(_TREE + " SELECT level, cx AS x, cy AS y, n, min_x, min_y, min_z, max_x, max_y, max_z FROM t")
 def quadtree_tight_bounds(s, d):
-    o, _, members = _tree(s, d)
-    return quadtree.tight_bounds(members, o, Box.named(), "vec_id")
+    return _tree(s, d).tiles.drop("leaf")
 
 
 @query(_TREE + " SELECT 'T' || level || '_' || cx || '_' || cy || '.glb' AS tile, n, leaf FROM t")
 def quadtree_tile_names(s, d):
-    tiles = _tree(s, d)[1]
-    return tiles.select(quadtree.tile_name(c("level"), c("x"), c("y")).alias("tile"), "n", "leaf")
+    return _tree(s, d).tiles.select(quadtree.tile_name(c("level"), c("x"), c("y")).alias("tile"), "n", "leaf")
+
+
+@query(_TREE + " SELECT vec_id, level, cx AS x, cy AS y, leaf FROM m JOIN t USING (level, cx, cy)")
+def quadtree_members(s, d):
+    return _tree(s, d).members(["vec_id"])
 
 
 _DIAGONAL = "sqrt((max_x - min_x) ** 2 + (max_y - min_y) ** 2 + (max_z - min_z) ** 2)"
@@ -365,9 +367,7 @@ _DIAGONAL = "sqrt((max_x - min_x) ** 2 + (max_y - min_y) ** 2 + (max_z - min_z)
 @query(_TREE + f""", e AS (SELECT level, cx AS x, cy AS y, leaf, {_DIAGONAL} AS dg, {_DIAGONAL} * CASE level WHEN 0 THEN 2.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.4 WHEN 3 THEN 0.1 ELSE 0.0 END AS e FROM t)
 SELECT level, x, y, round(CASE WHEN NOT leaf AND e < 0.001 THEN greatest(0.05 * dg, 0.1) ELSE e END, 6) AS error FROM e""")
 def tile_geometric_error(s, d):
-    o, tiles, members = _tree(s, d)
-    errors = quadtree.tile_errors(quadtree.tight_bounds(members, o, Box.named(), "vec_id"), tiles)
-    return errors.withColumn("error", F.round("error", 6))
+    return quadtree.tile_errors(_tree(s, d).tiles).withColumn("error", F.round("error", 6))
 
 
 @query(f"""WITH o AS (SELECT vec_id, embedding[1] AS x, embedding[3] AS z FROM embeddings), r AS (SELECT min(x) AS x0, min(z) AS z0, greatest(max(x) - min(x), max(z) - min(z)) + 0.01::FLOAT AS side FROM o)
@@ -383,7 +383,7 @@ def quadtree_level1(s, d):
 
 @query(_TREE + " SELECT DISTINCT level, CAST(rank() OVER (ORDER BY level DESC) AS INTEGER) AS turn FROM (SELECT DISTINCT level FROM t)")
 def levels_deepest_first(s, d):
-    levels = quadtree.deepest_first(_tree(s, d)[1])
+    levels = quadtree.deepest_first(_tree(s, d).tiles)
     return s.createDataFrame([(n, i) for i, n in enumerate(levels, 1)], "level int, turn int")
 
 
@@ -405,7 +405,7 @@ def tree_subtree_count(s, d):
 @query(f"WITH RECURSIVE {_NODES}, w AS (SELECT node, node AS root, 0 AS depth, dx AS x FROM nodes WHERE parent IS NULL UNION ALL SELECT n.node, w.root, w.depth + 1, w.x + n.dx FROM nodes n JOIN w ON n.parent = w.node) SELECT node, root, depth, x FROM w")
 def tree_world_offset(s, d):
     nodes = _nodes(s, d)
-    return trees.descend(nodes, nodes.filter("parent IS NULL"), {"x": (c("dx"), c("parent_x") + c("dx"))})
+    return trees.descend(nodes, nodes.filter("parent IS NULL"), {"x": (c("dx"), lambda above, own: above + own)})
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000)")

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.functions.boxes import Box
+from mosaiq.functions.boxes import Box, tile_error
 from mosaiq.operators import quadtree
 from mosaiq.operators.simplify import LEAST_INDICES, simplified
+from mosaiq.operators.steps import written
 from mosaiq.plans import instancing
 from mosaiq.sinks import tilesets
 from mosaiq.sinks.models import write_models
@@ -147,18 +148,17 @@ def tile_models(models: DataFrame, files: DataFrame, depth: int = 6, most: int =
     original, so levels don't wait for each other's files.
     """
     boxes = scenes.mesh_boxes(scenes.primitives(models))
-    placed = scenes.placements(models).join(boxes, ["model_id", "mesh_ix"]).withColumn("obj", F.sha2(F.concat_ws(".", "model_id", F.array_join(F.transform("trav_ord", lambda x: x.cast("string")), "-")), 256))
-    world = placed.select("obj", "model_id", "mesh_ix", "trav_ord", "world", *Box.named().moved(F.col("world")).columns()).filter("min_x IS NOT NULL").persist()
-    tiles, members = quadtree.build(world, Box.named(), "obj", depth, most)
-    bounds = quadtree.tight_bounds(members, world, Box.named(), "obj")
-    errors = quadtree.tile_errors(bounds, tiles)
+    placed = scenes.placements(models).join(boxes, ["model_id", "mesh_ix"])
+    world = placed.select("model_id", "mesh_ix", "trav_ord", "world", *Box.named().moved(F.col("world")).columns()).filter("min_x IS NOT NULL")
+    tree = quadtree.build(written(world, "placed"), Box.named(), depth, most)
+    tiles = tree.tiles
     name = quadtree.tile_name(F.col("level"), F.col("x"), F.col("y"))
     up = quadtree.tile_name(F.col("level") - 1, (F.col("x") / 2).cast("int"), (F.col("y") / 2).cast("int"))
-    rows = bounds.select("level", "x", "y", Box.named().oriented(z_up=True).alias("box")).join(errors, ["level", "x", "y"])
+    rows = tiles.select("level", "x", "y", Box.named().oriented(z_up=True).alias("box"), tile_error(Box.named().diagonal(), F.col("level"), F.col("leaf")).alias("error"))
     json_ = tilesets.from_tree(rows.select(name.alias("tile"), F.when(F.col("level") > 0, up).alias("parent"), "level", "error", "box", name.alias("uri")))
 
     deepest = tiles.agg(F.max("level").alias("d"))  # one row
-    drawn = members.join(world.select("obj", "model_id", "mesh_ix", "trav_ord", "world"), "obj").crossJoin(F.broadcast(deepest))
+    drawn = tree.members(["model_id", "mesh_ix", "trav_ord", "world"]).crossJoin(F.broadcast(deepest))
     shown = drawn.groupBy("level", "x", "y", "model_id", "mesh_ix").agg(F.count(F.lit(1)).alias("k"))
     drawn = drawn.join(shown, ["level", "x", "y", "model_id", "mesh_ix"]).select(
         "level", "x", "y", F.concat_ws("_", "model_id", "mesh_ix").alias("mesh_key"), "model_id", "mesh_ix", (F.col("k") > 1).alias("instanced"), "trav_ord", "world",

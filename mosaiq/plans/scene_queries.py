@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaiq.functions.boxes import Box, tileset_error
+from mosaiq.functions.boxes import Box, tile_error, tileset_error
 from mosaiq.operators import quadtree, simplify
 from mosaiq.plans import catalog, instancing
 from mosaiq.sinks import tilesets
@@ -57,12 +57,10 @@ def instancing_of_scenes(s: SparkSession, d: str) -> DataFrame:
 
 def tileset_json(s: SparkSession, d: str) -> DataFrame:
     """The quadtree over positions as one hierarchy of tiles."""
-    o, tiles, members = catalog._tree(s, d)
-    bounds = quadtree.tight_bounds(members, o, Box.named(), "vec_id")
-    errors = quadtree.tile_errors(bounds, tiles)
+    tiles = catalog._tree(s, d).tiles
     name = quadtree.tile_name(F.col("level"), F.col("x"), F.col("y"))
     up = quadtree.tile_name(F.col("level") - 1, (F.col("x") / 2).cast("int"), (F.col("y") / 2).cast("int"))
-    rows = bounds.select("level", "x", "y", Box.named().oriented(z_up=True).alias("box")).join(errors, ["level", "x", "y"])
+    rows = tiles.select("level", "x", "y", Box.named().oriented(z_up=True).alias("box"), tile_error(Box.named().diagonal(), F.col("level"), F.col("leaf")).alias("error"))
     rows = rows.select(name.alias("tile"), F.when(F.col("level") > 0, up).alias("parent"), "level", "error", "box", name.alias("uri"))
     return tilesets.from_tree(rows)
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mosaiq import config
 from mosaiq.operators import grouping, layout, reports, simplify, trees
@@ -61,6 +62,22 @@ def test_pruned_keeps_ancestors(spark):
     assert {r.node for r in trees.pruned(nodes, full).collect()} == {"a", "b", "c"}
 
 
+def test_deep_trees_and_cycles(spark):
+    n = 10_000
+    deep = spark.range(n).selectExpr("concat('n', id) AS node", "IF(id = 0, NULL, concat('n', id - 1)) AS parent", "CAST(id AS DOUBLE) AS v")
+    more = [("a", None, 1.0), ("b", "a", 2.0), ("c", "b", 4.0), ("d", "a", 8.0), ("x", "z", 1.0), ("y", "x", 1.0), ("z", "y", 1.0), ("w", "z", 1.0), ("self", "self", 1.0), ("lost", "nowhere", 1.0), ("child", "lost", 1.0)]
+    nodes = deep.unionByName(spark.createDataFrame(more, "node string, parent string, v double")).repartition(4)
+    counts = {r.node: r.n for r in trees.subtree_counts(nodes).collect()}
+    assert len(counts) == n + 6 and [counts[k] for k in ("n0", "n1", "n9999", "a", "b", "d", "lost")] == [n, n - 1, 1, 4, 2, 1, 2]
+    roots = nodes.filter("parent IS NULL")
+    # What comes first stays first: sums of places, and texts in the order of the path.
+    found = {r.node: r for r in trees.descend(nodes, roots, {"v": (F.col("v"), lambda above, own: above + own), "last": (F.col("node"), lambda above, own: own), "first": (F.col("node"), lambda above, own: above)}).collect()}
+    assert len(found) == n + 4 and (found["n9999"].depth, found["n9999"].root, found["n9999"].v) == (9999, "n0", float(n * (n - 1) // 2))
+    assert (found["c"].depth, found["c"].v, found["c"].first, found["c"].last) == (2, 7.0, "a", "c") and (found["a"].depth, found["a"].root) == (0, "a")
+    inner = {r.node: r.root for r in trees.descend(nodes, nodes.filter("node IN ('a', 'b')"), {}).collect()}
+    assert inner == {"a": "a", "b": "b", "c": "b", "d": "a"}
+
+
 def test_report_formulas(spark):
     counts = spark.createDataFrame([(1, 155, 155, 178, 18, 209, 107)], "input_models long, initial_nodes long, initial_meshes long, initial_instances long, instanced_groups long, final_instances long, non_instanced long")
     r = reports.instancing(counts).first()
