@@ -6,14 +6,18 @@ are added up, and every range then counts from its own start.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaiq.operators.steps import written
+
 
 def running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows before each in the order, which must be unique."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("__v", value).repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()).persist()
+    ranged = written(df.withColumn("__v", value).repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()), "ranged")
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("__p").agg(F.sum("__v").alias("__v")).select("__p", F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__start"))
     inside = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -21,6 +25,18 @@ def running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFr
     return out.withColumn(name, (F.col("__start") + F.coalesce(F.sum("__v").over(inside), F.lit(0))).cast("long")).drop("__p", "__v", "__start")
 
 
+def running_within(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """As ``running``, from zero in each group of ``keys``; null keys are a key.
+
+    One order runs over all groups, so that a group with most of the rows is many ranges;
+    what lies before a group is a row for each of them.
+    """
+    whole = written(running(df, [*keys, *order], value, name), "running")
+    first = written(whole.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.min(name).alias("__first")), "firsts")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return whole.join(first, same).withColumn(name, F.col(name) - F.col("__first")).drop("__first", *[f"__k_{k}" for k in keys])
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` numbered from 0 in the order."""
     return running(df, order, F.lit(1).cast("long"), name)

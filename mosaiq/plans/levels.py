@@ -15,7 +15,7 @@ from mosaiq.operators.simplify import LEAST_INDICES, simplified
 from mosaiq.operators.steps import written
 from mosaiq.plans import instancing
 from mosaiq.sinks import tilesets
-from mosaiq.sinks.models import write_models
+from mosaiq.sinks.assembly import write_models
 from mosaiq.sources import scenes
 from mosaiq.sources.gltf import Gltf, GltfError, Node, Writer, parse, primitives_of, roots_of
 
@@ -141,7 +141,14 @@ def level_tileset(levels: list[tuple[str, float]]) -> str:
 
 
 def tile_models(models: DataFrame, files: DataFrame, depth: int = 6, most: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(tiles with their models, roots with their JSON) of a quadtree over all placements.
+    """(tiles with their models as values, roots with their JSON): see ``tile_members``."""
+    drawn, json_ = tile_members(models, depth, most)
+    name = quadtree.tile_name(F.col("level"), F.col("x"), F.col("y"))
+    return write_models(drawn, files, ["level", "x", "y"]).withColumn("tile", name), json_
+
+
+def tile_members(models: DataFrame, depth: int = 6, most: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(rows for ``assembly`` by level, x and y; roots with their JSON) of a quadtree over all placements.
 
     A tile holds all placements below it. A mesh that it shows more than once is stored
     once with instances. Each level up halves the indices of the level below, from the
@@ -164,4 +171,4 @@ def tile_models(models: DataFrame, files: DataFrame, depth: int = 6, most: int =
         "level", "x", "y", F.concat_ws("_", "model_id", "mesh_ix").alias("mesh_key"), "model_id", "mesh_ix", (F.col("k") > 1).alias("instanced"), "trav_ord", "world",
         F.when(F.col("leaf"), 1.0).otherwise(F.pow(F.lit(PARENT_RATIO), F.col("d") - F.col("level"))).alias("ratio"),
     )
-    return write_models(drawn, files, ["level", "x", "y"]).withColumn("tile", name), json_
+    return drawn, json_

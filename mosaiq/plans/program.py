@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.config import Settings, log
 from mosaiq.functions.boxes import Box, tileset_error
-from mosaiq.operators import reconcile
+from mosaiq.operators import quadtree, reconcile
 from mosaiq.plans import instancing, levels
+from mosaiq.sinks import assembly
 from mosaiq.sinks import models as sink
 from mosaiq.sinks import reports, tilesets
 from mosaiq.sources import lists, scenes
@@ -43,10 +44,15 @@ def run(spark: SparkSession, settings: Settings) -> list[str]:
     contents = models.select("path", "model_id").join(files.select("path", "content"), "path")
     found = instancing.detect(models, s.tolerance, s.instance_limit, s.skip_attribute_data_hash)
 
+    def listed(names: list[str], folder: str) -> list[str]:
+        written.extend(f"{folder.removeprefix(out + '/')}/{n}" if folder != out else n for n in names)
+        return names
+
     def save(df: DataFrame, folder: str, name: str = "name") -> list[str]:
-        rows = [r.name for r in sink.save(df, folder, name).collect()]  # names and sizes of files
-        written.extend(f"{folder.removeprefix(out + '/')}/{n}" if folder != out else n for n in rows)
-        return rows
+        return listed([r.name for r in sink.save(df, folder, name).collect()], folder)  # names of files
+
+    def put_models(drawn: DataFrame, by: list[str], folder: str, name: Column) -> list[str]:
+        return listed([r.name for r in assembly.save_models(drawn, contents, by, folder, name).select("name").collect()], folder)
 
     def put(name: str, text: str | None) -> None:
         if text is not None:
@@ -54,7 +60,7 @@ def run(spark: SparkSession, settings: Settings) -> list[str]:
             written.append(name)
 
     drawn = instancing.to_draw(found).withColumn("name", F.when(F.col("instanced"), "instanced.glb").otherwise("non_instanced.glb"))
-    names = save(sink.write_models(drawn, contents, ["name"]), out)
+    names = put_models(drawn, ["name"], out, F.col("name"))
     for name, placed in (("instanced", found.members), ("non_instanced", found.left)):
         if f"{name}.glb" in names:
             put(f"tileset_{name}.json", _flat(placed, models, f"{name}.glb"))
@@ -70,7 +76,7 @@ def run(spark: SparkSession, settings: Settings) -> list[str]:
     if s.mesh_segmentation:
         stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("stem")
         named = prims.groupBy("model_id", "mesh_ix").agg(F.min("mesh_name").alias("mesh_name")).join(models.select("model_id", stem), "model_id")
-        save(sink.segments(scenes.placements(models), contents, named), f"{out}/segments", "file_name")
+        put_models(sink.segments(scenes.placements(models), named), ["file_name"], f"{out}/segments", F.col("file_name"))
     if s.csv_directory:
         left = found.left.join(prims.select("model_id", "mesh_ix", F.col("mesh_name").alias("name")).distinct(), ["model_id", "mesh_ix"]).filter("name IS NOT NULL")
         ids = lists.read_id_lists(spark, s.csv_directory)
@@ -81,8 +87,8 @@ def run(spark: SparkSession, settings: Settings) -> list[str]:
     if s.enable_lod_generation or s.enable_non_instanced_lod_generation:
         put_levels(spark, settings, files, save, put)
     if s.enable_hlod:
-        tiles, roots = levels.tile_models(models, contents, s.quadtree_max_depth, s.quadtree_max_objects_per_tile)
-        save(tiles.withColumn("name", F.col("tile")), f"{out}/tiles")
+        drawn, roots = levels.tile_members(models, s.quadtree_max_depth, s.quadtree_max_objects_per_tile)
+        put_models(drawn, ["level", "x", "y"], f"{out}/tiles", quadtree.tile_name(F.col("level"), F.col("x"), F.col("y")))
         for r in roots.toLocalIterator():
             put("tiles/tileset.json", '{"asset":{"version":"1.1"},"geometricError":1000.0,"root":' + r.json + "}")
     return written

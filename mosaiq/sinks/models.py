@@ -1,23 +1,14 @@
-"""GLB files from tables: instanced, plain, combined, per mesh, per level and per tile."""
+"""Merged models, segments, proxies, and files that executors write."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.functions.transforms import decompose_arrays
-from mosaiq.operators.simplify import simplified
-from mosaiq.sources.gltf import Node, Primitive, Writer, cube, merged, parse, primitives_of
-from mosaiq.sources.scenes import some
-
-
-def _trs(world: list[float]) -> tuple[tuple[float, ...], ...]:
-    t, r, s = decompose_arrays(np.array(world, float).reshape(1, 16))
-    return tuple(map(tuple, (t[0].tolist(), r[0].tolist(), s[0].tolist())))
+from mosaiq.sources.gltf import Node, Writer, cube, merged, parse
 
 
 def sanitised(name: Column) -> Column:
@@ -25,70 +16,6 @@ def sanitised(name: Column) -> Column:
     return F.regexp_replace(name, "[^A-Za-z0-9_.-]", "_")
 
 
-def encode(parts: list[tuple[list[Primitive], str | None, list[list[float]], bool]]) -> bytes:
-    """A GLB of (primitives, name, world matrices, instanced): one node with instances, or one per placement."""
-    w = Writer()
-    for prims, name, worlds, instanced in parts:
-        mesh = w.mesh(prims, name)
-        trs = [_trs(m) for m in worlds]
-        if instanced:
-            w.node(Node(mesh, instances=trs, name=name))
-        else:
-            for t, r, s in trs:
-                w.node(Node(mesh, t, r, s, name=name))
-    return w.finish()
-
-
-def write_models(members: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
-    """(by, glb, n_meshes, n_instances): a GLB per group of placements.
-
-    ``members`` has the ``by`` columns, mesh_key, model_id, mesh_ix (those of the mesh to
-    draw, its group's representative), instanced, trav_ord and world; ``files`` model_id
-    and content. Placements are gathered per mesh first, so that a file's bytes meet a
-    row once and not each of its placements; a group is what one file can hold. A column
-    ``ratio``, if there is one, says how many of a mesh's indices to keep.
-    """
-    if "ratio" not in members.columns:
-        members = members.withColumn("ratio", F.lit(1.0))
-    at = F.array_sort(F.collect_list(F.struct("trav_ord", "world")))
-    meshes = members.groupBy(*by, "mesh_key", "model_id", "mesh_ix", "instanced", "ratio").agg(at.alias("at"))
-    # What is wanted of a file meets its bytes in one row, so they move and are parsed once.
-    wanted = meshes.groupBy("model_id").agg(F.collect_list(F.struct(*[F.col(k).alias(f"by{i}_") for i, k in enumerate(by)], "mesh_key", "mesh_ix", "instanced", "ratio", "at")).alias("wanted"))
-    drawn = wanted.join(files.select("model_id", "content"), "model_id").select("content", "wanted")
-    cut = drawn.mapInPandas(_cut_out(by), ", ".join(f"`{n}` {t}" for n, t in members.select(*by).dtypes) + ", mesh_key string, mesh_name_ string, instanced boolean, mesh binary, worlds array<array<double>>, first array<int>")
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["first", "mesh_key"], key=lambda c: c.map(tuple) if c.name == "first" else c)
-        parts = [(primitives_of(parse(bytes(r.mesh)), 0), r.mesh_name_ or None, [list(m) for m in r.worlds], bool(r.instanced)) for r in group.itertuples()]
-        row = {k: [group[k].iloc[0]] for k in by} | {"glb": [encode(parts)], "n_meshes": [len(parts)], "n_instances": [sum(len(p[2]) for p in parts)]}
-        return pd.DataFrame(row)
-
-    kinds = ", ".join(f"`{n}` {t}" for n, t in members.select(*by).dtypes)
-    return cut.groupBy(*by).applyInPandas(build, f"{kinds}, glb binary, n_meshes long, n_instances long")
-
-
-def _cut_out(by: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*by, "mesh_key", "mesh_name_", "instanced", "mesh", "worlds", "first"]
-        for b in some(batches, 1):
-            g = parse(bytes(b["content"].iat[0]))
-            rows, made = [], {}
-            for r in b["wanted"].iat[0]:
-                what = (r["mesh_ix"], r["ratio"])
-                name = g.items("meshes")[r["mesh_ix"]].get("name")
-                if what not in made:
-                    w = Writer()
-                    w.mesh([simplified(p, r["ratio"]) for p in primitives_of(g, r["mesh_ix"])], name)
-                    made[what] = w.finish()
-                rows.append([*[r[f"by{i}_"] for i in range(len(by))], str(r["mesh_key"]), name or "", r["instanced"], made[what], [x["world"] for x in r["at"]], list(r["at"][0]["trav_ord"])])
-                if len(rows) >= 64:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
-
-    return run
-
-
 def merge_models(files: DataFrame, by: list[str]) -> DataFrame:
     """(by, glb, n_models): the models (path, content) of a group as one, in the order of their paths."""
 
@@ -101,12 +28,11 @@ def merge_models(files: DataFrame, by: list[str]) -> DataFrame:
     return files.select(*by, "path", "content").groupBy(*by).applyInPandas(build, f"{kinds}, glb binary, n_models long")
 
 
-def segments(placed: DataFrame, files: DataFrame, names: DataFrame) -> DataFrame:
-    """(file_name, glb, ...): a GLB per mesh with all of its placements; names carry the mesh's number, so none overwrites another."""
-    df = placed.withColumns({"mesh_key": F.concat_ws("_", "model_id", "mesh_ix"), "instanced": F.lit(False), "seg": F.concat_ws("_", "model_id", "mesh_ix")})
-    out = write_models(df, files, ["model_id", "mesh_ix"])
-    named = out.join(names.select("model_id", "mesh_ix", "mesh_name", "stem"), ["model_id", "mesh_ix"])
-    return named.withColumn("file_name", F.concat(F.col("stem"), F.lit("_"), sanitised(F.coalesce("mesh_name", F.lit("mesh"))), F.lit("_"), F.col("mesh_ix").cast("string"), F.lit(".glb")))
+def segments(placed: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows for ``assembly`` with ``file_name``, one per mesh with all of its placements; names carry the mesh's number, so none overwrites another."""
+    file_name = F.concat(F.col("stem"), F.lit("_"), sanitised(F.coalesce("mesh_name", F.lit("mesh"))), F.lit("_"), F.col("mesh_ix").cast("string"), F.lit(".glb"))
+    df = placed.join(names.select("model_id", "mesh_ix", file_name.alias("file_name")), ["model_id", "mesh_ix"])
+    return df.select("file_name", F.concat_ws("_", "model_id", "mesh_ix").alias("mesh_key"), "model_id", "mesh_ix", F.lit(False).alias("instanced"), "trav_ord", "world")
 
 
 def proxy_model(boxes: list[tuple[list[float], list[float]]], name: str = "LOD1_Proxy_Cube") -> bytes:

@@ -36,21 +36,35 @@ class Gltf:
             kind, n = np.dtype(COMPONENTS[a["componentType"]]).newbyteorder("<"), ELEMENTS[a["type"]]
         except (IndexError, KeyError, TypeError) as e:
             raise GltfError(f"accessor {ix} is not readable") from e
-        if "sparse" in a:
-            raise GltfError("unsupported: sparse accessor")
-        count, width = a["count"], kind.itemsize * n
-        if "bufferView" not in a:
-            return np.zeros((count, n), kind)
-        view = self.items("bufferViews")[a["bufferView"]]
+        base = self._elements(a, a["count"], kind, n, ix) if "bufferView" in a else np.zeros((a["count"], n), kind)
+        return self._overlaid(base, a["sparse"], ix) if "sparse" in a else base
+
+    def _elements(self, of: dict[str, Any], count: int, kind: np.dtype, n: int, ix: int) -> np.ndarray:
+        """``count`` elements of ``n`` numbers from a view, which may be strided."""
+        view, width = self.items("bufferViews")[of["bufferView"]], kind.itemsize * n
         if "extensions" in view:
             raise GltfError("unsupported compression")
-        start = view.get("byteOffset", 0) + a.get("byteOffset", 0)
+        start = view.get("byteOffset", 0) + of.get("byteOffset", 0)
         stride = view.get("byteStride") or width
         if count and start + stride * (count - 1) + width > len(self.bin):
             raise GltfError(f"accessor {ix} reaches beyond its buffer")
         raw = np.lib.stride_tricks.as_strided(np.frombuffer(self.bin, np.uint8)[start:], (count, width), (stride, 1)) if count else np.zeros((0, width), np.uint8)
         return np.ascontiguousarray(raw).view(kind).reshape(count, n)
 
+    def _overlaid(self, base: np.ndarray, sparse: dict[str, Any], ix: int) -> np.ndarray:
+        """``base`` with the elements that a sparse accessor puts in their places."""
+        try:
+            count, places, values = sparse["count"], sparse["indices"], sparse["values"]
+            kind = np.dtype(COMPONENTS[places["componentType"]]).newbyteorder("<")
+        except (KeyError, TypeError) as e:
+            raise GltfError(f"accessor {ix} is not readable") from e
+        at = self._elements(places, count, kind, 1, ix)[:, 0].astype(np.int64)
+        if count and (at.min() < 0 or at.max() >= len(base) or (np.diff(at) <= 0).any()):
+            raise GltfError(f"accessor {ix} has sparse elements without a place")
+        out = base.copy()
+        out[at] = self._elements(values, count, base.dtype, base.shape[1], ix)
+        return out
+
 
 def parse(data: bytes) -> Gltf:
     """A GLB's JSON and binary chunk."""
@@ -293,10 +307,30 @@ def primitives_of(g: Gltf, mesh: int) -> list[Primitive]:
     return out
 
 
-#: Lists whose items other parts of a model refer to by number, and the keys that do so.
+#: Lists whose items other parts of a model refer to by number.
 _LISTS = ("bufferViews", "accessors", "images", "samplers", "textures", "materials", "meshes", "nodes")
 
 
+def references(kind: str, x: dict[str, Any]) -> Iterator[tuple[dict[str, Any], str, str]]:
+    """(holder, key, list): where an item of a list names an item of another one by number."""
+    found: list[tuple[dict[str, Any], str, str]] = []
+    if kind in ("accessors", "images"):
+        sparse = x.get("sparse") or {}
+        found = [(h, "bufferView", "bufferViews") for h in (x, sparse.get("indices") or {}, sparse.get("values") or {})]
+    elif kind == "textures":
+        found = [(x, "sampler", "samplers"), *[(of, "source", "images") for _, of in _sources(x)]]
+    elif kind == "materials":
+        found = [(info, "index", "textures") for info in _texture_infos(x)]
+    elif kind == "meshes":
+        for p in x.get("primitives", []):
+            found += [(named, k, "accessors") for named in (p.get("attributes", {}), *p.get("targets", [])) for k in named]
+            found += [(p, "indices", "accessors"), (p, "material", "materials")]
+    elif kind == "nodes":
+        named = (x.get("extensions") or {}).get(INSTANCING, {}).get("attributes", {})
+        found = [(x, "mesh", "meshes"), *[(named, k, "accessors") for k in named]]
+    return ((holder, key, of) for holder, key, of in found if isinstance(holder.get(key), int))
+
+
 def merged(sources: list[Gltf]) -> bytes:
     """One GLB of several models: buffers one behind another, every reference moved on by what came before, all roots in one scene."""
     doc: dict[str, Any] = {"asset": {"version": "2.0", "generator": "mosaiq"}, "scene": 0, "scenes": [{"nodes": []}]} | {k: [] for k in _LISTS}
@@ -305,35 +339,13 @@ def merged(sources: list[Gltf]) -> bytes:
         body += b"\0" * (-len(body) % 4)
         begin = {k: len(doc[k]) for k in _LISTS}
         own = {k: json.loads(json.dumps(g.items(k))) for k in _LISTS}
-
-        def move(x: dict[str, Any], key: str, kind: str) -> None:
-            if isinstance(x.get(key), int):
-                x[key] += begin[kind]  # noqa: B023
-
         for v in own["bufferViews"]:
             v |= {"buffer": 0, "byteOffset": v.get("byteOffset", 0) + len(body)}
-        for x in (*own["accessors"], *own["images"]):
-            move(x, "bufferView", "bufferViews")
-            for part in ("indices", "values"):
-                move(x.get("sparse", {}).get(part, {}), "bufferView", "bufferViews")
-        for t in own["textures"]:
-            move(t, "sampler", "samplers")
-            for _, of in _sources(t):
-                move(of, "source", "images")
-        for info in (i for m in own["materials"] for i in _texture_infos(m)):
-            move(info, "index", "textures")
-        for p in (p for m in own["meshes"] for p in m.get("primitives", [])):
-            for named in (p.get("attributes", {}), *p.get("targets", [])):
-                for k in named:
-                    move(named, k, "accessors")
-            move(p, "indices", "accessors")
-            move(p, "material", "materials")
+        for kind in _LISTS:
+            for holder, key, of in (r for x in own[kind] for r in list(references(kind, x))):
+                holder[key] += begin[of]
         for n in own["nodes"]:
-            move(n, "mesh", "meshes")
             n |= {"children": [c + begin["nodes"] for c in n["children"]]} if n.get("children") else {}
-            named = (n.get("extensions") or {}).get(INSTANCING, {}).get("attributes", {})
-            for k in named:
-                move(named, k, "accessors")
             # Skins and cameras are no part of what is merged.
             n.pop("skin", None), n.pop("camera", None)
         for k in _LISTS:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mosaiq.functions import transforms
 from mosaiq.functions.boxes import Box
 from mosaiq.plans import instancing
+from mosaiq.sinks import assembly
 from mosaiq.sinks import models as sink
 from mosaiq.sinks import tilesets
 from mosaiq.sources import scenes
@@ -122,7 +123,7 @@ def test_written_models_read_back(spark):
     models = scenes.models(scenes.read_scenes(df))
     found = instancing.detect(models, limit=2)
     contents = models.join(df.select("path", "content"), "path").select("model_id", "content")
-    out = sink.write_models(instancing.to_draw(found).withColumn("file", F.lit("all")), contents, ["file"]).first()
+    out = assembly.write_models(instancing.to_draw(found).withColumn("file", F.lit("all")), contents, ["file"]).first()
     assert (out.n_meshes, out.n_instances) == (2, 3)
     again = scenes.placements(scenes.models(load(spark, {"b.glb": bytes(out.glb)})))
     before = sorted(np.round(r.world, 4).tolist() for r in scenes.placements(models).collect())
