@@ -89,8 +89,8 @@ def run(spark: SparkSession, settings: Settings) -> list[str]:
     if s.enable_hlod:
         drawn, roots = levels.tile_members(models, s.quadtree_max_depth, s.quadtree_max_objects_per_tile)
         put_models(drawn, ["level", "x", "y"], f"{out}/tiles", quadtree.tile_name(F.col("level"), F.col("x"), F.col("y")))
-        for r in roots.toLocalIterator():
-            put("tiles/tileset.json", '{"asset":{"version":"1.1"},"geometricError":1000.0,"root":' + r.json + "}")
+        # Each is written whole by an executor; the root's is the one without a name.
+        save(roots.select(F.coalesce("uri", F.lit("tileset.json")).alias("name"), F.col("json").cast("binary").alias("glb")), f"{out}/tiles")
     return written
 
 

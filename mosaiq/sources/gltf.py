@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 
@@ -92,6 +94,40 @@ def parse(data: bytes) -> Gltf:
     return Gltf(doc, body)
 
 
+def buffer_uris(doc: dict[str, Any]) -> list[str | None]:
+    """Where a document's buffers are; None is the file's own binary chunk."""
+    return [b.get("uri") for b in doc.get("buffers") or []]
+
+
+def inline(uri: str) -> bytes:
+    """The bytes that a ``data:`` URI holds."""
+    head, comma, body = uri.partition(",")
+    try:
+        return base64.b64decode(unquote_to_bytes(body), validate=True) if head.endswith(";base64") else unquote_to_bytes(body)
+    except ValueError as e:
+        raise GltfError("a data URI is not base64") from e
+
+
+def gathered(doc: dict[str, Any], own: bytes, outside: dict[int, bytes]) -> bytes:
+    """A GLB of a document, its own binary chunk and the buffers ``outside`` it by number; views then lie in one buffer."""
+    doc, body, begin = json.loads(json.dumps(doc)), bytearray(), []
+    for i, (uri, b) in enumerate(zip(buffer_uris(doc), doc.get("buffers") or [])):
+        data = own if uri is None else inline(uri) if uri.startswith("data:") else outside.get(i)
+        if data is None:
+            raise GltfError(f"buffer {uri} is missing")
+        if len(data) < b.get("byteLength", 0):
+            raise GltfError(f"buffer {uri or i} is shorter than it says")
+        body += b"\0" * (-len(body) % 4)
+        begin.append(len(body))
+        body += data
+    for v in doc.get("bufferViews") or []:
+        if not 0 <= v.get("buffer", 0) < len(begin):
+            raise GltfError("a view is of no buffer")
+        v |= {"buffer": 0, "byteOffset": v.get("byteOffset", 0) + begin[v.get("buffer", 0)]}
+    doc["buffers"] = [{"byteLength": len(body)}] if body else []
+    return pack({k: v for k, v in doc.items() if k != "buffers" or v}, bytes(body))
+
+
 def pack(doc: dict[str, Any], body: bytes) -> bytes:
     """A GLB of a JSON and a binary chunk, both padded to four bytes."""
     text = json.dumps(doc, separators=(",", ":")).encode()

@@ -11,7 +11,9 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from posixpath import dirname, normpath
 from typing import Any
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ from mosaiq.functions import transforms
 from mosaiq.functions.boxes import Box
 from mosaiq.functions.signatures import EXACT
 from mosaiq.operators.layout import numbered
-from mosaiq.sources.gltf import INSTANCING, Gltf, GltfError, parse, roots_of
+from mosaiq.sources.gltf import INSTANCING, Gltf, GltfError, buffer_uris, gathered, parse, roots_of
 
 _ATTR = "array<struct<name: string, type: string, ctype: int, norm: boolean, hash: string, near_hash: string>>"
 _SCHEMA = f"""path string, length long, file_hash string, error string,
@@ -41,6 +43,49 @@ def find(spark: SparkSession, folder: str, suffixes: str = "*.[gG][lL][bB]") ->
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffixes).load(folder).select("path", "length", "content")
 
 
+def beside(path: str, uri: str) -> str:
+    """The path that a file at ``path`` means by ``uri``."""
+    # Only the part behind the store's name is a path whose dots mean something.
+    store, rest = re.match(r"((?:[a-z][a-z0-9+.-]*:(?://[^/]*)?)?)(.*)", path).groups()
+    return uri if ":" in uri else store + normpath(f"{dirname(rest)}/{uri}")
+
+
+def documents(spark: SparkSession, folder: str, buffers: str = "*.bin") -> DataFrame:
+    """(path, length, content, error) of the ``.gltf`` documents below a folder, each with its buffers as one GLB.
+
+    Buffers are in the document itself or in files below the folder whose names match
+    ``buffers``; they meet the documents that name them in a join, one file as often as it
+    is named. A document without one of its buffers has an error and is left as it is.
+    """
+    docs = find(spark, folder, "*.gltf")
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"]):
+                try:
+                    uris = buffer_uris(json.loads(content))
+                except (ValueError, AttributeError, TypeError):
+                    continue
+                rows += [(path, i, beside(path, unquote(u))) for i, u in enumerate(uris) if u is not None and not u.startswith("data:")]
+            yield pd.DataFrame(rows, columns=["path", "ix", "buffer"]).astype({"ix": "int32"})
+
+    wanted = docs.select("path", "content").mapInPandas(named, "path string, ix int, buffer string")
+    found = wanted.join(find(spark, folder, buffers).select(F.col("path").alias("buffer"), F.col("content").alias("bytes")), "buffer")
+    parts = found.groupBy("path").agg(F.collect_list(F.struct("ix", "bytes")).alias("parts"))
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in some(batches, 1):
+            content, parts, error = bytes(b["content"].iat[0]), b["parts"].iat[0], None
+            try:
+                content = gathered(json.loads(content), b"", {p["ix"]: bytes(p["bytes"]) for p in (parts if parts is not None else [])})
+            except (GltfError, ValueError, AttributeError, TypeError, KeyError) as e:
+                error = f"{type(e).__name__}: {e}"
+            yield pd.DataFrame({"path": [b["path"].iat[0]], "length": [len(content)], "content": [content], "error": [error]})
+
+    return docs.join(parts, "path", "left").select("path", "content", "parts").mapInPandas(gather, "path string, length long, content binary, error string")
+
+
 def referenced(spark: SparkSession, folder: str) -> DataFrame:
     """(path) of models that ``*tileset.json`` files below a folder name, each once, whether they are there or not."""
     tilesets = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*tileset*.json").load(folder).select("path", "content")
@@ -58,8 +103,6 @@ def referenced(spark: SparkSession, folder: str) -> DataFrame:
                     yield from walk(v)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from posixpath import dirname, normpath
-
         for b in batches:
             out = []
             for path, content in zip(b["path"], b["content"]):
@@ -67,9 +110,7 @@ def referenced(spark: SparkSession, folder: str) -> DataFrame:
                     found = list(walk(json.loads(content)))
                 except ValueError:
                     continue
-                # Only the part behind the store's name is a path whose dots mean something.
-                store, rest = re.match(r"((?:[a-z][a-z0-9+.-]*:(?://[^/]*)?)?)(.*)", path).groups()
-                out += [u if ":" in u else store + normpath(f"{dirname(rest)}/{u}") for u in found]
+                out += [beside(path, u) for u in found]
             yield pd.DataFrame({"path": out}, dtype=object)
 
     return tilesets.mapInPandas(run, "path string").distinct()
@@ -77,13 +118,13 @@ def referenced(spark: SparkSession, folder: str) -> DataFrame:
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     """Files below a folder and those its tilesets name, each once; names without a file are left out."""
-    files = find(spark, folder)
+    files = find(spark, folder).withColumn("error", F.lit(None).cast("string")).unionByName(documents(spark, folder))
     named = referenced(spark, folder).join(files.select("path"), "path", "left_anti")
     more = [r.path for r in named.toLocalIterator()]  # only names of files outside the folder
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     there = [p for p in more if (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(h)]
-    return files.unionByName(spark.read.format("binaryFile").load(there).select("path", "length", "content")) if there else files
+    return files.unionByName(spark.read.format("binaryFile").load(there).select("path", "length", "content"), allowMissingColumns=True) if there else files
 
 
 def _attribute(g: Gltf, name: str, ix: int, step: float = 0.0) -> dict[str, Any]:
@@ -171,6 +212,7 @@ def some(batches: Iterator[pd.DataFrame], rows: int = 4) -> Iterator[pd.DataFram
 def read_scenes(files: DataFrame, normal_tolerance: float = 0.0) -> DataFrame:
     """One row per file: path, length, file_hash, error, nodes, primitives, extensions, n_meshes. An unreadable file has an error and nulls.
 
+    ``files`` may say by ``error`` that a file is unreadable already.
     With a tolerance normals are also hashed in steps of it, for signatures with a tolerance.
     """
     names = ["path", "length", "file_hash", "error", "nodes", "primitives", "extensions", "n_meshes"]
@@ -178,16 +220,17 @@ def read_scenes(files: DataFrame, normal_tolerance: float = 0.0) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in some(batches):
             rows = []
-            for path, length, content in zip(b["path"], b["length"], b["content"]):
-                row = dict.fromkeys(names) | {"path": path, "length": length, "file_hash": hashlib.sha256(content).hexdigest()}
+            for path, length, content, error in zip(b["path"], b["length"], b["content"], b["error"]):
+                row = dict.fromkeys(names) | {"path": path, "length": length, "file_hash": hashlib.sha256(content).hexdigest(), "error": error}
                 try:
-                    row |= describe(bytes(content), normal_tolerance)
+                    row |= {} if error else describe(bytes(content), normal_tolerance)
                 except (GltfError, KeyError, IndexError, TypeError, ValueError) as e:
                     row["error"] = f"{type(e).__name__}: {e}"
                 rows.append(row)
             yield pd.DataFrame(rows, columns=names).astype({"n_meshes": "Int32"})
 
-    return files.mapInPandas(run, T._parse_datatype_string(_SCHEMA))
+    error = "error" if "error" in files.columns else F.lit(None).cast("string").alias("error")
+    return files.select("path", "length", "content", error).mapInPandas(run, T._parse_datatype_string(_SCHEMA))
 
 
 def models(scenes: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 import json
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from mosaiq.plans import levels
+from mosaiq.sinks import assembly, tilesets
 from mosaiq.sources import scenes
 from mosaiq.sources.gltf import Node, Primitive, Writer, pack, parse, primitives_of
 from tests.test_small import grid
@@ -54,5 +56,52 @@ def test_tiles_hold_every_placement(spark):
     assert per[1] == 9
     sizes = {r.level: len(primitives_of(parse(bytes(r.glb)), 0)[0].indices) for r in by.values()}
     assert sizes[0] < sizes[max(sizes)]
-    root = json.loads(roots.first().json)
+    root = json.loads(roots.first().json)["root"]
     assert root["content"]["uri"] == "T0_0_0.glb" and root["children"]
+
+
+def test_hierarchies_are_cut_at_a_bound(spark):
+    depth, most = 6, 6000
+    tiles = spark.range(1).selectExpr(f"explode(sequence(0, {depth})) AS level").selectExpr("level", "explode(sequence(0, CAST(pow(4, level) AS INT) - 1)) AS k")
+    name = "concat('T', level, '_', k, '.glb')"
+    tiles = tiles.selectExpr("level", f"{name} AS tile", f"IF(level > 0, concat('T', level - 1, '_', k div 4, '.glb'), NULL) AS parent", "1.0D AS error", "array(0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D) AS box", f"{name} AS uri")
+    rows = tilesets.from_tree(tiles, most).collect()
+    files = {r.uri: json.loads(r.json)["root"] for r in rows}
+    assert len(files) == len(rows) > 50 and max(len(r.json) for r in rows) <= most
+    seen, used = [], set()
+
+    def walk(t, error):
+        assert t["geometricError"] < error
+        uri = t["content"]["uri"]
+        if uri.endswith(".json"):
+            used.add(uri)
+            assert files[uri]["geometricError"] == t["geometricError"] and "children" not in t
+            return walk(files[uri], error)
+        seen.append(uri)
+        for k in t.get("children", []):
+            walk(k, t["geometricError"])
+
+    walk(files[None], 1e9)
+    assert len(seen) == len(set(seen)) == tiles.count() and used == set(files) - {None}
+    assert tilesets.from_tree(tiles).count() == 1 and tilesets.from_tree(tiles.limit(0)).count() == 0
+
+
+def test_large_models_are_streams(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(assembly, "CHUNK", 50)
+    f = files(spark, a=model(n=6, places=3), b=model(n=6, places=700))
+    models = scenes.models(scenes.read_scenes(f))
+    contents = models.select("path", "model_id").join(f.select("path", "content"), "path").select("model_id", "content")
+    placed = scenes.placements(models).select(F.concat_ws("_", "model_id", "mesh_ix").alias("mesh_key"), "model_id", "mesh_ix", (F.col("model_id") == 1).alias("instanced"), "trav_ord", "world", F.lit("all/one").alias("group"))
+    (saved,) = assembly.save_models(placed, contents, ["group"], f"file://{tmp_path}", F.lit("one.glb")).collect()
+    (value,) = assembly.write_models(placed, contents, ["group"]).collect()
+    data = (tmp_path / "one.glb").read_bytes()
+    assert data == bytes(value.glb) and (saved.size, saved.n_meshes, saved.n_instances) == (len(data), 2, 703) and value.group == "all/one"
+    g = parse(data)
+    assert len(g.items("nodes")) == 4 and g.json["extensionsRequired"] == ["EXT_mesh_gpu_instancing"] and len(g.items("meshes")) == 2
+    # Both meshes are equal, so their arrays are there once; instances have three of their own.
+    assert len(g.items("accessors")) == 6 and len(data) == len(pack(g.json, g.bin)) == int.from_bytes(data[8:12], "little")
+    (many,) = [n for n in g.items("nodes") if "extensions" in n]
+    at = scenes._instances(g, many)
+    assert [x["t"][0] for x in at] == [40.0 * i for i in range(700)]
+    t = g.items("accessors")[many["extensions"]["EXT_mesh_gpu_instancing"]["attributes"]["TRANSLATION"]]
+    assert t["min"] == [0.0, 0.0, 0.0] and t["max"] == [40.0 * 699, 0.0, 40.0]

@@ -106,3 +106,75 @@ def test_normals_count_in_steps_of_their_tolerance(spark, step):
     models = scenes.models(scenes.read_scenes(files(spark, a=w.finish()), step)).persist()
     assert instancing.detect(models, tolerance=0.01).members.count() == (2 if step else 0)
     assert instancing.detect(models).members.count() == 0
+
+
+def test_documents_with_buffers_outside(spark, tmp_path):
+    import base64
+    import json
+
+    g = parse(textured("red"))
+    half = 36
+    doc = json.loads(json.dumps(g.json))
+    views = doc["bufferViews"]
+    assert [v["byteOffset"] for v in views] == [0, 36]
+    views[1] |= {"buffer": 1, "byteOffset": 0}
+
+    def put(name, first, second):
+        doc["buffers"] = [{"uri": first, "byteLength": half}, {"uri": second, "byteLength": len(g.bin) - half}]
+        (tmp_path / name).write_text(json.dumps(doc))
+
+    inline = lambda b: "data:application/octet-stream;base64," + base64.b64encode(b).decode()
+    (tmp_path / "parts").mkdir()
+    (tmp_path / "parts" / "a b.bin").write_bytes(g.bin[:half])
+    (tmp_path / "rest.bin").write_bytes(g.bin[half:])
+    put("outside.gltf", "parts/a%20b.bin", "rest.bin")
+    put("parts/inside.gltf", inline(g.bin[:half]), inline(g.bin[half:]))
+    put("parts/mixed.gltf", "./a%20b.bin", inline(g.bin[half:]))
+    put("missing.gltf", "parts/a%20b.bin", "gone.bin")
+    put("short.gltf", "rest.bin", "rest.bin")
+    (tmp_path / "bad.gltf").write_text("[1")
+    (tmp_path / "same.glb").write_bytes(textured("red"))
+    rows = {r.path.rsplit("/", 1)[1]: r for r in scenes.read_scenes(scenes.discover(spark, str(tmp_path))).collect()}
+    assert set(rows) == {"outside.gltf", "inside.gltf", "mixed.gltf", "missing.gltf", "short.gltf", "bad.gltf", "same.glb"}
+    assert {k for k, r in rows.items() if r.error} == {"missing.gltf", "short.gltf", "bad.gltf"} and "gone.bin is missing" in rows["missing.gltf"].error
+    assert all(rows[k].primitives == rows["same.glb"].primitives for k in ("outside.gltf", "inside.gltf", "mixed.gltf"))
+    again = {r.path.rsplit("/", 1)[1]: r for r in scenes.documents(spark, str(tmp_path)).collect()}
+    assert images_of(parse(bytes(again["outside.gltf"].content)), 0) == images_of(g, 0)
+
+
+def sparse(values, places=(1, 3), base=True):
+    """A model of one mesh whose positions are a base, or zeros, with other values in some places."""
+    w = Writer()
+    w.mesh([Primitive({"POSITION": np.arange(15, dtype=np.float32).reshape(5, 3)})])
+    w.node(Node(0))
+    g = parse(w.finish())
+    at, new = np.array(places, np.uint16).tobytes(), np.array(values, np.float32).tobytes()
+    body = g.bin + new + at
+    a = g.json["accessors"][0]
+    for k in ("min", "max") if base else ("min", "max", "bufferView"):
+        a.pop(k)
+    views = g.json["bufferViews"]
+    views += [{"buffer": 0, "byteOffset": len(g.bin), "byteLength": len(new)}, {"buffer": 0, "byteOffset": len(g.bin) + len(new), "byteLength": len(at)}]
+    a["sparse"] = {"count": len(places), "indices": {"bufferView": 2 if len(views) > 2 else 1, "componentType": 5123}, "values": {"bufferView": 1}}
+    g.json["buffers"] = [{"byteLength": len(body)}]
+    return pack(g.json, body)
+
+
+@pytest.mark.parametrize("base", [True, False])
+def test_sparse_and_dense_meshes_are_the_same(spark, base):
+    values = [[50.0, -7.0, 2.0], [9.0, 9.0, 90.0]]
+    dense = np.arange(15, dtype=np.float32).reshape(5, 3) if base else np.zeros((5, 3), np.float32)
+    dense[[1, 3]] = values
+    w = Writer()
+    w.mesh([Primitive({"POSITION": dense})])
+    w.node(Node(0))
+    f = files(spark, a=w.finish(), b=sparse(values, base=base), c=sparse(values, (3, 1), base), d=sparse(values, (1, 5), base))
+    read = {r.path: r for r in scenes.read_scenes(f).collect()}
+    assert read["b"].error is None and "without a place" in read["c"].error and "without a place" in read["d"].error
+    models = scenes.models(scenes.read_scenes(f)).persist()
+    found = instancing.detect(models)
+    assert [r.n for r in found.groups.collect()] == [2]
+    boxes = [tuple(r)[2:] for r in scenes.mesh_boxes(scenes.primitives(models)).collect()]
+    assert boxes[0] == boxes[1] == (*map(float, dense.min(axis=0)), *map(float, dense.max(axis=0)))
+    out = parse(merged([parse(w.finish()), parse(sparse(values, base=base))]))
+    assert (out.accessor(0) == out.accessor(1)).all()
