@@ -1,18 +1,20 @@
 """Groups of equal or similar things, their representatives, and the rule of the least count.
 
 The representative is the first in an order given by columns. It is found by an aggregate
-that is summed before the shuffle (``min_by``), and brought back to the rows by a join,
-which Spark can split where one key has most rows; windows are used only where a row's
-rank itself is wanted.
+that is summed before the shuffle (``min_by``), and brought back to the rows by a join.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.operators.layout import running_within
+from mosaiq.operators.skew import looked_up
+
 
 def representatives(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """Per key ``rep_<value>`` of the first row in order, and the number of rows ``n``."""
@@ -38,9 +40,13 @@ def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFra
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Every row with its place ``member_ix`` in its group, from 1, and the group's size ``group_size``."""
-    w = Window.partitionBy(*keys)
-    return df.withColumns({"member_ix": F.row_number().over(w.orderBy(*order)), "group_size": F.count(F.lit(1)).over(w)})
+    """Every row with its place ``member_ix`` in its group, from 1, and the group's size ``group_size``.
+
+    Rows are dealt by ranges of keys and order, so a group may be many tasks.
+    """
+    placed = running_within(df, keys, order, F.lit(1).cast("long"), "member_ix")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"))
+    return looked_up(placed, sizes, keys, "group_size").withColumn("member_ix", (F.col("member_ix") + 1).cast("int"))
 
 
 def with_representative(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -72,8 +78,10 @@ def split_groups(df: DataFrame, keys: list[str], order: list[str], values: list[
 def duplicates(df: DataFrame, identity: Column, id_: str) -> DataFrame:
     """Every row with ``rep_id``, the least id of the same identity; a null or empty identity equals no other."""
     df = df.withColumn("__identity", identity)
-    first = df.filter("__identity IS NOT NULL AND CAST(__identity AS STRING) <> ''").groupBy("__identity").agg(F.min(id_).alias("__first"))
-    return df.join(first, "__identity", "left").withColumn("rep_id", F.coalesce("__first", id_)).drop("__identity", "__first")
+    named = F.coalesce(F.col("__identity").cast("string") != "", F.lit(False))
+    first = df.filter(named).groupBy("__identity").agg(F.min(id_).alias("rep_id"), F.count(F.lit(1)).alias("__n"))
+    same = looked_up(df.filter(named), first, ["__identity"], "__n", keep_size=False)
+    return same.unionByName(df.filter(~named).withColumn("rep_id", F.col(id_))).drop("__identity")
 
 
 def remapped(df: DataFrame, id_: str, map_: DataFrame) -> DataFrame:
@@ -84,17 +92,22 @@ def remapped(df: DataFrame, id_: str, map_: DataFrame) -> DataFrame:
 def similar_pairs(df: DataFrame, keys: list[str], values: list[str], tolerance: float, id_: str) -> DataFrame:
     """(id_a, id_b) of rows of one key whose values all differ by ``tolerance`` at most.
 
-    Rows are dealt into bins as wide as the tolerance over the first two values. A row goes
-    to the bins next to its own, so that near rows share one, and no bin pairs more rows
+    Rows are dealt into cells as wide as the tolerance over up to three values. A row meets
+    those of its own cell and of one half of the cells around it, 13 for three values; the
+    other half meets it from there. So each pair meets once, and no cell pairs more rows
     than lie near each other.
     """
-    cells = [F.floor(F.col(v).cast("double") / tolerance) for v in values[:2]]
-    left = df.select(*keys, F.col(id_).alias("id_a"), *[F.col(v).alias(f"a_{v}") for v in values], *[c.alias(f"c{i}") for i, c in enumerate(cells)])
-    right = df.select(*keys, F.col(id_).alias("id_b"), *[F.col(v).alias(f"b_{v}") for v in values], *[c.alias(f"d{i}") for i, c in enumerate(cells)])
-    for i in range(len(cells)):
-        right = right.withColumn(f"c{i}", F.explode(F.array(F.col(f"d{i}") - 1, F.col(f"d{i}"), F.col(f"d{i}") + 1)))
+    width = tolerance * (1 + 1e-9) or 1.0  # values just one tolerance apart are never two cells apart
+    by = values[:3]
+    cells = [F.floor(F.col(v).cast("double") / width) for v in by]
+    left = df.select(*keys, F.col(id_).alias("a"), *[F.col(v).alias(f"a_{v}") for v in values], *[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    right = df.select(*keys, F.col(id_).alias("b"), *[F.col(v).alias(f"b_{v}") for v in values], *[c.alias(f"d{i}") for i, c in enumerate(cells)])
+    steps = [s for s in product((0, 1, -1), repeat=len(by)) if s >= (0,) * len(by)]
+    around = F.array(*[F.struct(F.lit(any(s)).alias("other"), *[(F.col(f"d{i}") + n).alias(f"c{i}") for i, n in enumerate(s)]) for s in steps])
+    right = right.withColumn("x", F.explode(around)).select("*", "x.*").drop("x", *[f"d{i}" for i in range(len(by))])
     near = reduce(Column.__and__, [F.abs(F.col(f"a_{v}").cast("double") - F.col(f"b_{v}").cast("double")) <= tolerance for v in values])
-    return left.join(right, [*keys, *[f"c{i}" for i in range(len(cells))]]).filter((F.col("id_a") < F.col("id_b")) & near).select(*keys, "id_a", "id_b")
+    met = left.join(right, [*keys, *[f"c{i}" for i in range(len(by))]]).filter(((F.col("a") < F.col("b")) | (F.col("other") & (F.col("a") != F.col("b")))) & near)
+    return met.select(*keys, F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
 def extremes(df: DataFrame, keys: list[str], value: Column | str, order: list[str | Column], name: str, greatest: bool = False) -> DataFrame:

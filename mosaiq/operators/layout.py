@@ -6,11 +6,10 @@ are added up, and every range then counts from its own start.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaiq.operators.skew import looked_up
 from mosaiq.operators.steps import written
 
 
@@ -32,9 +31,8 @@ def running_within(df: DataFrame, keys: list[str], order: list[str], value: Colu
     what lies before a group is a row for each of them.
     """
     whole = written(running(df, [*keys, *order], value, name), "running")
-    first = written(whole.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.min(name).alias("__first")), "firsts")
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
-    return whole.join(first, same).withColumn(name, F.col(name) - F.col("__first")).drop("__first", *[f"__k_{k}" for k in keys])
+    first = whole.groupBy(*keys).agg(F.min(name).alias("__begin"), F.count(F.lit(1)).alias("__rows"))
+    return looked_up(whole, first, keys, "__rows").withColumn(name, F.col(name) - F.col("__begin")).drop("__begin", "__rows")
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:

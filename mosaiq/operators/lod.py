@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions.boxes import Box
+from mosaiq.operators.layout import running_within
+from mosaiq.operators.skew import looked_up
 
 SIZE_TOLERANCE, ASPECT_TOLERANCE = 0.05, 0.20
 
@@ -42,8 +44,8 @@ def abstract(df: DataFrame, category: Column, size: str, id_: str) -> DataFrame:
 
 def nearest_to_mean(df: DataFrame, by: list[str], value: str, id_: str) -> DataFrame:
     """Per group the row whose value is nearest to the group's mean, of equals the least id."""
-    mean = df.groupBy(*by).agg(F.avg(value).alias("__mean"))
-    return df.join(mean, by).groupBy(*by).agg(F.min_by(id_, F.struct(F.round(F.abs(F.col(value) - F.col("__mean")), 9), F.col(id_))).alias("rep"))
+    mean = df.groupBy(*by).agg(F.avg(value).alias("__mean"), F.count(F.lit(1)).alias("__n"))
+    return looked_up(df, mean, by, "__n").groupBy(*by).agg(F.min_by(id_, F.struct(F.round(F.abs(F.col(value) - F.col("__mean")), 9), F.col(id_))).alias("rep"))
 
 
 def least_of(df: DataFrame, by: list[str], value: str, id_: str) -> DataFrame:
@@ -89,9 +91,9 @@ def box_error(a: Box, b: Box) -> Column:
 def weld(vertices: DataFrame, by: list[str], order: str) -> DataFrame:
     """(by, order, new_ix): vertices of one position become one, numbered by first use within each mesh.
 
-    A mesh's own vertices are ranked together, which its size bounds.
+    Positions, not vertices, are numbered; a mesh or a position with most of the vertices
+    isn't one task.
     """
-    from pyspark.sql import Window
-
-    first = vertices.withColumn("__first", F.min(order).over(Window.partitionBy(*by, "x", "y", "z")))
-    return first.withColumn("new_ix", F.dense_rank().over(Window.partitionBy(*by).orderBy("__first")) - 1).drop("__first")
+    places = vertices.groupBy(*by, "x", "y", "z").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    numbered = running_within(places, by, ["__first"], F.lit(1).cast("long"), "new_ix").drop("__first")
+    return looked_up(vertices, numbered, [*by, "x", "y", "z"], "__n", keep_size=False).withColumn("new_ix", F.col("new_ix").cast("int"))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaiq import config
-from mosaiq.operators import grouping, layout, reports, simplify, trees
+from mosaiq.operators import grouping, layout, lod, reports, simplify, trees
 from mosaiq.sinks import reports as report_sink
 from mosaiq.sources import lists, semantics
 
@@ -62,6 +62,52 @@ def test_pruned_keeps_ancestors(spark):
     assert {r.node for r in trees.pruned(nodes, full).collect()} == {"a", "b", "c"}
 
 
+def test_hot_keys_are_many_tasks(spark):
+    n = 8000
+    keyed = spark.range(n).selectExpr("id", "IF(id % 10 < 9, 'hot', concat('k', id % 97)) AS k", "CAST(id % 31 AS DOUBLE) AS v", "CAST(IF(id % 10 < 9, 1, id % 7) AS DOUBLE) AS x", "1D AS y", "1D AS z").repartition(8)
+    # So that small tables aren't put together into few tasks.
+    ours = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "4k"}
+    before = {k: spark.conf.get(k) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    try:
+        plain = {}
+        for r in keyed.orderBy("id").collect():
+            plain.setdefault(r.k, []).append(r)
+        results = {
+            "ranked": grouping.ranked(keyed, ["k"], ["id"]),
+            "duplicates": grouping.duplicates(keyed, F.col("k"), "id"),
+            "weld": lod.weld(keyed, ["k"], "id"),
+        }
+        rows = {name: {r.id: r for r in df.collect()} for name, df in results.items()}
+        for k, own in plain.items():
+            first = {}
+            for i, r in enumerate(own):
+                got = rows["ranked"][r.id]
+                assert (got.member_ix, got.group_size) == (i + 1, len(own)) and rows["duplicates"][r.id].rep_id == own[0].id
+                assert rows["weld"][r.id].new_ix == first.setdefault(r.x, len(first))
+        for name, df in results.items():
+            per = sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+            assert sum(per) == n and per[-1] <= n / 4, name
+        best = {r.k: r.rep for r in lod.nearest_to_mean(keyed, ["k"], "v", "id").collect()}
+        for k, own in plain.items():
+            mean = sum(r.v for r in own) / len(own)
+            assert best[k] == min((round(abs(r.v - mean), 9), r.id) for r in own)[1]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_pairs_meet_once(spark):
+    rng = np.random.default_rng(5)
+    p = np.round(rng.integers(0, 12, (150, 4)) * 0.1, 1)
+    df = spark.createDataFrame([(i, 0, *map(float, x)) for i, x in enumerate(p)], "id int, k int, x double, y double, z double, w double")
+    for names in (["x"], ["x", "y"], ["x", "y", "z", "w"]):
+        at = p[:, : len(names)]
+        got = [(r.id_a, r.id_b) for r in grouping.similar_pairs(df, ["k"], names, 0.2, "id").collect()]
+        assert sorted(got) == [(i, j) for i in range(150) for j in range(i + 1, 150) if all(abs(a - b) <= 0.2 for a, b in zip(at[i].tolist(), at[j].tolist()))]
+
+
 def test_deep_trees_and_cycles(spark):
     n = 10_000
     deep = spark.range(n).selectExpr("concat('n', id) AS node", "IF(id = 0, NULL, concat('n', id - 1)) AS parent", "CAST(id AS DOUBLE) AS v")
