@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mosaiq.functions.boxes import Box
 from mosaiq.functions.signatures import EXACT, mesh_signatures, primitive_signatures
 from mosaiq.operators import grouping, reports
+from mosaiq.operators.steps import written
 from mosaiq.sources import scenes
 
 
@@ -46,7 +47,7 @@ def detect(models: DataFrame, tolerance: float = 0.0, limit: int = 2, skip: tupl
             lambda ok: F.coalesce(ok, F.lit(False)),
         )
         judged = judged.withColumn("accepted", F.col("is_ext") | near)
-    judged = judged.drop("boxes", "rep_boxes", "n").persist()
+    judged = written(judged.drop("boxes", "rep_boxes", "n"), "judged")
     sizes = judged.filter("accepted").groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(F.col("rep_model_id").alias("model_id"), F.col("rep_mesh_ix").alias("mesh_ix")), F.struct(*order)).alias("rep"))
     groups = grouping.having(sizes, limit).select("signature", "rep.*", "n")
     kept = judged.filter("accepted").join(groups.select("signature"), "signature", "left_semi")
@@ -76,7 +77,7 @@ def report(models: DataFrame, found: Instancing) -> DataFrame:
 
 
 def to_draw(found: Instancing) -> DataFrame:
-    """Rows for ``sinks.models.write_models``: groups drawn once with instances, all else as it is."""
+    """Rows for ``sinks.assembly``: groups drawn once with instances, all else as it is."""
     groups = found.members.select("signature", "trav_ord", "world").join(found.groups.select("signature", "model_id", "mesh_ix"), "signature")
     a = groups.select(F.col("signature").alias("mesh_key"), "model_id", "mesh_ix", F.lit(True).alias("instanced"), "trav_ord", "world")
     b = found.left.select(F.concat_ws("_", "model_id", "mesh_ix", F.array_join(F.transform("trav_ord", lambda x: x.cast("string")), ".")).alias("mesh_key"), "model_id", "mesh_ix", F.lit(False).alias("instanced"), "trav_ord", "world")

@@ -107,7 +107,7 @@ def instanced_levels(levels: DataFrame, count: int, tolerance: float = 0.0, limi
     out = []
     for level in range(1, count + 1):
         files = levels.filter(F.col("level") == level).select("path", F.col("size").alias("length"), F.col("glb").alias("content"))
-        models = scenes.models(scenes.read_scenes(files, normal_tolerance)).persist()
+        models = written(scenes.models(scenes.read_scenes(files, normal_tolerance)), "models")
         found = instancing.detect(models, tolerance, limit, skip)
         drawn = instancing.to_draw(found).withColumn("part", F.when(F.col("instanced"), "instanced").otherwise("non_instanced"))
         glbs = write_models(drawn, files.join(models.select("path", "model_id"), "path"), ["part"])

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.config import Settings, log
 from mosaiq.functions.boxes import Box, tileset_error
 from mosaiq.operators import quadtree, reconcile
-from mosaiq.plans import instancing, levels
+from mosaiq.operators.steps import written as stored
+from mosaiq.plans import instancing, levels, semantic_levels
 from mosaiq.sinks import assembly
 from mosaiq.sinks import models as sink
 from mosaiq.sinks import reports, tilesets
-from mosaiq.sources import lists, scenes
+from mosaiq.sources import lists, scenes, semantics
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
@@ -36,13 +39,15 @@ def _flat(placed: DataFrame, models: DataFrame, uri: str) -> str | None:
 def run(spark: SparkSession, settings: Settings) -> list[str]:
     """All that the settings ask for; the names of what was written below ``output_directory``."""
     s, out, written = settings, settings.output_directory.rstrip("/"), []
-    files = scenes.discover(spark, s.input_directory).persist()
-    read = scenes.read_scenes(files, s.normal_tolerance).persist()
+    # Files are read and parsed once; every later step reads the tables of what they hold.
+    files = scenes.discover(spark, s.input_directory)
+    read = stored(scenes.read_scenes(files, s.normal_tolerance), "scenes")
     for r in read.filter("error IS NOT NULL").select("path", "error").toLocalIterator():
         log.error("%s: %s", r.path, r.error)
-    models = scenes.models(read).persist()
+    models = stored(scenes.models(read), "models")
     contents = models.select("path", "model_id").join(files.select("path", "content"), "path")
     found = instancing.detect(models, s.tolerance, s.instance_limit, s.skip_attribute_data_hash)
+    found = instancing.Instancing(stored(found.groups, "groups"), stored(found.members, "members"), stored(found.left, "left"))
 
     def listed(names: list[str], folder: str) -> list[str]:
         written.extend(f"{folder.removeprefix(out + '/')}/{n}" if folder != out else n for n in names)
@@ -51,8 +56,10 @@ def run(spark: SparkSession, settings: Settings) -> list[str]:
     def save(df: DataFrame, folder: str, name: str = "name") -> list[str]:
         return listed([r.name for r in sink.save(df, folder, name).collect()], folder)  # names of files
 
-    def put_models(drawn: DataFrame, by: list[str], folder: str, name: Column) -> list[str]:
-        return listed([r.name for r in assembly.save_models(drawn, contents, by, folder, name).select("name").collect()], folder)
+    def put_models(drawn: DataFrame, folder: str, name: Column, of: DataFrame | None = None) -> DataFrame:
+        saved = stored(assembly.save_models(drawn, contents if of is None else of, folder, name), "saved")
+        listed([r.name for r in saved.select("name").toLocalIterator()], folder)
+        return saved
 
     def put(name: str, text: str | None) -> None:
         if text is not None:
@@ -60,7 +67,7 @@ def run(spark: SparkSession, settings: Settings) -> list[str]:
             written.append(name)
 
     drawn = instancing.to_draw(found).withColumn("name", F.when(F.col("instanced"), "instanced.glb").otherwise("non_instanced.glb"))
-    names = put_models(drawn, ["name"], out, F.col("name"))
+    names = {r.name for r in put_models(drawn, out, F.col("name")).select("name").collect()}  # two at most
     for name, placed in (("instanced", found.members), ("non_instanced", found.left)):
         if f"{name}.glb" in names:
             put(f"tileset_{name}.json", _flat(placed, models, f"{name}.glb"))
@@ -76,7 +83,7 @@ def run(spark: SparkSession, settings: Settings) -> list[str]:
     if s.mesh_segmentation:
         stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("stem")
         named = prims.groupBy("model_id", "mesh_ix").agg(F.min("mesh_name").alias("mesh_name")).join(models.select("model_id", stem), "model_id")
-        put_models(sink.segments(scenes.placements(models), named), ["file_name"], f"{out}/segments", F.col("file_name"))
+        put_models(sink.segments(scenes.placements(models), named), f"{out}/segments", F.col("file_name"))
     if s.csv_directory:
         left = found.left.join(prims.select("model_id", "mesh_ix", F.col("mesh_name").alias("name")).distinct(), ["model_id", "mesh_ix"]).filter("name IS NOT NULL")
         ids = lists.read_id_lists(spark, s.csv_directory)
@@ -84,11 +91,24 @@ def run(spark: SparkSession, settings: Settings) -> list[str]:
             rows = reconcile.reconcile(ids.filter(F.col("list") == r.list), left)
             reports.csv(rows.orderBy("part", "name", "component_id").drop("part"), f"{out}/{r.list}_processed.csv", quote=True)
             written.append(f"{r.list}_processed.csv")
+    if s.enable_lod_generation:
+        folder = f"{out}/instancing_lod_output"
+        what = semantics.read_semantics(spark, s.semantic_data_path) if s.semantic_data_path else spark.createDataFrame([], "actor_hash string, category string, family string, type string")
+        of_level = semantic_levels.build(found, models, what, s.lod4_size_tolerance, s.lod3_aspect_ratio_tolerance)
+        drawn = reduce(DataFrame.unionByName, [semantic_levels.to_draw(x) for x in of_level])
+        saved = put_models(drawn, folder, F.col("name"), semantic_levels.with_cube(spark, contents))
+        reports.csv(semantic_levels.analysis(of_level, saved, files, models), f"{folder}/lod_analysis.csv")
+        written.append("instancing_lod_output/lod_analysis.csv")
+        there = {r.name for r in saved.select("name").collect()}  # one per level
+        chain = [(f"LOD{x.level}.glb", x.error) for x in reversed(of_level) if f"LOD{x.level}.glb" in there]
+        put("instancing_lod_output/tileset.json", tilesets.chain(chain))
     if s.enable_lod_generation or s.enable_non_instanced_lod_generation:
         put_levels(spark, settings, files, save, put)
     if s.enable_hlod:
         drawn, roots = levels.tile_members(models, s.quadtree_max_depth, s.quadtree_max_objects_per_tile)
-        put_models(drawn, ["level", "x", "y"], f"{out}/tiles", quadtree.tile_name(F.col("level"), F.col("x"), F.col("y")))
+        tiles = put_models(drawn, f"{out}/tiles", quadtree.tile_name(F.col("level"), F.col("x"), F.col("y")))
+        reports.csv(semantic_levels.tile_analysis(tiles), f"{out}/hlod_analysis.csv")
+        written.append("hlod_analysis.csv")
         # Each is written whole by an executor; the root's is the one without a name.
         save(roots.select(F.coalesce("uri", F.lit("tileset.json")).alias("name"), F.col("json").cast("binary").alias("glb")), f"{out}/tiles")
     return written
@@ -97,7 +117,8 @@ def run(spark: SparkSession, settings: Settings) -> list[str]:
 def put_levels(spark: SparkSession, s: Settings, files: DataFrame, save, put) -> None:
     """Models of every level, a tileset of levels for each file, and instancing detected anew in each level."""
     out, count = f"{s.output_directory.rstrip('/')}/levels", s.non_instanced_lod_level_count
-    made = levels.level_models(files, count, s.non_instanced_lod_ratio, s.non_instanced_min_simplify_index_count).persist()
+    made = levels.level_models(files, count, s.non_instanced_lod_ratio, s.non_instanced_min_simplify_index_count)
+    made = stored(made, "levels")
     stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
     named = made.withColumn("name", F.concat(stem, F.lit("_"), F.substring(F.sha2("path", 256), 1, 8), F.lit("_lod"), F.col("level").cast("string"), F.lit(".glb")))
     save(named, out)

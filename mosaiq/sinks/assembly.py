@@ -72,11 +72,11 @@ def items_of(g: Gltf, salt: str) -> list[dict[str, Any]]:
 
 
 def _geometry(members: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
-    """Items (by, mesh_key, name, ...) of every mesh that an output draws; a file is parsed once for all of them."""
+    """Items (by, mesh_key, mesh_name_, ...) of every mesh that an output draws; a file is parsed once for all of them."""
     meshes = members.select(*by, "mesh_key", "model_id", "mesh_ix", "ratio").distinct()
     wanted = meshes.groupBy("model_id").agg(F.collect_list(F.struct(*[F.col(k).alias(f"by{i}_") for i, k in enumerate(by)], "mesh_key", "mesh_ix", "ratio")).alias("wanted"))
     drawn = wanted.join(files.select("model_id", "content"), "model_id").select("content", "wanted")
-    names = [*by, "mesh_key", "name", "kind", "digest", "pieces", "refs", "extensions", "data"]
+    names = [*by, "mesh_key", "mesh_name_", "triangles", "kind", "digest", "pieces", "refs", "extensions", "data"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in some(batches, 1):
@@ -85,13 +85,15 @@ def _geometry(members: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
                 mesh, name = (r["mesh_ix"], r["ratio"]), g.items("meshes")[r["mesh_ix"]].get("name")
                 if mesh not in made:
                     w = Writer()
-                    w.mesh([simplified(p, r["ratio"]) for p in primitives_of(g, r["mesh_ix"])], name)
-                    made = {mesh: parse(w.finish())}  # one mesh at a time
-                rows = [[*[r[f"by{i}_"] for i in range(len(by))], str(r["mesh_key"]), name, *x.values()] for x in items_of(made[mesh], str(r["mesh_key"]))]
+                    own = [simplified(p, r["ratio"]) for p in primitives_of(g, r["mesh_ix"])]
+                    w.mesh(own, name)
+                    made = {mesh: (parse(w.finish()), sum(len(p.attributes.get("POSITION", ()) if p.indices is None else p.indices) // 3 for p in own))}  # one mesh at a time
+                model, triangles = made[mesh]
+                rows = [[*[r[f"by{i}_"] for i in range(len(by))], str(r["mesh_key"]), name, triangles, *x.values()] for x in items_of(model, str(r["mesh_key"]))]
                 yield pd.DataFrame(rows, columns=names)
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in members.select(*by).dtypes)
-    return drawn.mapInPandas(run, f"{kinds}, mesh_key string, name string, {_ITEM}")
+    return drawn.mapInPandas(run, f"{kinds}, mesh_key string, mesh_name_ string, triangles long, {_ITEM}")
 
 
 def _node(name: str | None, t: Any = (), r: Any = (), s: Any = ()) -> dict[str, Any]:
@@ -104,17 +106,17 @@ def _node(name: str | None, t: Any = (), r: Any = (), s: Any = ()) -> dict[str,
 
 
 def _plain_nodes(placed: DataFrame, by: list[str]) -> DataFrame:
-    """(by, first, mesh_key, rank, pieces, refs): a node for each placement (by, mesh_key, digest, name, first, rank, world)."""
+    """(by, first, mesh_key, rank, pieces, refs): a node for each placement (by, mesh_key, digest, mesh_name_, first, rank, world)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 trs = decompose_arrays(np.array(b["world"].tolist(), float))
-                made = [gapped(d := _node(n, *x), [(d, "mesh", f"meshes:{m}")]) for n, m, *x in zip(b["name"], b["digest"], *trs)]
+                made = [gapped(d := _node(n, *x), [(d, "mesh", f"meshes:{m}")]) for n, m, *x in zip(b["mesh_name_"], b["digest"], *trs)]
                 yield b[[*by, "first", "mesh_key", "rank"]].assign(pieces=[p for p, _ in made], refs=[r for _, r in made])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in placed.select(*by).dtypes)
-    return placed.select(*by, "first", "mesh_key", "rank", "name", "digest", "world").mapInPandas(run, f"{kinds}, first array<int>, mesh_key string, rank long, pieces array<string>, refs array<string>")
+    return placed.select(*by, "first", "mesh_key", "rank", "mesh_name_", "digest", "world").mapInPandas(run, f"{kinds}, first array<int>, mesh_key string, rank long, pieces array<string>, refs array<string>")
 
 
 def _instance_chunks(placed: DataFrame, by: list[str]) -> DataFrame:
@@ -154,7 +156,7 @@ def _instanced(chunks: DataFrame, meshes: DataFrame, by: list[str]) -> tuple[Dat
                     pieces, refs = gapped(doc, [(doc, "bufferView", f"bufferViews:{part}/{r['mesh_key']}")])
                     accessors[part] = f"{part}/{r['mesh_key']}"
                     rows.append([*own, None, None, "accessors", accessors[part], pieces, refs, []])
-                node = _node(r["name"])
+                node = _node(r["mesh_name_"])
                 attributes = {"TRANSLATION": 0, "ROTATION": 0, "SCALE": 0}
                 node["extensions"] = {INSTANCING: {"attributes": attributes}}
                 pieces, refs = gapped(node, [(node, "mesh", f"meshes:{r['digest']}"), *[(attributes, k, f"accessors:{accessors[p]}") for k, p in zip(attributes, "trs")]])
@@ -167,10 +169,10 @@ def _instanced(chunks: DataFrame, meshes: DataFrame, by: list[str]) -> tuple[Dat
 
 
 def pieces_of(members: DataFrame, files: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(pieces, counts): the bytes of a GLB per group of placements as rows (by, part, section, seq, data) in order, and (by, n_meshes, n_instances).
+    """(pieces, counts): the bytes of a GLB per group of placements as rows (by, part, section, seq, data) in order, and counts (by, n_meshes, n_instances, grouped: placements of instanced meshes, stored and rendered: triangles).
 
-    ``members`` has the ``by`` columns, mesh_key, model_id, mesh_ix (those of the mesh to
-    draw, its group's representative), instanced, trav_ord and world; ``files`` model_id
+    ``members`` has the ``by`` columns, whose names must be like no other here, mesh_key,
+    model_id, mesh_ix (those of the mesh to draw, its group's representative), instanced, trav_ord and world; ``files`` model_id
     and content. A mesh that is instanced is one node with all its placements, else each
     placement is a node. A column ``ratio``, if there is one, says how many of a mesh's
     indices to keep. Geometry meets its file once; placements, which are most of the rows,
@@ -181,11 +183,11 @@ def pieces_of(members: DataFrame, files: DataFrame, by: list[str]) -> tuple[Data
     members = written(members, "members")
     geometry = written(_geometry(members, files, by), "geometry")
     first = members.groupBy(*by, "mesh_key").agg(F.min("trav_ord").alias("first"), F.max("instanced").alias("instanced"), F.count(F.lit(1)).alias("n"))
-    meshes = written(geometry.filter("kind = 'meshes'").select(*by, "mesh_key", "name", "digest").join(first, [*by, "mesh_key"]), "meshes")
+    meshes = written(geometry.filter("kind = 'meshes'").select(*by, "mesh_key", "mesh_name_", "triangles", "digest").join(first, [*by, "mesh_key"]), "meshes")
     ranked = running_within(members.select(*by, "mesh_key", "instanced", "trav_ord", "world"), [*by, "mesh_key"], ["trav_ord", "world"], F.lit(1).cast("long"), "rank")
-    plain = _plain_nodes(ranked.filter("NOT instanced").join(meshes.select(*by, "mesh_key", "name", "digest", "first"), [*by, "mesh_key"]), by)
+    plain = _plain_nodes(ranked.filter("NOT instanced").join(meshes.select(*by, "mesh_key", "mesh_name_", "digest", "first"), [*by, "mesh_key"]), by)
     chunks = written(_instance_chunks(ranked.filter("instanced"), by), "chunks")
-    own, chunk_data = _instanced(chunks, meshes.drop("n", "instanced"), by)
+    own, chunk_data = _instanced(chunks, meshes.drop("n", "instanced", "triangles"), by)
 
     # All items with what orders them within their kind; equal ones once.
     none = lambda kind: F.lit(None).cast(kind)
@@ -207,7 +209,8 @@ def pieces_of(members: DataFrame, files: DataFrame, by: list[str]) -> tuple[Data
     numbered = written(running_within(items.unionByName(view_items), [*by, "kind"], ["o1", "o2", "o3"], F.lit(1).cast("long"), "number"), "numbered")
     texts = _filled(numbered, by)
     pieces = _laid_out(texts, numbered, views, data, by)
-    counts = meshes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_meshes"), F.sum("n").cast("long").alias("n_instances"))
+    total = lambda v, n: F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(n)
+    counts = meshes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_meshes"), total(c("n"), "n_instances"), total(F.when(c("instanced"), c("n")), "grouped"), total(c("triangles"), "stored"), total(c("triangles") * c("n"), "rendered"))
     return pieces, counts
 
 
@@ -289,9 +292,10 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[Any] | No
 
 
 def write_models(members: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
-    """(by, glb, n_meshes, n_instances): the models of ``pieces_of`` as values, for files that a row can hold."""
-    pieces, counts = pieces_of(members, files, by)
-    schema = T.StructType([*members.select(*by).schema, T.StructField("glb", T.BinaryType())])
+    """(by, glb) and the counts of ``pieces_of``: the models as values, for files that a row can hold."""
+    inner = [f"__by{i}" for i in range(len(by))]  # whatever the columns are called
+    pieces, counts = pieces_of(members.withColumnsRenamed(dict(zip(by, inner))), files, inner)
+    schema = T.StructType([*pieces.select(*inner).schema, T.StructField("glb", T.BinaryType())])
     kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,17 +310,17 @@ def write_models(members: DataFrame, files: DataFrame, by: list[str]) -> DataFra
         if of is not None:
             yield row()
 
-    return _in_order(pieces, by).mapInArrow(run, schema).join(counts, by)
+    return _in_order(pieces, inner).mapInArrow(run, schema).join(counts, inner).withColumnsRenamed(dict(zip(inner, by)))
 
 
-def save_models(members: DataFrame, files: DataFrame, by: list[str], folder: str, name: Column) -> DataFrame:
-    """Write the models of ``pieces_of`` as files called ``name``, an expression of the ``by`` columns; (name, uri, size, n_meshes, n_instances).
+def save_models(members: DataFrame, files: DataFrame, folder: str, name: Column) -> DataFrame:
+    """Write the models as files, one for each value of ``name``, an expression of the members' columns; (name, uri, size) and the counts of ``pieces_of``.
 
     Each file is one stream, of which its task holds a piece at a time, to a store that all
     machines share. It is written under another name and moved when it is whole, so a
     repeated task leaves the same file.
     """
-    pieces, counts = pieces_of(members, files, by)
+    pieces, counts = pieces_of(members.withColumn("__name", name), files, ["__name"])
     schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("uri", T.StringType()), T.StructField("size", T.LongType())])
     kinds = to_arrow_schema(schema)
 
@@ -341,5 +345,4 @@ def save_models(members: DataFrame, files: DataFrame, by: list[str], folder: str
         if out is not None:
             yield done()
 
-    named = _in_order(pieces.withColumn("__name", name).drop(*by), ["__name"])
-    return named.mapInArrow(run, schema).join(counts.withColumn("name", name).drop(*[b for b in by if b != "name"]), "name")
+    return _in_order(pieces, ["__name"]).mapInArrow(run, schema).join(counts.withColumnRenamed("__name", "name"), "name")

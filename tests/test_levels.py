@@ -92,7 +92,7 @@ def test_large_models_are_streams(spark, tmp_path, monkeypatch):
     models = scenes.models(scenes.read_scenes(f))
     contents = models.select("path", "model_id").join(f.select("path", "content"), "path").select("model_id", "content")
     placed = scenes.placements(models).select(F.concat_ws("_", "model_id", "mesh_ix").alias("mesh_key"), "model_id", "mesh_ix", (F.col("model_id") == 1).alias("instanced"), "trav_ord", "world", F.lit("all/one").alias("group"))
-    (saved,) = assembly.save_models(placed, contents, ["group"], f"file://{tmp_path}", F.lit("one.glb")).collect()
+    (saved,) = assembly.save_models(placed, contents, f"file://{tmp_path}", F.lit("one.glb")).collect()
     (value,) = assembly.write_models(placed, contents, ["group"]).collect()
     data = (tmp_path / "one.glb").read_bytes()
     assert data == bytes(value.glb) and (saved.size, saved.n_meshes, saved.n_instances) == (len(data), 2, 703) and value.group == "all/one"
