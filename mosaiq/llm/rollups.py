@@ -8,6 +8,7 @@ batch that is there already is not written again, so it can be repeated after an
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -104,20 +105,30 @@ class Rollup:
         totals.write.mode("overwrite").parquet(f"{self.root}/batches/{batch}")
         return True
 
-    def _snapshot(self) -> tuple[str | None, list[str]]:
+    def _state(self) -> tuple[list[str], str | None, list[str]]:
+        """Whole batches, the last snapshot, and the batches inside it.
+
+        Batches are listed first: one that a compaction folds meanwhile is then inside the
+        snapshot that is read after it, and in neither list never.
+        """
+        batches = self._whole("batches")
         found = self._whole("snapshots")
         if not found:
-            return None, []
-        at = f"{self.root}/snapshots/{found[-1]}"
-        return at, [r.batch for r in self.spark.read.parquet(f"{self.root}/contents/{found[-1]}").collect()]
+            return batches, None, []
+        inside = self.spark.read.parquet(f"{self.root}/contents/{found[-1]}")
+        return batches, f"{self.root}/snapshots/{found[-1]}", [r.batch for r in inside.collect()]
 
     def committed(self) -> list[str]:
-        return sorted({*self._snapshot()[1], *self._whole("batches")})
+        batches, _, inside = self._state()
+        return sorted({*batches, *inside})
 
     def totals(self) -> DataFrame:
-        """The sums of all committed batches; groups whose sums are all zero are left out."""
-        at, inside = self._snapshot()
-        paths = [*([at] if at else []), *(f"{self.root}/batches/{b}" for b in self._whole("batches") if b not in inside)]
+        """The sums of all committed batches; groups whose sums are all zero are left out.
+
+        The table may be read until the second compaction after this call.
+        """
+        batches, at, inside = self._state()
+        paths = [*([at] if at else []), *(f"{self.root}/batches/{b}" for b in batches if b not in inside)]
         if not paths:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long")
         return self._sum(paths)
@@ -130,18 +141,20 @@ class Rollup:
         """Fold the batches committed so far into a snapshot, so that reading doesn't slow down with their number.
 
         What is folded is what was listed at the start, and the list is written with it: a
-        batch committed meanwhile stays a batch. A snapshot that wasn't finished is passed over.
+        batch committed meanwhile stays a batch. A snapshot that wasn't finished is passed
+        over, and of two made at once one counts, by its own list. Files go when the
+        snapshot before has what was in them, so who has just begun to read them can end.
         """
-        at, inside = self._snapshot()
-        names = [n for n in self._whole("batches") if n not in inside]
+        batches, at, inside = self._state()
+        names = [n for n in batches if n not in inside]
         if not names:
             return
-        name = f"{int(at.rsplit('/', 1)[1]) + 1 if at else 0:09d}"
+        name = f"{int(at.rsplit('/', 1)[1].split('-')[0]) + 1 if at else 0:09d}-{uuid.uuid4().hex}"
         rows = self._sum([*([at] if at else []), *(f"{self.root}/batches/{n}" for n in names)])
         contents = self.spark.createDataFrame([(n,) for n in sorted({*inside, *names})], "batch string")
         contents.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/contents/{name}")
         rows.write.mode("overwrite").parquet(f"{self.root}/snapshots/{name}")
-        for n in names:
+        for n in set(batches) & set(inside):
             fs, p = self._fs(f"{self.root}/batches/{n}")
             fs.delete(p, True)
 

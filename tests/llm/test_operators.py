@@ -522,6 +522,36 @@ def test_rollup_follows_changes_once(spark, tmp_path):
         book.commit("../x", rollups.inserted(rows(b)))
 
 
+def test_a_compaction_between_two_reads(spark, tmp_path, monkeypatch):
+    """Whatever a compaction does while totals are looked up, every batch counts once."""
+    rows = lambda n: spark.createDataFrame([("s", "en", "t", n, n, n)], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long")
+    book = rollups.Rollup(spark, f"file://{tmp_path}/r")
+    whole = rollups.Rollup._whole
+    for k in range(4):
+        assert book.commit(f"b{k}", rows(10**k))
+        early, done = book.totals(), []
+
+        def racing(self, kind):
+            found = whole(self, kind)
+            if not done:
+                done.append(kind)
+                rollups.Rollup(spark, self.root).compact()
+            return found
+
+        monkeypatch.setattr(rollups.Rollup, "_whole", racing)
+        late = book.totals()
+        monkeypatch.setattr(rollups.Rollup, "_whole", whole)
+        assert done and [r.n_docs for r in late.collect()] == [r.n_docs for r in early.collect()] == [sum(10**i for i in range(k + 1))]
+        assert not book.commit(f"b{k}", rows(1)) and not book.commit("b0", rows(1))
+    # Two at once: each folds what it saw, one of them counts.
+    book.commit("x", rows(7))
+    first = book._state()
+    monkeypatch.setattr(rollups.Rollup, "_state", lambda self: first)
+    book.compact(), book.compact()
+    monkeypatch.undo()
+    assert [r.n_docs for r in book.totals().collect()] == [1118] and len(book.committed()) == 5
+
+
 def test_counts_of_odd_rows(odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
