@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions.boxes import Box, tile_error, tileset_error
 from mosaiq.operators import quadtree, simplify
-from mosaiq.plans import catalog, instancing
+from mosaiq.operators.steps import written
+from mosaiq.plans import catalog, instancing, levels, semantic_levels
 from mosaiq.sinks import tilesets
 from mosaiq.sources import scenes
 from mosaiq.sources.gltf import Node, Primitive, Writer
@@ -106,13 +107,35 @@ def tileset_errors(s: SparkSession, d: str) -> DataFrame:
     return box.select("model_id", *[F.round(f"{m}_{a}", 4).alias(f"{m}_{a}") for m in ("min", "max") for a in "xyz"], F.round(tileset_error(Box.named().diagonal()), 4).alias("error"))
 
 
-QUERIES = {f.__name__: f for f in (glb_roundtrip, instancing_of_scenes, tileset_json, simplify_chain, tileset_errors)}
+def lod5_start(s: SparkSession, d: str) -> DataFrame:
+    """The first level's items of the suppliers' scenes by mesh: how many, their placements, features, and the part that they are."""
+    models = written(scenes.models(scenes.read_scenes(_scene_files(s, d))), "models")
+    found = instancing.detect(models, limit=3)
+    parts = catalog.part(s, d).groupBy(F.concat(F.lit("box "), F.col("p_size").cast("string")).alias("actor_hash"))
+    what = parts.agg(F.max("p_brand").alias("category"), F.min("p_type").alias("family"), F.lit("").alias("type")).filter("actor_hash <> 'box 7'")
+    items = semantic_levels.lod5(semantic_levels.placed_items(found), models, what)
+    return items.groupBy("mesh_name", "category", "family", "n_vertices", F.round("volume", 3).alias("volume")).agg(F.count(F.lit(1)).alias("items"), F.sum("n").cast("long").alias("placements"))
+
+
+def level_instancing(s: SparkSession, d: str) -> DataFrame:
+    """Instancing detected anew in the suppliers' scenes at level 1; their meshes are too small to be simplified."""
+    made = levels.level_models(_scene_files(s, d), 1)
+    (one,) = levels.instanced_levels(made, 1, limit=3)
+    return one.report.select(F.lit(1).alias("level"), "input_models", "instanced_groups", "final_instances", "non_instanced")
+
+
+QUERIES = {f.__name__: f for f in (glb_roundtrip, instancing_of_scenes, tileset_json, simplify_chain, tileset_errors, lod5_start, level_instancing)}
 
 _ITEMS = """i AS (SELECT l_suppkey, p_size, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, p_size) - 1 AS x,
     l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey),
 f AS (SELECT l_suppkey, 'supplier-' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') || '.glb' AS path FROM i GROUP BY 1)"""
 
 ORACLES = {
+    "lod5_start": f"""WITH {_ITEMS}, n AS (SELECT p_size, count(*) AS n FROM i GROUP BY 1),
+w AS (SELECT p_size, max(p_brand) AS category, min(p_type) AS family FROM part WHERE p_size <> 7 GROUP BY 1)
+SELECT 'box ' || p_size AS mesh_name, category, family, 8::BIGINT AS n_vertices, round((p_size * p_size * p_size)::DOUBLE, 3) AS volume, CASE WHEN n >= 3 THEN 1 ELSE n END AS items, n AS placements FROM n LEFT JOIN w USING (p_size)""",
+    "level_instancing": f"""WITH {_ITEMS}, n AS (SELECT p_size, count(*) AS n FROM i GROUP BY 1)
+SELECT 1 AS level, (SELECT count(*) FROM f) AS input_models, count(*) FILTER (n >= 3) AS instanced_groups, CAST(coalesce(sum(n) FILTER (n >= 3), 0) AS BIGINT) AS final_instances, CAST(coalesce(sum(n) FILTER (n < 3), 0) AS BIGINT) AS non_instanced FROM n""",
     "glb_roundtrip": f"""WITH {_ITEMS}, n AS (SELECT p_size, count(*) AS n FROM i GROUP BY 1)
 SELECT path, count(*) AS placements, count(*) FILTER (n >= 3) AS instanced, count(*) FILTER (n < 3) AS left_over FROM i JOIN n USING (p_size) JOIN f USING (l_suppkey) GROUP BY 1""",
     "instancing_of_scenes": f"""WITH {_ITEMS}, rep AS (SELECT p_size FROM i JOIN f USING (l_suppkey) ORDER BY path, x LIMIT 1),
