@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.operators.layout import running_within
 from mosaiq.operators.skew import looked_up
+from mosaiq.operators.steps import written
 
 
 def representatives(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -50,8 +51,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def with_representative(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """Every row with ``rep_<value>`` of its group's first row and ``n``."""
-    return _on(df, representatives(df, keys, order, values), keys, "inner")
+    """Every row with ``rep_<value>`` of its group's first row and ``n``; a group with most of the rows isn't one task."""
+    return looked_up(df, representatives(df, keys, order, values), keys, "n")
 
 
 def tolerance_groups(df: DataFrame, keys: list[str], order: list[str], values: list[str], tolerance: float, always: Column | None = None) -> DataFrame:
@@ -70,7 +71,7 @@ def split_groups(df: DataFrame, keys: list[str], order: list[str], values: list[
     """``tolerance_groups`` with ``outcome``: 'instanced', 'box' (too far off) or 'limit' (too few accepted)."""
     judged = tolerance_groups(df, keys, order, values, tolerance)
     sizes = judged.filter("accepted").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_accepted"))
-    judged = _on(judged, sizes, keys, "left")
+    judged = _on(judged, written(sizes, "sizes"), keys, "left")
     outcome = F.when(~F.col("accepted"), "box").when(F.col("n_accepted") < limit, "limit").otherwise("instanced")
     return judged.withColumn("outcome", outcome)
 

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions.boxes import Box, tile_error, tileset_error
-from mosaiq.operators import quadtree, simplify
+from mosaiq.operators import grouping, quadtree, simplify
 from mosaiq.operators.steps import written
 from mosaiq.plans import catalog, instancing, levels, semantic_levels
 from mosaiq.sinks import tilesets
@@ -72,11 +72,10 @@ def surfaces(embeddings: DataFrame, run: int = 6) -> DataFrame:
     Every number is the height of one point and every point is a corner of a triangle. A
     grid is bounded, so the work grows by more grids and not by larger ones.
     """
-    order = Window.partitionBy("label").orderBy("vec_id", "embedding")
-    ranked = embeddings.select("label", "vec_id", "embedding", (F.row_number().over(order) - 1).alias("at"))
-    sizes = embeddings.groupBy("label").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / run)).alias("runs"))
+    ranked = grouping.ranked(embeddings.select("label", "vec_id", "embedding"), ["label"], ["vec_id", "embedding"])
+    runs = F.greatest(F.lit(1), F.floor(F.col("group_size") / run))
     # The last run takes what is left over, so that none is too small to simplify.
-    dealt = ranked.join(sizes, "label").withColumn("run", F.least(F.floor(F.col("at") / run), F.col("runs") - 1))
+    dealt = ranked.withColumn("run", F.least(F.floor((F.col("member_ix") - 1) / run), runs - 1))
     grid = dealt.groupBy("label", "run").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("e"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -161,3 +161,30 @@ def test_weld_joins_equal_positions():
     v = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 0], [1, 0, 0], [1, 1, 0]], float)
     p, i, came = simplify.weld(v, np.array([0, 1, 2, 3, 5, 4]))
     assert len(p) == 4 and i.tolist() == [0, 1, 2, 0, 3, 1] and (v[came] == p).all()
+
+
+def test_levels_of_one_run_equal_levels_made_alone():
+    v, ix = grid(12, lambda x, y: np.sin(3 * x) * np.cos(2 * y))
+    ratios = [0.5, 0.25, 0.125]
+    for ratio, (p, i, came) in zip(ratios, simplify.simplify_levels(v, ix, ratios)):
+        q, j, back = simplify.simplify(v, ix, ratio)
+        assert np.array_equal(p, q) and np.array_equal(i, j) and np.array_equal(came, back)
+    assert [len(i) for _, i, _ in simplify.simplify_levels(v, ix[:30], ratios)] == [30] * 3
+
+
+def test_flat_surfaces_collapse_without_cost():
+    v, ix = grid(8, lambda x, y: x * y)
+    flat = v * [1.0, 1.0, 0.0]
+    p, i, _ = simplify.simplify(flat, ix, 0.1)
+    e = p[i.reshape(-1, 3)]
+    area = np.linalg.norm(np.cross(e[:, 1] - e[:, 0], e[:, 2] - e[:, 0]), axis=1).sum()
+    whole = flat[ix.reshape(-1, 3)]
+    assert np.isclose(area, np.linalg.norm(np.cross(whole[:, 1] - whole[:, 0], whole[:, 2] - whole[:, 0]), axis=1).sum())
+
+
+def test_groups_with_most_rows_find_their_representative(spark):
+    df = spark.range(2000).selectExpr("CASE WHEN id < 1800 THEN 'hot' WHEN id < 1900 THEN NULL ELSE CAST(id AS STRING) END AS k", "id", "CAST(id AS DOUBLE) AS x")
+    rows = grouping.with_representative(df, ["k"], ["id"], ["x"]).collect()
+    assert len(rows) == 2000
+    first = {r.k: r.x for r in sorted(rows, key=lambda r: -r.id)}
+    assert all(r.rep_x == first[r.k] and r.n == (1800 if r.k == "hot" else 100 if r.k is None else 1) for r in rows)
