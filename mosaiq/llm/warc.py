@@ -137,12 +137,13 @@ def with_originals(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, digest, refers_to): null html is empty; refers_to is null for responses.
 
     Of equal payloads only the digest and the least page_id are gathered, summed before the
-    shuffle, and only payloads that come again are joined back.
+    shuffle, and only payloads that come again are joined back. They are written first, so
+    that Spark can split a payload with very many pages, whose html would be one task.
     """
     df = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     df = df.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     again = df.filter(F.octet_length("html") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    df = df.join(again, "digest", "left")
+    df = df.join(stored(again, "again"), "digest", "left")
     return df.select("page_id", "url", "html", "digest", F.expr("CASE WHEN page_id IS NULL OR page_id <> first THEN first END").alias("refers_to"))
 
 
