@@ -68,8 +68,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def _measured(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns of MEASURES behind a ``__`` each.
 
-    Windows of three words are told apart by a 64-bit hash of their words: two different
-    ones of a text of a million words agree with a chance of 3e-8.
+    A 64-bit hash finds the texts in which a window of three words may come again; in those
+    the words of windows whose hashes meet are compared.
     """
     df = docs.withColumn("__t", text_or_empty())
     df = df.withColumns({
@@ -86,8 +86,8 @@ def _measured(docs: DataFrame) -> DataFrame:
         "__n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
     })
     # Only texts in which a window comes again are sorted.
-    df = df.withColumn("__o", F.expr("CASE WHEN size(array_distinct(__h)) = size(__h) THEN array() ELSE sort_array(transform(__h, (x, i) -> struct(x AS h, i AS i))) END"))
-    df = df.withColumn("__at", F.expr("""sort_array(filter(transform(__o, (x, k) -> CASE WHEN x.h = get(__o, k - 1).h OR x.h = get(__o, k + 1).h THEN x.i ELSE -1 END), x -> x >= 0))"""))
+    df = df.withColumn("__o", F.expr("CASE WHEN size(array_distinct(__h)) = size(__h) THEN array() ELSE sort_array(transform(__h, (x, i) -> struct(x AS h, concat_ws(' ', get(__w, i), get(__w, i + 1), get(__w, i + 2)) AS w, i AS i))) END"))
+    df = df.withColumn("__at", F.expr("""sort_array(filter(transform(__o, (x, k) -> CASE WHEN x.w = get(__o, k - 1).w OR x.w = get(__o, k + 1).w THEN x.i ELSE -1 END), x -> x >= 0))"""))
     df = df.withColumn("__n_repeat_words", F.expr("aggregate(zip_with(__at, slice(__at, 2, size(__at)), (a, b) -> CASE WHEN b IS NULL THEN 3 ELSE least(3, b - a) END), 0, (a, x) -> a + x)"))
     return df.withColumn("__n_words", anchored(F.col("__n_words"))).drop("__t", "__w", "__lines", "__h", "__o", "__at")
 
