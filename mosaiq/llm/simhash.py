@@ -102,7 +102,8 @@ def _ball_links(fps: DataFrame) -> DataFrame:
     """Exact links without pairs: at a variant, all within one bit of it are within the radius of all within two.
 
     So at each variant everything is linked to the least fingerprint within one bit. Used
-    for the members of buckets too large for one task; the cost is 2,081 rows each.
+    for the members of buckets too large for one task; the cost is 2,081 rows each. The
+    least ones are written first, so that Spark can split a variant with very many rows.
     """
     one = [1 << i for i in range(64)]
     near = ", ".join(f"{_signed(x)}L" if x < 1 << 63 else "shiftleft(1L, 63)" for x in [0, *one])
@@ -112,7 +113,7 @@ def _ball_links(fps: DataFrame) -> DataFrame:
     balls = balls.select("fp", "i", "y", F.posexplode(steps).alias("j", "x")).filter("j = 0 OR (i > 0 AND j > i)")
     balls = balls.select("fp", F.col("y").bitwiseXOR(F.col("x")).alias("key"), (F.col("j") == 0).alias("inner"))
     centre = balls.filter("inner").groupBy("key").agg(F.min("fp").alias("c"))
-    return balls.join(centre, "key").filter("fp <> c").select(F.col("fp").alias("a"), F.col("c").alias("b")).distinct()
+    return balls.join(stored(centre, "centres"), "key").filter("fp <> c").select(F.col("fp").alias("a"), F.col("c").alias("b")).distinct()
 
 
 def near_links(fps: DataFrame) -> DataFrame:
